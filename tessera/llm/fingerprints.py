@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import pieces
-from tessera.llm.ngram_join import batch_shingles, distinct, linked, set_key
+from tessera.llm.ngram_join import INDEX, batch_shingles, distinct, linked, parity, set_key
 
 #: Words of a shingle, permutations, and bands by rows of a signature (a pair of likeness 0.8 meets in one of them
 #: with a probability of 0.9999).
@@ -176,11 +176,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece["doc_id"], pa.array(sizes, pa.int64()), pa.array([set_key(x) for x in sets], pa.int64()),
+                        pa.array([parity(x) for x in sets], pa.binary()),
                         pa.array([b.tolist() if n else [] for b, n in zip(bands, sizes, strict=True)], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "set_key", "prefix"],
+                    ["doc_id", "n", "set_key", "parity", "prefix"],
                 )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index = docs.mapInArrow(rows, "doc_id long, n long, set_key long, prefix array<long>")
+    index = docs.mapInArrow(rows, INDEX)
     return linked(index, docs, SHINGLE, percent, positions=False)

@@ -10,8 +10,9 @@ A document's set is its distinct k-word shingles. Two documents link when
 3. Sets are classes of equal documents, so copies enter a list once.
 4. In each list only the pairs of its leader (first set) are verified at first: as many pairs as the list has rows.
    From the leader's answers those of the similar sets follow: members linked to one leader are in its component,
-   and the exact set differences to a common leader bound the difference of two members from below and above.
-   Only pairs of different components that these bounds leave open are verified in the second round, in blocks.
+   and the exact set differences to a common leader bound the difference of two members.
+   While lists hold many pairs of different components, another leader of each takes its turn in the same way.
+   At last all pairs of different components that filters and bounds leave open are verified, in blocks of the lists.
 
 Undefined input: a null text or one without words has an empty set and is linked with nothing; a text of fewer than
 k words is one shingle; repeated rows are equal sets, so they link; rows with a null key are not linked and have a
@@ -34,6 +35,12 @@ SKETCH_BITS = 22
 SKETCH_CHUNK = 1 << 16
 #: Sets of a list compared with one another in one group; longer lists are cut into pairs of blocks.
 BLOCK = 4096
+#: Open pairs of a list row, on average, from which on a further round of leaders comes first, and the most such rounds.
+MANY, ROUNDS = 4, 2
+
+
+#: A document's set and the lists that it is in.
+INDEX = "doc_id long, n long, set_key long, parity binary, prefix array<long>"
 
 
 def batch_shingles(column, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +61,34 @@ def set_key(items: np.ndarray) -> int:
     return int((mix(items).sum(dtype=np.uint64) ^ np.uint64(len(items))).view(np.int64)) if len(items) else 0
 
 
+def parity(items: np.ndarray) -> bytes:
+    """A bit for each class of a set's items (as of set_key): whether their number is odd. Sets differ in at least as
+    many items as their parities in bits. The classes are a power of two, twice the set's size or more, so a longer
+    parity is folded to a shorter one by exclusive or of its halves."""
+    m = 1 << max(6, (2 * len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_gaps(parities: list[bytes], r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Bits that differ between the parities of pairs of rows whose sizes are within a factor of two."""
+    lengths = np.array([len(x) for x in parities])
+    out = np.zeros(len(r), np.int64)
+    for m in np.unique(np.minimum(lengths[r], lengths[c])).tolist():
+        rows = np.flatnonzero((lengths == m) | (lengths == 2 * m))
+        place = np.zeros(len(lengths), np.int64)
+        place[rows] = np.arange(len(rows))
+        words = np.zeros((len(rows), m // 8), np.uint64)
+        for i, x in enumerate(rows.tolist()):
+            own = np.frombuffer(parities[x], np.uint64)
+            words[i] = own if len(parities[x]) == m else own[: m // 8] ^ own[m // 8 :]
+        at = np.flatnonzero((np.minimum(lengths[r], lengths[c]) == m) & (np.maximum(lengths[r], lengths[c]) <= 2 * m))
+        for s in range(0, len(at), 65536):
+            some = at[s : s + 65536]
+            out[some] = np.bitwise_count(words[place[r[some]]] ^ words[place[c[some]]]).sum(axis=1)
+    return out
+
+
 def sketch(docs: DataFrame, k: int, bits: int) -> bytes:
     """For each of 2^bits hash classes of shingles, twice the binary logarithm (63 at most) of its shingles' number."""
     chunks = max(1, (1 << bits) // SKETCH_CHUNK)
@@ -70,18 +105,28 @@ def sketch(docs: DataFrame, k: int, bits: int) -> bytes:
                     total[at[edge]] += np.diff(np.append(edge, len(at))).astype(np.uint32)
         for c in range(chunks):
             part = total[c * width : (c + 1) * width]
-            at = np.flatnonzero(part).astype(np.uint16 if width <= 1 << 16 else np.uint32)
-            if len(at):
-                yield pa.RecordBatch.from_pydict(
-                    {"chunk": pa.array([c], pa.int32()), "at": [at.tobytes()], "n": [part[at].tobytes()]}
+            small = np.where(part < 256, part, 0).astype(np.uint8)
+            at = np.flatnonzero(small)
+            # small counters as they stand or by place, whichever is shorter; large ones by place
+            rows = [(b"", small.tobytes())] if 3 * len(at) > width else [(at.astype(np.uint16).tobytes(), small[at].tobytes())]
+            at = np.flatnonzero(part >= 256)
+            rows.append((at.astype(np.uint16).tobytes(), part[at].tobytes()))
+            rows = [(c, *r) for r in rows if r[1]]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                    ["chunk", "at", "n"],
                 )
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, at, n in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
-                at = np.frombuffer(at, np.uint16 if width <= 1 << 16 else np.uint32)
-                held.setdefault(c, np.zeros(width, np.int64))[at] += np.frombuffer(n, np.uint32)
+                sum_of = held.setdefault(c, np.zeros(width, np.int64))
+                if at:
+                    sum_of[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint8 if 2 * len(n) == len(at) else np.uint32)
+                else:
+                    sum_of += np.frombuffer(n, np.uint8)
         for c, total in held.items():
             level = np.minimum(np.floor(2 * np.log2(np.maximum(total, 1))), 63).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "level": [level.tobytes()]})
@@ -95,7 +140,7 @@ def sketch(docs: DataFrame, k: int, bits: int) -> bytes:
 
 
 def prefixes(docs: DataFrame, levels: bytes, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, set_key, prefix): a task gives the prefix of equal sets once."""
+    """(doc_id, n, set_key, parity, prefix): a task gives the prefix of equal sets once."""
 
     def rows(batches):
         level = np.frombuffer(levels, np.uint8)
@@ -107,12 +152,14 @@ def prefixes(docs: DataFrame, levels: bytes, k: int, percent: int) -> DataFrame:
                 ranked = (level[(items & mask).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (
                     items >> np.uint64(7)
                 )
-                sizes, keys, parts, ends = [], [], [], [0]
+                sizes, keys, odd, parts, ends = [], [], [], [], [0]
                 for r in range(piece.num_rows):
                     own = distinct(ranked[bounds[r] : bounds[r + 1]])
-                    n, key = len(own), set_key(own & np.uint64((1 << 57) - 1))
+                    plain = own & np.uint64((1 << 57) - 1)
+                    n, key = len(own), set_key(plain)
                     sizes.append(n)
                     keys.append(key)
+                    odd.append(parity(plain))
                     # a smaller or larger partner, or one of the same size with a shingle exchanged, must be possible
                     alone = n * 100 // percent == n and -(-percent * n // 100) == n and (n - 1) * 100 < percent * (n + 1)
                     if key not in seen and not alone:
@@ -129,12 +176,13 @@ def prefixes(docs: DataFrame, levels: bytes, k: int, percent: int) -> DataFrame:
                         piece["doc_id"],
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.int64()),
+                        pa.array(odd, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))),
                     ],
-                    ["doc_id", "n", "set_key", "prefix"],
+                    ["doc_id", "n", "set_key", "parity", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, set_key long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(rows, INDEX)
 
 
 def needed_overlap(n: Column, m: Column, percent: int) -> Column:
@@ -162,31 +210,70 @@ def lists(index: DataFrame) -> DataFrame:
     )
     rows = rows.where(F.col("before").isNull() | (F.col("before") != F.col("set_key")))
     rows = rows.where((F.col("lead.set_key") != F.col("set_key")) | F.col("after").isNotNull())
-    return rows.select(
+    rows = rows.select(
         "token", "set_key", "n", "pos", F.col("lead.set_key").alias("l_key"), F.col("lead.n").alias("l_n"),
         F.col("lead.pos").alias("l_pos"),
     )
+    # what the list holds besides its leader
+    every = Window.partitionBy("token")
+    rest = F.when(F.col("set_key") != F.col("l_key"), F.xxhash64("set_key"))
+    return rows.withColumn("members", F.count(rest).over(every)).withColumn("sets", F.bit_xor(rest).over(every))
+
+
+def parities_of(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """(set_key, parity) of the sets of keys; a bitmap drops most others before the shuffle."""
+    rows = flag_by_bitmap(index.select("set_key", "parity"), "set_key", keys, "set_key", "maybe").where("maybe")
+    return rows.select("set_key", "parity").dropDuplicates(["set_key"])
+
+
+def plausible(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) of sets and their sizes whose parities differ in no more bits than linked sets can."""
+    keys = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
+    known = materialise(parities_of(index, keys), "parities")
+    rows = pairs.withColumn("most", F.col("na") + F.col("nb") - 2 * needed_overlap(F.col("na"), F.col("nb"), percent))
+    rows = rows.join(known.selectExpr("set_key as b", "parity as b_parity"), "b")
+    rows = rows.join(known.selectExpr("set_key as a", "parity as a_parity"), "a")
+
+    def close(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                parities = batch["a_parity"].to_pylist() + batch["b_parity"].to_pylist()
+                gaps = parity_gaps(parities, np.arange(n), np.arange(n, 2 * n))
+                keep = pa.array(gaps <= batch["most"].to_numpy())
+                yield batch.select(["a", "b"]).filter(keep)
+
+    return rows.select("a", "b", "most", "a_parity", "b_parity").mapInArrow(close, "a long, b long")
 
 
 def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """pairs (a, b) of set keys with the exact sizes na, nb and overlap."""
     keys = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
-    wanted = index.select("set_key", "doc_id").join(keys, "set_key", "left_semi")
-    wanted = materialise(wanted.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    # one document for each set, and its text without a shuffle of texts: sets that the bitmap lets through by chance
+    # meet no pair
+    wanted = index.select("set_key", "doc_id").join(keys, "set_key").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     texts = flag_by_bitmap(docs.select("doc_id", "text"), "doc_id", wanted, "doc_id", "maybe").where("maybe")
-    texts = texts.select("doc_id", "text").join(wanted, "doc_id")
 
     def sets(batches):
+        seen = set()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 items, bounds = batch_shingles(piece["text"], k)
-                for r, key in enumerate(piece["set_key"].to_pylist()):
+                keys, bodies = [], []
+                for r in range(piece.num_rows):
                     own = distinct(items[bounds[r] : bounds[r + 1]])
-                    if set_key(distinct(own >> np.uint64(7))) == key:
-                        yield pa.RecordBatch.from_pydict({"set_key": pa.array([key], pa.int64()), "items": [own.tobytes()]})
+                    key = set_key(distinct(own >> np.uint64(7)))
+                    if len(own) and key not in seen:  # rows of one id may be equal
+                        seen.add(key)
+                        keys.append(key)
+                        bodies.append(own.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["set_key", "items"])
 
-    texts = texts.select("set_key", "text")
-    found = materialise(texts.mapInArrow(sets, "set_key long, items binary"), "sets")
+    found = materialise(texts.select("text").mapInArrow(sets, "set_key long, items binary"), "sets")
+
+    def end(name: str) -> DataFrame:
+        rows = flag_by_bitmap(found, "set_key", pairs.select(name), name, "maybe").where("maybe")
+        return rows.selectExpr(f"set_key as {name}", f"items as {name}_items")
 
     def overlaps(batches):
         for batch in batches:
@@ -202,8 +289,8 @@ def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, k: int) -> Dat
             )
 
     # the member's set first: it is the leader's key that can be hot, and that join can be split
-    both = pairs.join(found.selectExpr("set_key as b", "items as b_items"), "b")
-    both = both.join(found.selectExpr("set_key as a", "items as a_items"), "a")
+    both = pairs.join(end("b"), "b")
+    both = both.join(end("a"), "a")
     both = both.select("a", "b", "a_items", "b_items")
     return materialise(both.mapInArrow(overlaps, "a long, b long, na long, nb long, overlap long"), "verified")
 
@@ -211,19 +298,18 @@ def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, k: int) -> Dat
 def open_lists(inverted: DataFrame) -> DataFrame:
     """The lists without their leaders that can hold further pairs: two rows or more, and of lists with the same
     sets only the one of the rarest shingle, where the positions of all its sets are lowest."""
-    rows = inverted.where("set_key <> l_key")
-    kinds = rows.groupBy("token").agg(
-        F.count("*").alias("members"), F.expr("bit_xor(xxhash64(set_key))").alias("sets")
-    )
-    kinds = kinds.where("members > 1").groupBy("members", "sets").agg(F.min("token").alias("token"))
-    return rows.join(kinds.select("token", "members"), "token").select("token", "members", "set_key", "n", "pos")
+    rows = inverted.where("set_key <> l_key and members > 1")
+    kinds = inverted.where("set_key = l_key and members > 1").groupBy("members", "sets").agg(F.min("token").alias("token"))
+    kinds = materialise(kinds.select("token"), "tokens")
+    rows = flag_by_bitmap(rows, "token", kinds, "token", "maybe").where("maybe")
+    return rows.join(kinds, "token").select("token", "members", "set_key", "n", "pos")
 
 
 def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of list members of different components that neither filters nor leaders' answers decide.
+    """Pairs of list members of different components that neither filters nor leaders' answers nor parities decide.
 
     rows: token, members, set_key, n, pos, component, near (a leader verified against the set), gap (the exact size
-    of the set difference to it). Lists of one component are dropped; long lists are compared block by block.
+    of the set difference to it), parity. Lists of one component are dropped; long lists are compared block by block.
     """
     kinds = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     rows = rows.join(kinds.where("low <> high").select("token"), "token")
@@ -232,11 +318,11 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select(
         "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-        "set_key", "n", "pos", "component", "near", "gap",
+        "set_key", "n", "pos", "component", "near", "gap", "parity",
     )
     rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
 
-    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def compare(group: dict[str, np.ndarray], parities: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n, pos, comp, key = group["n"], group["pos"], group["component"], group["set_key"]
         near, gap, own = group["near"], group["gap"], group["own"]
         cross = group["i"][0] != group["j"][0]
@@ -257,22 +343,25 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
             if cross:
                 ok &= own[a][:, None] != own[b][None, :]
             r, c = np.nonzero(ok)
-            found_a.append(key[s + r])
-            found_b.append(key[s + c])
+            close = parity_gaps(parities, s + r, s + c) <= (total - 2 * need)[r, c]
+            found_a.append(key[s + r[close]])
+            found_b.append(key[s + c[close]])
         return np.concatenate(found_a), np.concatenate(found_b)
 
     names = ["token", "i", "j", "own", "set_key", "n", "pos", "component", "near", "gap"]
 
     def walk(batches):
         held: list[dict[str, np.ndarray]] = []
+        parities: list[bytes] = []
 
         def flush():
             if held:
-                a, b = compare({c: np.concatenate([h[c] for h in held]) for c in names})
+                a, b = compare({c: np.concatenate([h[c] for h in held]) for c in names}, parities)
                 a, b = np.minimum(a, b), np.maximum(a, b)
                 if len(a):
                     yield pa.RecordBatch.from_pydict({"a": a, "b": b})
             held.clear()
+            parities.clear()
 
         for batch in batches:
             cols = {c: batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
@@ -286,9 +375,33 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 if held and any(held[-1][c][-1] != cols[c][s] for c in names[:3]):
                     yield from flush()
                 held.append({c: cols[c][s:e] for c in names})
+                parities += batch["parity"][s:e].to_pylist()
         yield from flush()
 
-    return rows.select(names).mapInArrow(walk, "a long, b long").distinct()
+    return rows.select(*names, "parity").mapInArrow(walk, "a long, b long").distinct()
+
+
+def with_answers(rows: DataFrame, answers: DataFrame, labels: DataFrame) -> DataFrame:
+    """List rows with what is known of their sets: component, and of the verified leaders the nearest with the size of
+    the set difference to it."""
+    near = answers.selectExpr("b as set_key", "a as near", "na + nb - 2 * overlap as gap")
+    near = near.groupBy("set_key").agg(F.min_by(F.struct("near", "gap"), F.struct("gap", "near")).alias("near"))
+    known = near.join(labels.withColumnRenamed("node", "set_key"), "set_key", "full")
+    known = known.select("set_key", "component", F.col("near.near").alias("near"), F.col("near.gap").alias("gap"))
+    return rows.join(known, "set_key", "left").select(
+        "token", "members", "set_key", "n", "pos", F.coalesce("component", "set_key").alias("component"),
+        F.coalesce("near", "set_key").alias("near"), F.coalesce("gap", F.lit(0)).alias("gap"),
+    )
+
+
+def led_pairs(rows: DataFrame, percent: int, round: int) -> DataFrame:
+    """Pairs of a leader, another in every list, with the list's members of other components: as many as rows."""
+    lead = F.struct("set_key", "n", "pos", "component")
+    leads = rows.groupBy("token").agg(F.min_by(lead, F.xxhash64("set_key", "token", F.lit(round))).alias("lead"))
+    rows = rows.join(leads, "token").where("component <> lead.component")
+    rows = rows.select("set_key", "n", "pos", F.col("lead.set_key").alias("l_key"), F.col("lead.n").alias("l_n"), F.col("lead.pos").alias("l_pos"))
+    rows = rows.where(possible("n", "pos", "l_n", "l_pos", percent))
+    return rows.selectExpr("l_key as a", "l_n as na", "set_key as b", "n as nb").distinct()
 
 
 def ngram_components(
@@ -309,32 +422,41 @@ def linked(index: DataFrame, docs: DataFrame, k: int, percent: int, positions: b
     if not positions:
         inverted = inverted.withColumn("pos", F.lit(0)).withColumn("l_pos", F.lit(0))
     stars = inverted.where("set_key <> l_key").where(possible("n", "pos", "l_n", "l_pos", percent))
-    stars = materialise(stars.selectExpr("l_key as a", "set_key as b").distinct(), "pairs")
-    first = verified(stars, linkable, docs, k)
+    stars = stars.selectExpr("l_key as a", "l_n as na", "set_key as b", "n as nb").distinct()
+    stars = materialise(plausible(stars, index, percent), "pairs")
     link = f"100 * overlap >= {percent} * (na + nb - overlap)"
-    labels = components(first.where(link).select("a", "b"))
-
-    near = first.selectExpr("b as set_key", "a as near", "na + nb - 2 * overlap as gap")
-    near = near.groupBy("set_key").agg(F.min_by(F.struct("near", "gap"), F.struct("gap", "near")).alias("near"))
-    known = near.join(labels.withColumnRenamed("node", "set_key"), "set_key", "full")
-    known = known.select("set_key", "component", F.col("near.near").alias("near"), F.col("near.gap").alias("gap"))
-    rows = open_lists(inverted).join(known, "set_key", "left").select(
-        "token", "members", "set_key", "n", "pos", F.coalesce("component", "set_key").alias("component"),
-        F.coalesce("near", "set_key").alias("near"), F.coalesce("gap", F.lit(0)).alias("gap"),
-    )
-    rest = open_pairs(materialise(rows, "rows"), percent)
-    done = stars.selectExpr("least(a, b) as a", "greatest(a, b) as b")
-    rest = materialise(rest.join(done, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        # the second round links components of the first
-        links = verified(rest, linkable, docs, k).where(link).select("a", "b")
+    answers = verified(stars, linkable, docs, k)
+    labels = components(answers.where(link).select("a", "b"))
+    lists_left, rounds, last = materialise(open_lists(inverted), "open"), 0, False
+    while not last:
+        rows = materialise(with_answers(lists_left, answers, labels), "rows")
+        # pairs of different components in a list, counted without forming them
+        sizes = rows.groupBy("token", "component").count().groupBy("token")
+        sizes = sizes.agg(F.sum("count").alias("n"), F.sum(F.expr("count * count")).alias("own"))
+        total, crossing = sizes.agg(F.sum("n"), F.sum(F.expr("(n * n - own) / 2"))).head()
+        if not crossing:
+            break
+        rounds += 1
+        last = crossing <= MANY * total or rounds > ROUNDS
+        if last:
+            pairs = open_pairs(rows.join(parities_of(index, rows), "set_key"), percent)
+        else:
+            pairs = plausible(led_pairs(rows, percent, rounds), index, percent)
+        done = answers.selectExpr("least(a, b) as a", "greatest(a, b) as b")
+        pairs = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
+        pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        found = verified(pairs, linkable, docs, k)
+        answers = answers.unionByName(found)
+        # the new links join components of the rounds before
+        new = found.where(link).select("a", "b")
         for end in ("a", "b"):
-            links = links.join(labels.selectExpr(f"node as {end}", "component as named"), end, "left")
-            links = links.withColumn(end, F.expr(f"coalesce(named, {end})")).drop("named")
-        joined = components(links.select("a", "b")).selectExpr("node as component", "component as final")
+            new = new.join(labels.selectExpr(f"node as {end}", "component as named"), end, "left")
+            new = new.withColumn(end, F.expr(f"coalesce(named, {end})")).drop("named")
+        joined = components(new.select("a", "b")).selectExpr("node as component", "component as final")
         labels = labels.join(joined, "component", "full").selectExpr(
             "coalesce(node, component) as node", "coalesce(final, component) as component"
         )
+        labels = materialise(labels, "labels")
 
     out = linkable.select("doc_id", "n", "set_key").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
     out = out.selectExpr("doc_id", "n", "coalesce(component, set_key) as label")
