@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, small_batches
 from tessera.llm.words import mix
 
 #: Rows, and queries, of a bucket that one task scores at a time.
@@ -91,7 +91,7 @@ def nearest(
 
     target: rows of a mean bucket; the number of projections follows from it and the number of rows.
     """
-    rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = small_batches(vectors).select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.where(
         "vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
         " and exists(v, x -> x <> 0)"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import process_cache
+from tessera.llm.common import process_cache, small_batches
 
 #: The marks' strings and their ids, counted from the first free id of the vocabulary (50,256 is left to <|endoftext|>).
 MARKS = {50257: "<|im_start|>", 50258: "<|im_sep|>", 50259: "<|im_end|>"}
@@ -64,7 +64,7 @@ def format_conversations(turns: DataFrame, ranks: tuple[str, str] | None = None)
     conversation, its ids, and the span of its conversation's tokens under the loss mask (empty unless the role is
     `assistant`). Conversations are whole and in order within a partition."""
     path, pattern = ranks or default_ranks()
-    rows = turns.select(
+    rows = small_batches(turns).select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )

@@ -15,7 +15,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time inside a Python worker.
-PIECE = 4 << 20
+PIECE = 1 << 20
+#: Rows, and bytes, of an Arrow batch on its way to a Python worker: the default of 10,000 rows has no bound in bytes
+#: where texts are long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session has been told to keep Arrow batches within BATCH; smaller settings stay."""
+    conf = df.sparkSession.conf
+    for name, most in BATCH.items():
+        now = conf.get(name, str(most + 1))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces
+from tessera.llm.common import pieces, small_batches
 from tessera.llm.ngram_join import INDEX, batch_shingles, distinct, linked, parity, set_key
 
 #: Words of a shingle, permutations, and bands by rows of a signature (a pair of likeness 0.8 meets in one of them
@@ -156,7 +156,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                     ids, texts, held = [], texts[-1:], len(text)
                 ids.append(doc_id)
 
-    return with_neighbours(docs).mapInArrow(rows, FINGERPRINTS)
+    return with_neighbours(small_batches(docs)).mapInArrow(rows, FINGERPRINTS)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -182,6 +182,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
                     ["doc_id", "n", "set_key", "parity", "prefix"],
                 )
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     index = docs.mapInArrow(rows, INDEX)
     return linked(index, docs, SHINGLE, percent, positions=False)

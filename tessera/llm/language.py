@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces
+from tessera.llm.common import pieces, small_batches
 from tessera.llm.words import text_buffer
 
 #: log2 of the hash classes of 4-grams.
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     w = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
     ids = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("k").distinct()
     # as many rows as `sample` for each language
-    texts = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    texts = small_batches(docs).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     texts = texts.where("lang is not null and text is not null").join(F.broadcast(ids), "k", "left_semi")
 
     def count(batches):
@@ -216,11 +216,11 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     def rows(batches):
         run = predictor(model, bits)
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
+            for piece in pieces(batch, "text"):
                 arrays = [piece["k"], *described(model, run(piece["text"]))]
                 yield pa.RecordBatch.from_arrays(arrays, ["k", "lang_pred", "score", "other", "languages"])
 
-    rows_in = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
+    rows_in = small_batches(docs).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
     return rows_in.mapInArrow(rows, f"k long, {PREDICTION}").withColumnRenamed("k", key)
 
 
@@ -230,9 +230,9 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", most_other: floa
     def rows(batches):
         run = predictor(model, bits)
         for batch in batches:
-            for piece in pieces(batch, text, 1 << 20):
+            for piece in pieces(batch, text):
                 share = run(piece[text])
                 keep = share.any(axis=1) & (share[:, -1] <= most_other)
                 yield piece.filter(pa.array(keep))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return small_batches(docs).mapInArrow(rows, docs.schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces
+from tessera.llm.common import pieces, small_batches
 from tessera.llm.words import alnum_bytes, grams, row_words, spans, text_buffer, word_hashes
 
 #: Phrases whose every place is counted, and their labels. Fixed values.
@@ -129,7 +129,8 @@ def license_hits(docs: DataFrame) -> DataFrame:
                 )
                 row += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, HITS)
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(rows, HITS)
 
 
 def scan(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PIECE, components, flag_by_bitmap, materialise, pieces
+from tessera.llm.common import components, flag_by_bitmap, materialise, pieces, small_batches
 from tessera.llm.words import mix, row_words, shingles, spaced_bytes, spans, text_buffer, word_hashes
 
 #: log2 of the sketch's counters; broadcast as one byte each (4 MB).
@@ -408,7 +408,7 @@ def ngram_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest key reachable by links)."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return linked(prefixes(docs, sketch(docs, k, sketch_bits), k, percent), docs, k, percent)
 
 

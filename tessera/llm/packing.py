@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import default_ranks, ranks_encoding
-from tessera.llm.common import pieces, process_cache
+from tessera.llm.common import pieces, process_cache, small_batches
 from tessera.llm.words import alnum_bytes, row_words, spans, text_buffer, word_hashes
 
 WINDOW = 2048
 #: The id after each document, as the contract sets it.
 END_ID = 1
 #: Bounds of a shard.
-SHARD_DOCS, SHARD_TOKENS = 4096, 1 << 22
+SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 22
 #: Words of a seed that the index is asked for, the heaviest first; BM25's constants.
 QUERY_WORDS, K1, B = 16, 1.2, 0.75
 SPECIAL = "<|endoftext|>"
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks: tuple[str, str] |
             nonlocal sequence, names, ids, words, tokens
             counts = [len(w) for w in words]
             index = Index(np.concatenate(words) if words else np.zeros(0, np.uint64), np.cumsum([0, *counts]))
+            words = []
             full, last = packed([len(x) for x in ids], index)
             full += by_powers(last)
             for s in range(0, len(full), 4096):
@@ -203,18 +204,19 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks: tuple[str, str] |
             names, ids, words, tokens = [], [], [], 0
 
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
+            for piece in pieces(batch, "text"):
                 data, offsets = text_buffer(piece["text"])
                 starts, ends = spans(data, offsets, alnum_bytes())
                 hashes, bounds = word_hashes(data, starts, ends), row_words(starts, offsets)
                 for i, (name, text) in enumerate(zip(piece["doc_id"].to_pylist(), piece["text"].to_pylist(), strict=True)):
                     names.append(name)
                     ids.append(encode(text or ""))
-                    words.append(hashes[bounds[i] : bounds[i + 1]])
+                    words.append(hashes[bounds[i] : bounds[i + 1]].copy())
                     tokens += len(ids[-1])
                     if len(ids) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
                         yield from shard()
         if ids:
             yield from shard()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, PIECES)
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(rows, PIECES)

@@ -10,11 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from tessera.llm.common import process_cache
+
 #: Odd multiplier of the polynomial and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes hashed at a time; bounds the working memory whatever the length of a text.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,17 +75,27 @@ def spans(data: np.ndarray, offsets: np.ndarray, flags: np.ndarray) -> tuple[np.
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, from 0 to size."""
+    out = np.full((2, size + 1), np.uint64(BASE))
+    out[1] = np.uint64(BASE_INVERSE)
+    out[:, 0] = 1
+    powers, inverse = np.multiply.accumulate(out, axis=1)
+    return powers, inverse
+
+
+def cached_power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return process_cache(("powers", size), lambda: power_table(size))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, equal for words that differ in the case of A-Z only."""
     out = np.empty(len(starts), np.uint64)
     if not len(starts):
         return out
     weights, n, i = byte_weights(), len(starts), 0
-    size = min(max(CHUNK, int((ends - starts).max())), len(data))
-    powers = np.full(size + 1, np.uint64(BASE))
-    inverse = np.full(size + 1, np.uint64(BASE_INVERSE))
-    powers[0] = inverse[0] = 1
-    powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+    size = max(CHUNK, int((ends - starts).max()))
+    powers, inverse = (power_table if size > CHUNK else cached_power_table)(size)
     while i < n:
         base = int(starts[i])
         j = max(int(np.searchsorted(ends, base + size, "right")), i + 1)
