@@ -21,13 +21,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked documents that of the smallest id stays; of equal rows, one. Only rows that a bitmap of
     fixed size cannot clear are shuffled."""
     found = materialise(ngram_join.ngram_components(docs), "components")
-    gone = found.where("component_id <> doc_id").select("doc_id")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     suspects = gone.union(twice.select("doc_id"))
     flagged = flag_by_bitmap(docs, "doc_id", suspects, "doc_id", "suspect")
     cleared = flagged.where("not suspect or doc_id is null").select(*docs.columns)
-    rest = flagged.where("suspect and doc_id is not null").select(*docs.columns)
-    rest = rest.join(gone.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    # of the few others those that stay are found by their ids alone, before any text is shuffled
+    stay = flag_by_bitmap(docs.select("doc_id"), "doc_id", suspects, "doc_id", "suspect").where("suspect").select("doc_id")
+    stay = materialise(stay.where("doc_id is not null").distinct().join(gone, "doc_id", "left_anti"), "stay")
+    rest = flag_by_bitmap(flagged.where("suspect"), "doc_id", stay, "doc_id", "stays").where("stays")
+    rest = rest.select(*docs.columns).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return cleared.unionByName(rest)
 
 

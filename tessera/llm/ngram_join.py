@@ -305,14 +305,15 @@ def open_lists(inverted: DataFrame) -> DataFrame:
     return rows.join(kinds, "token").select("token", "members", "set_key", "n", "pos")
 
 
-def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def open_pairs(rows: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Pairs of list members of different components that neither filters nor leaders' answers nor parities decide.
 
     rows: token, members, set_key, n, pos, component, near (a leader verified against the set), gap (the exact size
-    of the set difference to it), parity. Lists of one component are dropped; long lists are compared block by block.
+    of the set difference to it). Lists of one component are dropped; long lists are compared block by block.
+    parities: set_key, parity.
     """
     kinds = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rows = rows.join(kinds.where("low <> high").select("token"), "token")
+    rows = rows.join(kinds.where("low <> high").select("token"), "token").join(parities, "set_key")
     rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -439,7 +440,7 @@ def linked(index: DataFrame, docs: DataFrame, k: int, percent: int, positions: b
         rounds += 1
         last = crossing <= MANY * total or rounds > ROUNDS
         if last:
-            pairs = open_pairs(rows.join(parities_of(index, rows), "set_key"), percent)
+            pairs = open_pairs(rows, parities_of(index, rows), percent)
         else:
             pairs = plausible(led_pairs(rows, percent, rounds), index, percent)
         done = answers.selectExpr("least(a, b) as a", "greatest(a, b) as b")
