@@ -87,9 +87,9 @@ def grouping_sets(spark, sf_dir):
     return spark.sql(SETS.format("{orders}"), orders=t(spark, sf_dir, "orders"))
 
 
-@query("SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY o_custkey HAVING count(*) >= 12")
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) >= 12")
 def having(spark, sf_dir):
-    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean")).where("n >= 12")
+    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).where("n >= 12")
 
 
 @query("SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_samp(l_quantity), 6) AS var, median(l_quantity) AS median, quantile_cont(l_extendedprice, 0.9) AS p90, mode(l_linenumber) FILTER (WHERE l_linenumber = 1) AS one, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag")
