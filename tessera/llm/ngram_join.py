@@ -21,6 +21,8 @@ null component; an empty table gives an empty result. Other columns of the input
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -295,14 +297,55 @@ def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, k: int) -> Dat
     return materialise(both.mapInArrow(overlaps, "a long, b long, na long, nb long, overlap long"), "verified")
 
 
-def open_lists(inverted: DataFrame) -> DataFrame:
+def open_lists(inverted: DataFrame, percent: int) -> DataFrame:
     """The lists without their leaders that can hold further pairs: two rows or more, and of lists with the same
-    sets only the one of the rarest shingle, where the positions of all its sets are lowest."""
+    sets only the one of the rarest shingle, where the positions of all its sets are lowest; of these the rows that
+    can have a partner."""
     rows = inverted.where("set_key <> l_key and members > 1")
     kinds = inverted.where("set_key = l_key and members > 1").groupBy("members", "sets").agg(F.min("token").alias("token"))
     kinds = materialise(kinds.select("token"), "tokens")
     rows = flag_by_bitmap(rows, "token", kinds, "token", "maybe").where("maybe")
-    return rows.join(kinds, "token").select("token", "members", "set_key", "n", "pos")
+    rows = rows.join(kinds, "token").select("token", "members", "set_key", "n", "pos")
+    return paired(rows, percent)
+
+
+def paired(rows: DataFrame, percent: int, window: int = 32) -> DataFrame:
+    """List rows without those that sizes and positions let link with no other of their list: in the order of sizes a
+    row is compared with the next `window` rows; where more are within reach, both ends stay untested. So time is
+    linear in the rows and memory is a batch and a window, whatever the length of a list."""
+    names = ["token", "members", "set_key", "n", "pos"]
+
+    def keep(batches):
+        held = {c: np.zeros(0, np.int64) for c in names}
+        marks = np.zeros(0, bool)
+        for batch in chain(batches_of(batches), [None]):
+            if batch is not None:
+                held = {c: np.concatenate([held[c], batch[c]]) for c in names}
+                marks = np.concatenate([marks, np.zeros(len(batch["token"]), bool)])
+            total = len(marks)
+            token, n, left = held["token"], held["n"], held["n"] - held["pos"]
+            for d in range(1, min(window, total - 1) + 1):
+                same = token[:-d] == token[d:]
+                if not same.any():
+                    break
+                same &= n[d:] * percent <= n[:-d] * 100
+                if d < window:
+                    need = np.ceil(percent * (n[:-d] + n[d:]) / (100.0 + percent) - 1e-9)
+                    same &= np.minimum(left[:-d], left[d:]) >= need
+                marks[:-d] |= same
+                marks[d:] |= same
+            done = total if batch is None else max(0, total - window)
+            at = np.flatnonzero(marks[:done])
+            if len(at):
+                yield pa.RecordBatch.from_pydict({c: held[c][at] for c in names})
+            held, marks = {c: held[c][done:] for c in names}, marks[done:]
+
+    def batches_of(batches):
+        for batch in batches:
+            yield {c: batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
+
+    ordered = rows.repartition("token").sortWithinPartitions("token", "n")
+    return ordered.mapInArrow(keep, "token long, members long, set_key long, n long, pos long")
 
 
 def open_pairs(rows: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
@@ -428,7 +471,7 @@ def linked(index: DataFrame, docs: DataFrame, k: int, percent: int, positions: b
     link = f"100 * overlap >= {percent} * (na + nb - overlap)"
     answers = verified(stars, linkable, docs, k)
     labels = components(answers.where(link).select("a", "b"))
-    lists_left, rounds, last = materialise(open_lists(inverted), "open"), 0, False
+    lists_left, rounds, last = materialise(open_lists(inverted, percent), "open"), 0, False
     while not last:
         rows = materialise(with_answers(lists_left, answers, labels), "rows")
         # pairs of different components in a list, counted without forming them
