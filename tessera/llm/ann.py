@@ -4,7 +4,9 @@ Each table projects the unit vectors on `projections` Gaussian directions and cu
 width; a bucket is a combination of cells. For a query, a neighbour of the expected similarity has normally
 distributed projections of known mean and variance, so each bucket has an estimated success probability. The query
 visits buckets in descending order of it, the query's own and perturbed ones alike, until the estimates sum to
-`success`. Every row of a visited bucket is scored exactly; the tables' candidates are merged.
+`success`. Every row of a visited bucket is scored exactly; the tables' candidates are merged. Without projections a
+table is one bucket: so it is for as few rows as a bucket may hold, and for the queries that found fewer than k
+neighbours, which are scored against all rows.
 
 A bucket's rows and the queries that visit it are cut into blocks of bounded size, so a bucket that holds a third of
 all rows is many tasks and no task holds more than two blocks. Scores are cosines in double precision, summed in an
@@ -98,7 +100,33 @@ def nearest(
     )
     # projections by dimension: about 3 cells of a projection hold the rows
     sizes = {int(d): int(n) for d, n in rows.groupBy(F.size("v")).count().collect()}
-    counts = {d: max(2, min(12, round(math.log(max(n, target) / target) / math.log(3)))) for d, n in sizes.items()}
+    counts = {d: max(2, min(12, round(math.log(n / target) / math.log(3)))) if n > target else 0 for d, n in sizes.items()}
+    asked = rows.where(queries)
+    best = materialise(ranked(candidates(rows, asked, k, tables, counts, width, similarity, success), k), "nearest")
+    # whoever found too few is scored against all rows
+    filled = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    cut = [d for d, n in counts.items() if n]
+    short = asked.where(F.size("v").isin(cut)).join(filled, "vec_id", "left_anti")
+    if not cut or short.isEmpty():
+        return best
+    more = candidates(rows, short, k, 1, dict.fromkeys(counts, 0), width, similarity, success)
+    return ranked(best.select("query_id", "vec_id", "score").union(more), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query's candidates: query_id, rank, vec_id, score."""
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score"
+    )
+
+
+def candidates(
+    rows: DataFrame, asked: DataFrame, k: int, tables: int, counts: dict[int, int], width: float, similarity: float, success: float
+) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of each block of rows that a query of `asked` visits. rows and asked:
+    vec_id, v; counts: projections by dimension."""
 
     def hashed(batches, probing: bool):
         for batch in batches:
@@ -109,7 +137,7 @@ def nearest(
                 own = batch["v"].take(pa.array(at)).flatten().to_numpy().reshape(len(at), d)
                 bodies = [x.tobytes() for x in own]
                 units = unit(own)
-                for t in range(tables):
+                for t in range(tables if counts[d] else 1):
                     directions, offsets = projections_of(d, t, counts[d])
                     points = units @ directions.T
                     if probing:
@@ -132,7 +160,7 @@ def nearest(
 
     schema = "tab int, dim int, bucket long, vec_id long, body binary"
     home = rows.mapInArrow(lambda batches: hashed(batches, False), schema)
-    visits = rows.where(queries).mapInArrow(lambda batches: hashed(batches, True), schema)
+    visits = asked.mapInArrow(lambda batches: hashed(batches, True), schema)
     bucket = ["tab", "dim", "bucket"]
     # blocks of the buckets that have more than one: rows by queries
     many = home.groupBy(bucket).count().select(*bucket, F.ceil(F.col("count") / BLOCK).alias("r_blocks"))
@@ -176,11 +204,6 @@ def nearest(
             return schema.empty_table()
         return pa.table([np.concatenate(z) for z in zip(*out, strict=True)], schema=schema)
 
-    found = home.groupBy(group).cogroup(visits.groupBy(group)).applyInArrow(
+    return home.groupBy(group).cogroup(visits.groupBy(group)).applyInArrow(
         lambda left, right: score(left, right), "query_id long, vec_id long, score double"
     )
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
-    )
