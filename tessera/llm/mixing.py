@@ -91,7 +91,9 @@ def thresholds(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
         )
         at = materialise(at, "thresholds")
     nearer = F.coalesce(F.col("upto") - F.col("budget") < F.col("budget") - F.col("below"), F.lit(False))
-    return at.select("source", "source_size", "target", "copies", (F.col("prefix") - 1 + nearer.cast("long")).alias("upto_hash"))
+    # empty documents have any threshold above them, so a source already at its most copies has none
+    upto = F.when(F.col("copies") < most, F.col("prefix") - 1 + nearer.cast("long")).otherwise(-1)
+    return at.select("source", "source_size", "target", "copies", upto.alias("upto_hash"))
 
 
 def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
