@@ -31,6 +31,8 @@ BITS = 17
 ORDER = 4
 #: Labelled documents of each language that a model is fitted on, chosen by hash.
 SAMPLE = 3000
+#: log2 of the hash buckets by which the sample is cut, and the tasks that count it.
+BUCKET_BITS, PARTS = 16, 16
 #: Penalty of a language in the set, in units of half the logarithm of the number of independent 4-grams.
 PENALTY = 3.0
 #: Share of every distribution that is uniform.
@@ -79,8 +81,14 @@ def remainder(key: Column, by: int = 3) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, bits: int = BITS) -> Model:
     """The model of all labels in docs; at most `sample` documents of each, those of the smallest hashes of the key."""
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang")).where("lang is not null and k is not null")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    ids = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("k").distinct()
+    rows = rows.withColumn("h", F.xxhash64("k")).withColumn("bucket", F.shiftright("h", 64 - BUCKET_BITS))
+    # the hash buckets up to which a language has enough documents: only their rows are ranked
+    upto = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.groupBy("lang", "bucket").count().withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
+    edges = edges.where(F.col("before") < sample).groupBy("lang").agg(F.max("bucket").alias("edge"))
+    w = Window.partitionBy("lang").orderBy("h", "k")
+    near = rows.join(edges, "lang").where("bucket <= edge")
+    ids = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("k").distinct()
     # as many rows as `sample` for each language
     texts = small_batches(docs).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     texts = texts.where("lang is not null and text is not null").join(F.broadcast(ids), "k", "left_semi")
@@ -97,8 +105,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": [name], "at": [at.tobytes()], "n": [total[at].tobytes()]})
 
-    # the sample is bounded, so are its partial counts
-    parts = texts.select("lang", "text").coalesce(16).mapInArrow(count, "lang string, at binary, n binary").collect()
+    # the sample is bounded, so are its shuffle and its partial counts
+    parts = texts.repartition(PARTS, "k").select("lang", "text").mapInArrow(count, "lang string, at binary, n binary").collect()
     languages = sorted({name for name, _, _ in parts})
     counts = np.zeros((len(languages), 1 << bits))
     for name, at, n in parts:
