@@ -107,6 +107,16 @@ def test_language_mixture(spark, documents, odd, empty):
     assert {r["lang_pred"] for r in collected(language.predict(odd, language.fit(empty)))} == {"und"}
 
 
+def test_language_sample(spark, documents):
+    rows = documents.where("lang is not null").unionByName(documents.where("lang is null").withColumn("doc_id", F.lit(None).cast("long")))
+    first = {}
+    for r in collected(rows.where("lang is not null").select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id")):
+        first.setdefault(r["lang"], []).append(r["doc_id"])
+    chosen = rows.where(F.col("doc_id").isin([i for ids in first.values() for i in ids[:7]]))
+    some, whole = language.fit(rows, sample=7), language.fit(chosen)
+    assert some.languages == whole.languages == sorted(first) and (some.chances == whole.chances).all()
+
+
 def test_expectation_maximisation_never_worsens():
     rng = np.random.default_rng(1)
     chances = rng.random((200, 3)) + 0.01
@@ -139,6 +149,19 @@ def test_nearest_odd_rows(spark):
     out = [(r["rank"], r["vec_id"], r["score"]) for r in collected(ann.nearest(df, "vec_id = 0", success=1.0).orderBy("rank"))]
     assert out == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.0)]
     assert collected(ann.nearest(df.limit(0), "vec_id = 0")) == []
+    few = ann.nearest(df, "vec_id = 0", success=0.01)
+    assert [r["vec_id"] for r in collected(few.orderBy("rank"))] == [1, 2, 3]
+
+
+def test_nearest_scores_all_rows_for_lonely_queries(spark):
+    made = np.random.default_rng(3)
+    x = made.standard_normal((300, 16)) * 0.05 + np.eye(16)[0]
+    x[0] = -x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = collected(ann.nearest(df, "vec_id % 100 = 0", target=10, success=0.3))
+    assert sorted((r["query_id"], r["rank"]) for r in out) == [(q, i) for q in (0, 100, 200) for i in range(1, 6)]
+    scores = ann.cosines(np.repeat(x[:1], 299, axis=0), x[1:])
+    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 0] == (np.lexsort((np.arange(299), -scores))[:5] + 1).tolist()
 
 
 # ---- 4
@@ -214,6 +237,12 @@ def test_mixing_targets(spark, odd, empty):
     assert collected(mixing.mix(empty)) == [] and mixing.mixed(empty).columns == empty.columns
 
 
+def test_mixing_takes_empty_documents_at_most_twice(spark):
+    docs = spark.createDataFrame([(i, "a b c" if i < 3 else "", f"s{i % 3}") for i in range(200)], "doc_id long, text string, source string")
+    most = collected(mixing.mixed(docs).groupBy("doc_id").count().agg(F.max("count").alias("n")))
+    assert most[0]["n"] <= 2
+
+
 def test_mixing_reaches_targets(spark):
     made = collected(mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")))
     assert sum(r["taken"] for r in made) == pytest.approx(1.5 * sum(r["size"] for r in made), rel=0.02)
