@@ -31,8 +31,8 @@ BITS = 17
 ORDER = 4
 #: Labelled documents of each language that a model is fitted on, chosen by hash.
 SAMPLE = 3000
-#: log2 of the hash buckets by which the sample is cut, and the tasks that count it.
-BUCKET_BITS, PARTS = 16, 16
+#: Levels of hash buckets by which the sample is cut, bits of each, and the tasks that count the sample.
+LEVELS, BUCKET_BITS, PARTS = 2, 12, 16
 #: Penalty of a language in the set, in units of half the logarithm of the number of independent 4-grams.
 PENALTY = 3.0
 #: Share of every distribution that is uniform.
@@ -78,16 +78,34 @@ def remainder(key: Column, by: int = 3) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(by))
 
 
+def hash_bucket(levels: int) -> Column:
+    return F.shiftright("h", 64 - BUCKET_BITS * levels)
+
+
+def hash_edges(rows: DataFrame, sample: int) -> DataFrame:
+    """(lang, edge, base): the hash bucket of the last level up to which a language of rows (lang, h) has `sample` rows,
+    and how many are before it. Each level counts the buckets of the last level's edge only."""
+    edges = None
+    for level in range(1, LEVELS + 1):
+        inside = rows.withColumn("base", F.lit(0).cast("long"))
+        if edges is not None:
+            inside = rows.join(F.broadcast(edges), "lang").where(hash_bucket(level - 1) == F.col("edge"))
+        counts = inside.groupBy("lang", "base", hash_bucket(level).alias("bucket")).count()
+        before = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.col("base") + F.coalesce(F.sum("count").over(before), F.lit(0)))
+        found = counts.where(F.col("before") < sample).groupBy("lang")
+        edges = found.agg(F.max("bucket").alias("edge"), F.max("before").alias("base"))
+    return edges
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, bits: int = BITS) -> Model:
     """The model of all labels in docs; at most `sample` documents of each, those of the smallest hashes of the key."""
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang")).where("lang is not null and k is not null")
-    rows = rows.withColumn("h", F.xxhash64("k")).withColumn("bucket", F.shiftright("h", 64 - BUCKET_BITS))
-    # the hash buckets up to which a language has enough documents: only their rows are ranked
-    upto = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edges = rows.groupBy("lang", "bucket").count().withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
-    edges = edges.where(F.col("before") < sample).groupBy("lang").agg(F.max("bucket").alias("edge"))
+    rows = rows.withColumn("h", F.xxhash64("k"))
+    # as many rows as languages, each of which the model holds as a column
+    edges = F.broadcast(hash_edges(rows, sample))
+    near = rows.join(edges, "lang").where(hash_bucket(LEVELS) <= F.col("edge"))
     w = Window.partitionBy("lang").orderBy("h", "k")
-    near = rows.join(edges, "lang").where("bucket <= edge")
     ids = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("k").distinct()
     # as many rows as `sample` for each language
     texts = small_batches(docs).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
