@@ -2,7 +2,7 @@
 
 Documents are encoded whole and end with an end id; together they fill sequences of a fixed window. A shard is a run of
 documents of one input partition, bounded in documents and tokens, with an inverted index of BM25 weights of its own
-words. The first unused document is a seed: the index returns the unused documents that share its heaviest words, best
+words. The first unused document is a seed: the index returns the unused documents that share any of its words, best
 first, and they fill the seed's window greedily; the last is cut where the window ends and its rest is the next
 window's seed. Without further neighbours the next unused document goes on as seed in the same window. Stretches of a
 window's length of a long document are windows of their own.
@@ -34,13 +34,13 @@ WINDOW = 2048
 END_ID = 1
 #: Bounds of a shard.
 SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 22
-#: Words of a seed that the index is asked for, the heaviest first; BM25's constants.
-QUERY_WORDS, K1, B = 16, 1.2, 0.75
+#: BM25's constants.
+K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
 
 
 class Index:
-    """BM25 weights by word (posting lists) and each document's heaviest words."""
+    """BM25 weights by word (posting lists) and each document's words."""
 
     def __init__(self, words: np.ndarray, bounds: np.ndarray):
         docs = len(bounds) - 1
@@ -65,12 +65,12 @@ class Index:
         self.start = np.concatenate(([0], np.cumsum(df)))
         term = np.repeat(np.arange(len(df)), df)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        heavy = np.lexsort((term, -self.weight, doc))
-        begin = np.searchsorted(doc[heavy], np.arange(docs + 1))
-        self.query = [term[heavy[b : min(b + QUERY_WORDS, e)]] for b, e in zip(begin[:-1], begin[1:], strict=True)]
+        own = np.lexsort((term, doc))
+        begin = np.searchsorted(doc[own], np.arange(docs + 1))
+        self.query = [term[own[b:e]] for b, e in zip(begin[:-1], begin[1:], strict=True)]
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share the document's heaviest words, best first, ties in order."""
+        """Unused documents that share a word with the document, best first, ties in order."""
         terms = self.query[doc]
         if not len(terms):
             return np.zeros(0, np.int64)

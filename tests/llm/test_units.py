@@ -162,6 +162,15 @@ def test_index_weights_are_bm25():
     assert index.neighbours(0, np.array([0, 1, 1, 1, 1])).tolist() == order
 
 
+def test_index_asks_for_all_words():
+    """Document 0 shares its 20 heaviest words with 1 and a light one, of many documents, with 2 alone of the rest."""
+    rows = [" ".join(f"h{i} " * 3 for i in range(20)) + "light", " ".join(f"h{i}" for i in range(20)), "light", "other"]
+    data, offsets = text_buffer(pa.array(rows))
+    starts, ends = spans(data, offsets, alnum_bytes())
+    index = packing.Index(word_hashes(data, starts, ends), row_words(starts, offsets))
+    assert index.neighbours(0, np.array([0, 1, 1, 1])).tolist() == [1, 2]
+
+
 def test_signatures_estimate_likeness():
     rng = np.random.default_rng(4)
     errors = []
