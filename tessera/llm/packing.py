@@ -1,22 +1,28 @@
 """Lexical retrieval packing.
 
-Documents are encoded whole and end with an end id; together they fill sequences of a fixed window. A shard is a run of
-documents of one input partition, bounded in documents and tokens, with an inverted index of BM25 weights of its own
-words. The first unused document is a seed: the index returns the unused documents that share any of its words, best
-first, and they fill the seed's window greedily; the last is cut where the window ends and its rest is the next
-window's seed. Without further neighbours the next unused document goes on as seed in the same window. Stretches of a
-window's length of a long document are windows of their own.
-
-Nothing is shuffled: shards are independent and a lost task is packed again to the same pieces. Every id is in exactly
-one piece. Only a shard's last window can stay partly filled; it is cut into sequences whose lengths are powers of
-two, the lengths that need no padding.
-
-A null text is empty and is one end id. Repeated rows are packed each. A longer text than a shard's bound makes a shard
+Documents are encoded whole and end with an end id; together they fill sequences of a fixed window. The first unused
+document is a seed: all unused documents of the table that share a word with it are ranked by BM25, with document
+frequencies and the mean length of the whole table, and fill the seed's window greedily, best first, ties in order; the
+last is cut where the window ends, and its rest is a seed of the next window. A window whose seed has no further
+neighbours goes to the next seed. Stretches of a window's length of a long document are windows of their own.
+
+The inverted index is kept in blocks, runs of documents of one input partition that are bounded in documents and
+tokens. Seeds are asked in rounds: each round sends a bounded number of them to every block and merges the answers, so
+that a seed's neighbours come from the whole table. An answer is the best documents that would fill several windows; a
+seed whose answer was used up by other seeds of its round is asked again in the next one, so nothing is cut off. The
+driver holds each document's size and what is left of it, and deals a round's answers out in the order of its seeds.
+The work of asking grows with the number of seeds times the number of documents.
+
+Every id is in exactly one piece. Only the last window of the table can stay partly filled; it is cut into sequences
+whose lengths are powers of two, the lengths that need no padding.
+
+A null text is empty and is one end id. Repeated rows are packed each. A longer text than a block's bound makes a block
 of its own. An empty table gives an empty result. Other columns of the input are never read.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -26,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import default_ranks, ranks_encoding
-from tessera.llm.common import pieces, process_cache, small_batches
+from tessera.llm.common import materialise, pieces, process_cache, shared_folder, small_batches
 from tessera.llm.words import alnum_bytes, row_words, spans, text_buffer, word_hashes
 
 WINDOW = 2048
 #: The id after each document, as the contract sets it.
 END_ID = 1
-#: Bounds of a shard.
-SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 22
+#: Bounds of a block of the index.
+BLOCK_DOCS, BLOCK_TOKENS = 8192, 1 << 22
+#: Seeds of a round, and the windows that an answer would fill.
+ROUND, FILLED = 8192, 4
 #: BM25's constants.
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
@@ -166,43 +174,36 @@ def encoder(ranks: tuple[str, str], json_path: str):
     return encode
 
 
-def pack(docs: DataFrame, json_path: str | None = None, ranks: tuple[str, str] | None = None) -> DataFrame:
-    """The pieces of all rows of (doc_id, text): doc_id, start (the document's ids before it), length, ids_crc32,
-    doc_tokens, sequence_id, offset (in its sequence)."""
-    ranks = ranks or default_ranks()
-    if json_path is None:
-        import public_tokenizers
-
-        json_path = public_tokenizers.path("byte_bpe_50k.json")
-
+BLOCKS = "block long, names array<long>, sizes binary, ids binary, lengths binary, words binary, start binary, doc binary, tf binary"
+FOUND = "part int, seed int, row long, score double, n long"
+
+
+def block_row(block: int, names: list, ids: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
+    """One row of BLOCKS: the documents' ids and the posting lists of their words, in the order of the words' hashes."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    flat = np.concatenate(words)
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    tf = np.diff(np.append(first, len(flat)))
+    flat, owner = flat[first], owner[first]
+    edge = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+    columns = {
+        "block": [block], "names": pa.array([names], pa.list_(pa.int64())), "sizes": [np.array([len(x) for x in ids], "<i8").tobytes()],
+        "ids": [np.concatenate(ids).astype("<u4").tobytes()], "lengths": [lengths.astype("<i8").tobytes()], "words": [flat[edge].astype("<u8").tobytes()],
+        "start": [np.append(edge, len(flat)).astype("<i8").tobytes()], "doc": [owner.astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes()], "tf": [tf.astype("<u4").tobytes()],
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def blocks_of(docs: DataFrame, json_path: str, ranks: tuple[str, str]) -> DataFrame:
     def rows(batches):
         encode = encoder(ranks, json_path)
-        sequence = TaskContext.get().partitionId() << 40
-        names, ids, words = [], [], []
-        tokens = 0
-
-        def shard():
-            nonlocal sequence, names, ids, words, tokens
-            counts = [len(w) for w in words]
-            index = Index(np.concatenate(words) if words else np.zeros(0, np.uint64), np.cumsum([0, *counts]))
-            words = []
-            full, last = packed([len(x) for x in ids], index)
-            full += by_powers(last)
-            for s in range(0, len(full), 4096):
-                out = []
-                for window in full[s : s + 4096]:
-                    offset = 0
-                    for d, start, n in window:
-                        crc = zlib.crc32(ids[d][start : start + n].astype("<u4").tobytes())
-                        out.append((names[d], start, n, crc, len(ids[d]), sequence, offset))
-                        offset += n
-                    sequence += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in zip(*out, strict=True)],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-                )
-            names, ids, words, tokens = [], [], [], 0
-
+        block = TaskContext.get().partitionId() << 20
+        names, ids, words, tokens = [], [], [], 0
         for batch in batches:
             for piece in pieces(batch, "text"):
                 data, offsets = text_buffer(piece["text"])
@@ -213,10 +214,328 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks: tuple[str, str] |
                     ids.append(encode(text or ""))
                     words.append(hashes[bounds[i] : bounds[i + 1]].copy())
                     tokens += len(ids[-1])
-                    if len(ids) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
-                        yield from shard()
+                    if len(ids) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
+                        yield block_row(block, names, ids, words)
+                        block += 1
+                        names, ids, words, tokens = [], [], [], 0
         if ids:
-            yield from shard()
+            yield block_row(block, names, ids, words)
 
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(rows, PIECES)
+    return docs.mapInArrow(rows, BLOCKS)
+
+
+def numbers(row: dict, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(row[name], kind)
+
+
+def doc_of(row: dict) -> np.ndarray:
+    wide = len(row["doc"]) == len(row["tf"])
+    return numbers(row, "doc", "<u4" if wide else "<u2").astype(np.int64)
+
+
+def with_idf(blocks: DataFrame, total: int) -> DataFrame:
+    """The blocks' posting lists with the inverse document frequencies of the whole table; 0 for a word of one document."""
+
+    def counts(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, n = numbers(row, "words", "<i8"), np.diff(numbers(row, "start", "<i8"))
+                for s in range(0, len(words), 65536):
+                    part = words[s : s + 65536]
+                    yield pa.RecordBatch.from_pydict({"block": np.full(len(part), row["block"]), "word": part, "n": n[s : s + 65536]})
+
+    terms = materialise(blocks.select("block", "words", "start").mapInArrow(counts, "block long, word long, n long"), "terms")
+    df = terms.groupBy("word").agg(F.sum("n").alias("df"))
+    shared = terms.select("block", "word").join(df.where("df > 1"), "word")
+
+    def filled(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        words = numbers(row, "words", "<u8")
+        idf = np.zeros(len(words))
+        df = right["df"].to_numpy()
+        idf[np.searchsorted(words, right["word"].to_numpy().view(np.uint64))] = np.log1p((total - df + 0.5) / (df + 0.5))
+        return left.append_column("idf", pa.array([idf.tobytes()], pa.binary()))
+
+    index = blocks.select("block", "sizes", "lengths", "words", "start", "doc", "tf")
+    schema = "block long, sizes binary, lengths binary, words binary, start binary, doc binary, tf binary, idf binary"
+    return index.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(filled, schema)
+
+
+def filling(seed, row, score, n, most: int):
+    """Each seed's best candidates up to `most` ids, best first, ties in order, and the seeds that have further ones."""
+    order = np.lexsort((row, -score, seed))
+    seed, row, score, n = seed[order], row[order], score[order], n[order]
+    before = np.cumsum(n) - n
+    before -= before[np.searchsorted(seed, seed, "left")]
+    keep = before < most
+    return (seed[keep], row[keep], score[keep], n[keep]), np.unique(seed[~keep])
+
+
+def found_rows(kept, more: np.ndarray) -> pa.RecordBatch:
+    """Rows of FOUND; a row -1 says that its seed has further candidates."""
+    seed = np.concatenate([kept[0], more]).astype(np.int32)
+    none = np.full(len(more), -1, np.int64)
+    arrays = [seed & 63, seed, np.concatenate([kept[1], none]), np.concatenate([kept[2], none.astype(np.float64)]), np.concatenate([kept[3], none])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["part", "seed", "row", "score", "n"])
+
+
+def asked(index: DataFrame, base: dict[int, int], seeds: np.ndarray, unused: np.ndarray, mean: float, window: int):
+    """For each seed (a row number) the best unused rows and whether there are more."""
+    context = index.sparkSession.sparkContext
+    first = np.array([base[b] for b in sorted(base)])
+    names = np.array(sorted(base))
+    homes = np.unique(names[np.searchsorted(first, seeds, "right") - 1]).tolist()
+    wanted = np.sort(seeds)
+
+    def terms(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                start, doc, idf = numbers(row, "start", "<i8"), doc_of(row), numbers(row, "idf", "<f8")
+                size, at = len(row["sizes"]) // 8, base[row["block"]]
+                own = wanted[np.searchsorted(wanted, at) : np.searchsorted(wanted, at + size)] - at
+                flag = np.zeros(size, bool)
+                flag[own] = True
+                term = np.repeat(np.arange(len(idf)), np.diff(start))
+                use = flag[doc] & (idf[term] > 0)
+                term, doc = term[use], doc[use]
+                order = np.lexsort((term, doc))
+                words, doc = numbers(row, "words", "<u8")[term[order]], doc[order]
+                bounds = np.searchsorted(doc, np.append(own, size))
+                lists = [words[b:e].tobytes() for b, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(at + own, pa.int64()), pa.array(lists, pa.binary())], ["row", "words"])
+
+    own = index.where(F.col("block").isin(homes)).select("block", "sizes", "words", "start", "doc", "tf", "idf")
+    table = own.mapInArrow(terms, "row long, words binary").toArrow()
+    of = dict(zip(table["row"].to_pylist(), table["words"].to_pylist(), strict=True))
+    lists = [np.frombuffer(of.get(int(x), b""), "<u8") for x in seeds]
+    known, place = np.unique(np.concatenate(lists), return_inverse=True)
+    sent = context.broadcast((known, place.astype(np.int32), np.cumsum([0, *map(len, lists)]), seeds, np.packbits(unused), base))
+    most = FILLED * window
+
+    def score(batches):
+        known, place, bounds, seeds, bits, base = sent.value
+        kept, more = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)), np.zeros(0, np.int64)
+        # what a candidate needs at least, once a seed has enough
+        least = np.zeros(len(seeds))
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = numbers(row, "sizes", "<i8") % window
+                docs, at = len(n), base[row["block"]]
+                free = np.unpackbits(bits[at >> 3 : (at + docs + 7 >> 3) + 1])[at & 7 :][:docs].astype(bool)
+                rows, narrow = at + np.flatnonzero(free), np.cumsum(free) - 1
+                n = n[free]
+                doc, start, idf = doc_of(row), numbers(row, "start", "<i8"), numbers(row, "idf", "<f8")
+                norm = K1 * (1 - B + B * numbers(row, "lengths", "<i8") / mean)
+                term = np.repeat(np.arange(len(idf)), np.diff(start))
+                use = free[doc] & (idf[term] > 0)
+                doc, term = doc[use], term[use]
+                if not len(doc):
+                    continue
+                tf = numbers(row, "tf", "<u4")[use].astype(np.float64)
+                weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+                doc = narrow[doc]
+                begin = np.searchsorted(term, np.arange(len(idf) + 1))
+                words = numbers(row, "words", "<u8")
+                spot = np.minimum(np.searchsorted(words, known), len(words) - 1)
+                here = (words[spot] == known) & (begin[spot + 1] > begin[spot])
+                # the words of many documents as a matrix, the others as posting lists
+                count = np.diff(begin)
+                common = np.flatnonzero(count > 0.05 * len(rows))
+                common = common[np.argsort(-count[common], kind="stable")[:1024]]
+                column = np.full(len(idf), -1)
+                column[common] = np.arange(len(common))
+                dense = column[term] >= 0
+                matrix = np.zeros((len(common), len(rows)))
+                matrix[column[term[dense]], doc[dense]] = weight[dense]
+                held = [kept]
+                for s in range(0, len(seeds), 256):
+                    own = place[bounds[s] : bounds[min(s + 256, len(seeds))]]
+                    owner = np.repeat(np.arange(len(bounds[s : s + 257]) - 1), np.diff(bounds[s : s + 257]))
+                    own, owner = own[here[own]], owner[here[own]]
+                    t = spot[own]
+                    query = np.zeros((len(bounds[s : s + 257]) - 1, len(common)))
+                    many = column[t] >= 0
+                    query[owner[many], column[t[many]]] = 1
+                    block = query @ matrix
+                    t, owner = t[~many], owner[~many]
+                    edges = np.searchsorted(owner, np.arange(len(block) + 1))
+                    low, high = begin[t].tolist(), begin[t + 1].tolist()
+                    for j, scores in enumerate(block):
+                        i = s + j
+                        runs = [slice(low[x], high[x]) for x in range(edges[j], edges[j + 1])]
+                        if runs:
+                            scores += np.bincount(np.concatenate([doc[r] for r in runs]), np.concatenate([weight[r] for r in runs]), len(rows))
+                        if at <= seeds[i] < at + docs and free[seeds[i] - at]:
+                            scores[narrow[seeds[i] - at]] = 0
+                        hits = np.flatnonzero((scores > 0) & (scores >= least[i] - 1e-6))
+                        if len(hits) > 64:
+                            best = hits[scores[hits] >= np.partition(scores[hits], -64)[-64] - 1e-6]
+                            if n[best].sum() >= most and len(best) < len(hits):
+                                more = np.append(more, i)
+                                hits = best
+                        # equal documents get equal scores, in whatever order their words were summed
+                        held.append((np.full(len(hits), i), rows[hits], np.round(scores[hits], 9), n[hits]))
+                kept, cut = filling(*(np.concatenate(x) for x in zip(*held, strict=True)), most)
+                more = np.union1d(more, cut).astype(np.int64)
+                ends = np.searchsorted(kept[0], cut, "right") - 1
+                least[cut] = kept[2][ends]
+        if len(kept[0]):
+            yield found_rows(kept, more)
+
+    def merged(found: pa.Table) -> pa.Table:
+        seed, row, points, n = (found[c].to_numpy() for c in ("seed", "row", "score", "n"))
+        real = row >= 0
+        kept, cut = filling(seed[real], row[real], points[real], n[real], most)
+        return pa.Table.from_batches([found_rows(kept, np.union1d(cut, seed[~real]))])
+
+    out = index.mapInArrow(score, FOUND).groupBy("part").applyInArrow(merged, FOUND).toArrow()
+    sent.destroy()
+    seed, row, points = (out[c].to_numpy() for c in ("seed", "row", "score"))
+    more = set(seed[row < 0].tolist())
+    real = row >= 0
+    seed, row, points = seed[real], row[real], points[real]
+    order = np.lexsort((row, -points, seed))
+    row, edges = row[order], np.searchsorted(seed[order], np.arange(len(seeds) + 1))
+    return [(row[edges[i] : edges[i + 1]].tolist(), i in more) for i in range(len(seeds))]
+
+
+class Windows:
+    """What is left of each document, the open windows, and the pieces dealt out: (row, start, length) by window."""
+
+    def __init__(self, sizes: np.ndarray, window: int = WINDOW):
+        self.window, self.rest = window, sizes % window
+        self.taken = sizes - self.rest
+        self.unused = self.rest > 0
+        self.full: list[list[tuple[int, int, int]]] = []
+        #: seeds that wait for an answer, with their windows; windows whose seeds have no further neighbours
+        self.waiting: list[tuple[int, list]] = []
+        self.spare: list[list] = []
+        self.cursor = 0
+
+    def space(self, own: list) -> int:
+        return self.window - sum(n for _, _, n in own)
+
+    def put(self, at: int, own: list) -> list | None:
+        """The document's rest goes to the window, and what does not fit to the next, which is returned."""
+        self.unused[at] = False
+        while self.rest[at]:
+            n = int(min(self.rest[at], self.space(own)))
+            own.append((at, int(self.taken[at]), n))
+            self.taken[at] += n
+            self.rest[at] -= n
+            if not self.space(own):
+                self.full.append(own)
+                own = []
+        return own
+
+    def seeds(self, count: int) -> np.ndarray:
+        """Waiting seeds, then the first unused documents."""
+        old = [at for at, _ in self.waiting[:count]]
+        left = np.flatnonzero(self.unused[self.cursor :])[: count - len(old)] + self.cursor
+        return np.array([*old, *left.tolist()], np.int64)
+
+    def deal(self, seeds: np.ndarray, answers: list[tuple[list[int], bool]]) -> None:
+        open_ones, self.waiting = self.waiting[: len(seeds)], self.waiting[len(seeds) :]
+        for i, (at, (queue, more)) in enumerate(zip(seeds.tolist(), answers, strict=True)):
+            if i < len(open_ones):
+                own = open_ones[i][1]
+            elif not self.unused[at]:
+                continue
+            else:
+                own = self.put(at, self.spare.pop() if self.spare else [])
+                if not own:
+                    continue
+            closed = len(self.full)
+            for x in queue:
+                if self.unused[x]:
+                    own = self.put(x, own)
+                    if len(self.full) > closed:
+                        if own:
+                            self.waiting.append((x, own))
+                        break
+            else:
+                if more:
+                    self.waiting.append((at, own))
+                else:
+                    self.spare.append(own)
+        while self.cursor < len(self.unused) and not self.unused[self.cursor]:
+            self.cursor += 1
+
+    def last(self) -> list[list[tuple[int, int, int]]]:
+        """The open windows put together: full ones, and powers of two of what is left."""
+        out: list[list] = []
+        own: list = []
+        for at, start, n in (p for w in [*(w for _, w in self.waiting), *self.spare] for p in w):
+            while n:
+                m = min(n, self.space(own))
+                own.append((at, start, m))
+                start, n = start + m, n - m
+                if not self.space(own):
+                    out.append(own)
+                    own = []
+        self.waiting, self.spare = [], []
+        return out + by_powers(own)
+
+
+def pack(docs: DataFrame, json_path: str | None = None, ranks: tuple[str, str] | None = None) -> DataFrame:
+    """The pieces of all rows of (doc_id, text): doc_id, start (the document's ids before it), length, ids_crc32,
+    doc_tokens, sequence_id, offset (in its sequence)."""
+    ranks = ranks or default_ranks()
+    if json_path is None:
+        import public_tokenizers
+
+        json_path = public_tokenizers.path("byte_bpe_50k.json")
+    spark = docs.sparkSession
+    blocks = materialise(blocks_of(docs, json_path, ranks), "blocks")
+    sizes, base, total, words = [], {}, 0, 0
+    for block, own, lengths in blocks.select("block", "sizes", "lengths").orderBy("block").toLocalIterator():
+        base[block] = total
+        sizes.append(np.frombuffer(own, "<i8"))
+        total += len(sizes[-1])
+        words += int(np.frombuffer(lengths, "<i8").sum())
+    if not total:
+        return spark.createDataFrame([], PIECES)
+    index = materialise(with_idf(blocks, total), "index")
+    windows = Windows(np.concatenate(sizes))
+    folder, made = f"{shared_folder(spark)}/dealt-{uuid.uuid4().hex}", 0
+    names, first = np.array(sorted(base)), np.array([base[b] for b in sorted(base)])
+
+    def write(full: list[list[tuple[int, int, int]]]) -> None:
+        nonlocal made
+        flat = np.array([(at, start, n, made + i) for i, w in enumerate(full) for at, start, n in w], np.int64).reshape(-1, 4)
+        offset = np.cumsum(flat[:, 2]) - flat[:, 2]
+        offset -= offset[np.searchsorted(flat[:, 3], flat[:, 3], "left")]
+        home = np.searchsorted(first, flat[:, 0], "right") - 1
+        table = pa.table([names[home], flat[:, 0] - first[home], *flat[:, 1:].T, offset], ["block", "at", "start", "length", "sequence_id", "offset"])
+        spark.createDataFrame(table).write.mode("append").parquet(folder)
+        made += len(full)
+
+    while windows.unused.any():
+        seeds = windows.seeds(ROUND)
+        windows.deal(seeds, asked(index, base, seeds, windows.unused, max(1.0, words / total), WINDOW))
+        write(windows.full)
+        windows.full = []
+    write(windows.last())
+    dealt = spark.read.schema("block long, at long, start long, length long, sequence_id long, offset long").parquet(folder)
+
+    def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        sizes, names = numbers(row, "sizes", "<i8"), row["names"]
+        ends = np.cumsum(sizes)
+        ids, out = memoryview(row["ids"]), []
+        for at, start, n, sequence, offset in zip(*(right[c].to_pylist() for c in ("at", "start", "length", "sequence_id", "offset")), strict=True):
+            out.append((at, start, n, sequence, offset))
+        # stretches of a window's length are sequences of their own, numbered by document
+        for at in np.flatnonzero(sizes >= WINDOW).tolist():
+            for i in range(int(sizes[at]) // WINDOW):
+                out.append((at, i * WINDOW, WINDOW, 1 << 62 | (base[row["block"]] + at) << 22 | i, 0))
+        rows = []
+        for at, start, n, sequence, offset in out:
+            b = int(ends[at] - sizes[at]) + start
+            rows.append((names[at], start, n, zlib.crc32(ids[4 * b : 4 * (b + n)]), int(sizes[at]), sequence, offset))
+        columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        return pa.table([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], columns)
+
+    tokens = blocks.select("block", "names", "sizes", "ids")
+    return tokens.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(assembled, PIECES)

@@ -208,6 +208,44 @@ def test_packing(spark, documents, odd, empty):
     assert collected(packing.pack(empty)) == []
 
 
+def test_packing_finds_neighbours_in_other_partitions(spark):
+    topics = [" ".join(f"topic{t}word{i}" for i in range(130)) for t in range(12)]
+    docs = spark.createDataFrame([(i, topics[i % 12]) for i in range(24)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    assert docs.select(F.spark_partition_id().alias("p"), "doc_id").where("doc_id in (0, 12)").select("p").distinct().count() == 2
+    sequences = {}
+    for r in collected(packing.pack(docs)):
+        sequences.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    assert all(sequences[t] & sequences[t + 12] for t in range(12))
+
+
+def test_packing_ranks_the_whole_table(spark, documents, monkeypatch):
+    """The first round's answers against BM25 by hand over all documents, whatever the partitions."""
+    rows = collected(documents.orderBy("doc_id").limit(60))
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) for r in rows]
+    held, ask = [], packing.asked
+
+    def first(index, base, seeds, unused, *more):
+        answers = ask(index, base, seeds, unused, *more)
+        held.append((seeds.tolist(), unused.copy(), answers))
+        return answers
+
+    monkeypatch.setattr(packing, "asked", first)
+    packing.pack(spark.createDataFrame([(i, r["text"]) for i, r in enumerate(rows)], "doc_id long, text string").repartitionByRange(3, "doc_id"))
+    seeds, unused, answers = held[0]
+    mean, df = sum(map(len, words)) / 60, {}
+    for own in words:
+        for w in set(own):
+            df[w] = df.get(w, 0) + 1
+    for seed, (found, further) in zip(seeds, answers, strict=True):
+        scores = {}
+        for i, own in enumerate(words):
+            if i != seed and unused[i]:
+                shared = [w for w in set(words[seed]) & set(own)]
+                scores[i] = sum(np.log1p((60 - df[w] + 0.5) / (df[w] + 0.5)) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in shared)
+        order = sorted((i for i in scores if scores[i]), key=lambda i: (-round(scores[i], 9), i))
+        assert found == order[: len(found)] and (further or len(found) == len(order))
+
+
 # ---- 6
 def test_sharding_odd_rows(odd, empty):
     out = collected(sharding.place(odd.withColumn("slot", F.lit("clash")), "doc_id", ["a", "b", "c"], 101))
