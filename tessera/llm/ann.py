@@ -185,16 +185,25 @@ def candidates(
             (t["vec_id"].to_numpy(), np.stack([np.frombuffer(b.as_py(), np.float64) for b in t["body"]]))
             for t in (left, right)
         )
+        # rows of one id stand together: a place is an id's, not a row's
+        by_id = np.argsort(ids, kind="stable")
+        ids, x = ids[by_id], x[by_id]
+        item = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         rough, out = unit(x), []
         for s in range(0, len(q), 256):
             block = unit(q[s : s + 256]) @ rough.T
             block[qids[s : s + 256][:, None] == ids[None, :]] = -np.inf
-            last = min(k, block.shape[1])
-            least = np.partition(block, block.shape[1] - last, axis=1)[:, block.shape[1] - last] - 1e-9
+            best = np.maximum.reduceat(block, item, axis=1)
+            last = min(k, best.shape[1])
+            least = np.partition(best, best.shape[1] - last, axis=1)[:, best.shape[1] - last] - 1e-9
             r, c = np.nonzero((block >= least[:, None]) & (block > -np.inf))
             if not len(r):
                 continue
             exact = cosines(q[s + r], x[c])
+            order = np.lexsort((-exact, ids[c], r))
+            r, c, exact = r[order], c[order], exact[order]
+            first = np.concatenate(([True], (r[1:] != r[:-1]) | (ids[c[1:]] != ids[c[:-1]])))
+            r, c, exact = r[first], c[first], exact[first]
             order = np.lexsort((ids[c], -exact, r))
             r, c, exact = r[order], c[order], exact[order]
             first = np.searchsorted(r, r, "left")

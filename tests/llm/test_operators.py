@@ -164,6 +164,13 @@ def test_nearest_scores_all_rows_for_lonely_queries(spark):
     assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 0] == (np.lexsort((np.arange(299), -scores))[:5] + 1).tolist()
 
 
+def test_nearest_gives_a_repeated_id_one_place(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.01 * i]) for i in range(7)] + [(i, [1.0, float(i)]) for i in range(2, 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = [(r["rank"], r["vec_id"]) for r in collected(ann.nearest(df, "vec_id = 0").orderBy("rank"))]
+    assert out == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
 # ---- 4
 def test_licenses_odd_rows(odd, empty):
     out = collected(licenses.scan(odd))
