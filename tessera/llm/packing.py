@@ -1,110 +1,115 @@
 """Lexical retrieval packing.
 
 Documents are encoded whole and end with an end id; together they fill sequences of a fixed window. The first unused
-document is a seed: all unused documents of the table that share a word with it are ranked by BM25, with document
-frequencies and the mean length of the whole table, and fill the seed's window greedily, best first, ties in order; the
-last is cut where the window ends, and its rest is a seed of the next window. A window whose seed has no further
-neighbours goes to the next seed. Stretches of a window's length of a long document are windows of their own.
-
-The inverted index is kept in blocks, runs of documents of one input partition that are bounded in documents and
-tokens. Seeds are asked in rounds: each round sends a bounded number of them to every block and merges the answers, so
-that a seed's neighbours come from the whole table. An answer is the best documents that would fill several windows; a
-seed whose answer was used up by other seeds of its round is asked again in the next one, so nothing is cut off. The
-driver holds each document's size and what is left of it, and deals a round's answers out in the order of its seeds.
-The work of asking grows with the number of seeds times the number of documents.
-
-Every id is in exactly one piece. Only the last window of the table can stay partly filled; it is cut into sequences
+document of a shard is a seed: the shard's unused documents that share a term with it are ranked by BM25 and fill the
+seed's window greedily, best first, ties in order; the last is cut where the window ends, and its rest is a seed of
+the next window. A window whose seed has no further neighbours goes to the next seed. Stretches of a window's length
+of a long document are windows of their own.
+
+The index's terms are the tokenizer's ids, all of a document's, so the document frequencies of the whole table are one
+array of the vocabulary's size. Shards are made by content, not by the input's partitions: terms are put in one random
+order in which a term of weight idf comes first with a chance in proportion to it, and a document is dealt by its
+first term and, within it, by its first one in a second such order. Two documents thus meet with the chance of their
+idf-weighted Jaccard similarity at least, wherever they lie. Neighbours that lie in another shard are not found: the
+price of work in proportion to the input. First terms are dealt to shards of about SHARD ids in a row; a first term that
+holds more is dealt by the second in SUBS parts, and a part that holds more than SHARD still (a group of copies, say)
+is spread evenly over shards. The tables for that have at most a row for each id of the vocabulary and part.
+
+Every id is in exactly one piece. What is left of each shard, under a window, is put together from GROUP shards at a
+time in a second step; only the last window of each such group can stay partly filled, and it is cut into sequences
 whose lengths are powers of two, the lengths that need no padding.
 
-A null text is empty and is one end id. Repeated rows are packed each. A longer text than a block's bound makes a block
-of its own. An empty table gives an empty result. Other columns of the input are never read.
+A null text is empty and is one end id. Repeated rows are packed each. Rows with a null id are packed like others. An
+empty table gives an empty result. Other columns of the input are never read.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import default_ranks, ranks_encoding
-from tessera.llm.common import materialise, pieces, process_cache, shared_folder, small_batches
-from tessera.llm.words import alnum_bytes, row_words, spans, text_buffer, word_hashes
+from tessera.llm.common import materialise, pieces, process_cache, small_batches
+from tessera.llm.words import mix
 
 WINDOW = 2048
 #: The id after each document, as the contract sets it.
 END_ID = 1
-#: Bounds of a block of the index.
-BLOCK_DOCS, BLOCK_TOKENS = 8192, 1 << 22
-#: Seeds of a round, and the windows that an answer would fill.
-ROUND, FILLED = 8192, 4
+#: Ids of a shard, the parts of a frequent first term, the documents of one index, and the shards whose rests are put
+#: together.
+SHARD, SUBS, RUN_DOCS, GROUP = 1 << 20, 16, 2048, 512
 #: BM25's constants.
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
+#: Ids of the vocabulary are below this; the kept ids take two bytes each.
+VOCABULARY = 1 << 16
+
+ENCODED = "doc_id long, n long, ids binary, df binary"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+NAMES = [column.split()[0] for column in PIECES.split(", ")]
 
 
 class Index:
-    """BM25 weights by word (posting lists) and each document's words."""
-
-    def __init__(self, words: np.ndarray, bounds: np.ndarray):
-        docs = len(bounds) - 1
-        lengths = np.diff(bounds)
-        owner = np.repeat(np.arange(docs, dtype=np.uint64), lengths)
-        # a word's hash and its document in one number: sorting it groups the posting lists
-        shift = np.uint64(max(1, int(docs - 1).bit_length()))
-        keys = np.sort((words >> shift << shift) | owner)
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(first, len(keys))).astype(np.float64)
-        keys = keys[first]
-        doc = (keys & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
-        word = keys >> shift
-        edge = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        df = np.diff(np.append(edge, len(word)))
-        # a word of one document finds no other
-        shared = np.repeat(df > 1, df)
-        doc, tf, df = doc[shared], tf[shared], df[df > 1]
-        idf = np.log1p((docs - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if docs else 1.0))
-        self.doc, self.docs = doc, docs
-        self.start = np.concatenate(([0], np.cumsum(df)))
-        term = np.repeat(np.arange(len(df)), df)
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        own = np.lexsort((term, doc))
-        begin = np.searchsorted(doc[own], np.arange(docs + 1))
-        self.query = [term[own[b:e]] for b, e in zip(begin[:-1], begin[1:], strict=True)]
-
-    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a word with the document, best first, ties in order."""
-        terms = self.query[doc]
-        if not len(terms):
-            return np.zeros(0, np.int64)
-        runs = [slice(self.start[t], self.start[t + 1]) for t in terms.tolist()]
-        scores = np.bincount(
-            np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.docs
-        )
-        scores *= unused
-        at = np.flatnonzero(scores)
-        return at[np.argsort(-scores[at], kind="stable")]
+    """The BM25 weights of a run of documents, given each document's distinct terms and their counts."""
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float):
+        docs = len(terms)
+        sizes = np.array([len(t) for t in terms], np.int64)
+        lengths = np.array([c.sum() for c in counts], np.float64)
+        norm = K1 * (1 - B + B * lengths / mean)
+        term = np.concatenate(terms) if docs else np.zeros(0, np.uint16)
+        doc = np.repeat(np.arange(docs), sizes)
+        tf = np.concatenate(counts).astype(np.float64) if docs else np.zeros(0)
+        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        df = np.bincount(term, minlength=VOCABULARY)
+        # the terms of many documents are a matrix, whose products with itself are made at once; the others are lists
+        common = np.flatnonzero(df > max(8, docs // 16))
+        column = np.full(VOCABULARY, -1, np.int64)
+        column[common] = np.arange(len(common))
+        dense = column[term] >= 0
+        matrix = np.zeros((docs, len(common)), np.float32)
+        matrix[doc[dense], column[term[dense]]] = weight[dense]
+        self.common = (matrix > 0).astype(np.float32) @ matrix.T
+        rare = ~dense & (df[term] > 1) & (weight > 0)
+        term, doc, weight = term[rare], doc[rare], weight[rare]
+        self.begin = np.searchsorted(doc, np.arange(docs + 1))
+        self.query = term
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=VOCABULARY))))
+        self.docs = docs
+
+    def scores(self, doc: int) -> np.ndarray:
+        own = self.query[self.begin[doc] : self.begin[doc + 1]]
+        first = self.start[own]
+        sizes = self.start[own.astype(np.int64) + 1] - first
+        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return self.common[doc] + np.bincount(self.doc[at], self.weight[at], self.docs)
+
+    def neighbours(self, doc: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term with the document, best first, ties in order."""
+        scores = np.round(self.scores(doc), 3)
+        hits = np.flatnonzero(unused & (scores > 0))
+        low = np.partition(scores[hits], -64)[-64] if len(hits) > 64 else 0
+        for part in (hits[scores[hits] >= low], hits[scores[hits] < low]):
+            yield from part[np.argsort(-scores[part], kind="stable")].tolist()
 
 
 def packed(sizes: list[int], index: Index, window: int = WINDOW) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Full windows and the last one, each a list of pieces (document, start, length)."""
     full: list[list[tuple[int, int, int]]] = []
-    rest = np.array(sizes, np.int64)
-    taken = np.zeros(len(sizes), np.int64)
-    for d, n in enumerate(sizes):
-        for s in range(0, n - n % window, window):
-            full.append([(d, s, window)])
-        taken[d] = n - n % window
-    rest -= taken
-    unused = rest > 0
+    rest = [n % window for n in sizes]
+    taken = [n - r for n, r in zip(sizes, rest, strict=True)]
+    for d, n in enumerate(taken):
+        full.extend([(d, s, window)] for s in range(0, n, window))
+    unused = np.array(rest) > 0
     current: list[tuple[int, int, int]] = []
     space, seed, cursor = window, None, 0
-
     while True:
         if seed is None:
             while cursor < len(sizes) and not unused[cursor]:
@@ -113,23 +118,20 @@ def packed(sizes: list[int], index: Index, window: int = WINDOW) -> tuple[list[l
                 return full, current
             seed = cursor
         queue, at, following = None, seed, None
-        while True:
-            n = int(min(rest[at], space))
-            current.append((at, int(taken[at]), n))
+        while at is not None:
+            n = min(rest[at], space)
+            current.append((at, taken[at], n))
             taken[at] += n
             rest[at] -= n
             unused[at] = rest[at] > 0
             space -= n
-            if space == 0:
+            if not space:
                 full.append(current)
                 current, space = [], window
-                following = at if unused[at] else None
+                following = at if rest[at] else None
                 break
-            if queue is None:
-                queue = iter(index.neighbours(seed, unused).tolist())
+            queue = queue or index.neighbours(seed, unused)
             at = next((x for x in queue if unused[x]), None)
-            if at is None:
-                break
         seed = following
 
 
@@ -152,7 +154,20 @@ def by_powers(window: list[tuple[int, int, int]]) -> list[list[tuple[int, int, i
     return out
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+def joined(rests: list[tuple[int, int, int]], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Pieces put together in their order: full windows, and powers of two of what is left."""
+    out: list[list] = []
+    own: list = []
+    space = window
+    for d, start, n in rests:
+        while n:
+            m = min(n, space)
+            own.append((d, start, m))
+            start, n, space = start + m, n - m, space - m
+            if not space:
+                out.append(own)
+                own, space = [], window
+    return out + by_powers(own)
 
 
 def encoder(ranks: tuple[str, str], json_path: str):
@@ -168,317 +183,213 @@ def encoder(ranks: tuple[str, str], json_path: str):
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text:
             ids = process_cache(("tokenizer", json_path), slow).encode(text, add_special_tokens=False).ids
-            return np.array([*ids, END_ID], np.uint32)
-        return np.append(fast.encode_to_numpy(text), np.uint32(END_ID)).astype(np.uint32)
+        else:
+            ids = fast.encode_ordinary(text)
+        return np.array([*ids, END_ID], np.uint32)
 
     return encode
 
 
-BLOCKS = "block long, names array<long>, sizes binary, ids binary, lengths binary, words binary, start binary, doc binary, tf binary"
-FOUND = "part int, seed int, row long, score double, n long"
-
-
-def block_row(block: int, names: list, ids: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
-    """One row of BLOCKS: the documents' ids and the posting lists of their words, in the order of the words' hashes."""
-    lengths = np.array([len(w) for w in words], np.int64)
-    owner = np.repeat(np.arange(len(words)), lengths)
-    flat = np.concatenate(words)
-    order = np.lexsort((owner, flat))
-    flat, owner = flat[order], owner[order]
-    new = np.ones(len(flat), bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
-    tf = np.diff(np.append(first, len(flat)))
-    flat, owner = flat[first], owner[first]
-    edge = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
-    columns = {
-        "block": [block], "names": pa.array([names], pa.list_(pa.int64())), "sizes": [np.array([len(x) for x in ids], "<i8").tobytes()],
-        "ids": [np.concatenate(ids).astype("<u4").tobytes()], "lengths": [lengths.astype("<i8").tobytes()], "words": [flat[edge].astype("<u8").tobytes()],
-        "start": [np.append(edge, len(flat)).astype("<i8").tobytes()], "doc": [owner.astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes()], "tf": [tf.astype("<u4").tobytes()],
-    }
-    return pa.RecordBatch.from_pydict(columns)
-
-
-def blocks_of(docs: DataFrame, json_path: str, ranks: tuple[str, str]) -> DataFrame:
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document, sorted, and their counts."""
+    ids = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return ids[first], np.diff(np.append(first, len(ids)))
+
+
+def encoded(docs: DataFrame, json_path: str, ranks: tuple[str, str]) -> DataFrame:
+    """Each document's ids in two bytes each, and a row for each task that holds its documents' frequencies."""
+
     def rows(batches):
         encode = encoder(ranks, json_path)
-        block = TaskContext.get().partitionId() << 20
-        names, ids, words, tokens = [], [], [], 0
+        df = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                data, offsets = text_buffer(piece["text"])
-                starts, ends = spans(data, offsets, alnum_bytes())
-                hashes, bounds = word_hashes(data, starts, ends), row_words(starts, offsets)
-                for i, (name, text) in enumerate(zip(piece["doc_id"].to_pylist(), piece["text"].to_pylist(), strict=True)):
-                    names.append(name)
-                    ids.append(encode(text or ""))
-                    words.append(hashes[bounds[i] : bounds[i + 1]].copy())
-                    tokens += len(ids[-1])
-                    if len(ids) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
-                        yield block_row(block, names, ids, words)
-                        block += 1
-                        names, ids, words, tokens = [], [], [], 0
-        if ids:
-            yield block_row(block, names, ids, words)
+                out = []
+                for text in piece["text"]:
+                    ids = encode(text.as_py() or "").astype("<u2")
+                    df[distinct(ids)[0]] += 1
+                    out.append(ids.tobytes())
+                n = pa.array([len(x) // 2 for x in out], pa.int64())
+                none = pa.nulls(len(out), pa.binary())
+                yield pa.RecordBatch.from_arrays([piece["doc_id"], n, pa.array(out, pa.binary()), none], ["doc_id", "n", "ids", "df"])
+        if df.any():
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "n", "ids", "df"])
 
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(rows, BLOCKS)
+    return docs.mapInArrow(rows, ENCODED)
 
 
-def numbers(row: dict, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(row[name], kind)
+def frequencies(tokens: DataFrame) -> np.ndarray:
+    """In how many documents each id of the vocabulary stands."""
 
+    def counts(batches):
+        df = np.zeros(VOCABULARY, np.int64)
+        for batch in batches:
+            for row in batch["df"]:
+                df += np.frombuffer(row.as_py(), np.int64)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["id", "n"])
+
+    table = tokens.where("df is not null").select("df").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(VOCABULARY, np.int64)
+    out[table["id"].to_numpy()] = table["n"].to_numpy()
+    return out
 
-def doc_of(row: dict) -> np.ndarray:
-    wide = len(row["doc"]) == len(row["tf"])
-    return numbers(row, "doc", "<u4" if wide else "<u2").astype(np.int64)
 
+def term_orders(idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two random orders of the vocabulary: each term's place. With exponential times of rate idf the first of some
+    terms is each of them with a chance in proportion to its idf."""
+    out = []
+    for seed in (1, 2):
+        u = (mix(np.arange(VOCABULARY, dtype=np.uint64) + np.uint64(seed << 32)) >> np.uint64(11)).astype(np.float64) / 2**53
+        times = -np.log1p(-u) / np.maximum(idf, 1e-9)
+        place = np.empty(VOCABULARY, np.int32)
+        place[np.argsort(times, kind="stable")] = np.arange(VOCABULARY)
+        out.append(place)
+    return out[0], out[1]
 
-def with_idf(blocks: DataFrame, total: int) -> DataFrame:
-    """The blocks' posting lists with the inverse document frequencies of the whole table; 0 for a word of one document."""
 
-    def counts(batches):
+def firsts(batch: pa.RecordBatch, orders: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sizes of a batch's documents, and the places of each one's first terms in the two orders."""
+    n = batch["n"].to_numpy()
+    ids = np.frombuffer(b"".join(x.as_buffer() for x in batch["ids"]), "<u2")
+    at = np.cumsum(n) - n
+    lead, second = (np.minimum.reduceat(order[ids], at) if len(ids) else np.zeros(0, np.int32) for order in orders)
+    return n, lead, second
+
+
+def sub_of(second: np.ndarray) -> np.ndarray:
+    return (mix(second.astype(np.uint64)) % np.uint64(SUBS)).astype(np.int64)
+
+
+def histogram(tokens: DataFrame, orders: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(lead, sub, n): ids of the documents by their first terms."""
+
+    def rows(batches):
+        total = np.zeros(VOCABULARY * SUBS, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                words, n = numbers(row, "words", "<i8"), np.diff(numbers(row, "start", "<i8"))
-                for s in range(0, len(words), 65536):
-                    part = words[s : s + 65536]
-                    yield pa.RecordBatch.from_pydict({"block": np.full(len(part), row["block"]), "word": part, "n": n[s : s + 65536]})
-
-    terms = materialise(blocks.select("block", "words", "start").mapInArrow(counts, "block long, word long, n long"), "terms")
-    df = terms.groupBy("word").agg(F.sum("n").alias("df"))
-    shared = terms.select("block", "word").join(df.where("df > 1"), "word")
-
-    def filled(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        words = numbers(row, "words", "<u8")
-        idf = np.zeros(len(words))
-        df = right["df"].to_numpy()
-        idf[np.searchsorted(words, right["word"].to_numpy().view(np.uint64))] = np.log1p((total - df + 0.5) / (df + 0.5))
-        return left.append_column("idf", pa.array([idf.tobytes()], pa.binary()))
-
-    index = blocks.select("block", "sizes", "lengths", "words", "start", "doc", "tf")
-    schema = "block long, sizes binary, lengths binary, words binary, start binary, doc binary, tf binary, idf binary"
-    return index.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(filled, schema)
-
-
-def filling(seed, row, score, n, most: int):
-    """Each seed's best candidates up to `most` ids, best first, ties in order, and the seeds that have further ones."""
-    order = np.lexsort((row, -score, seed))
-    seed, row, score, n = seed[order], row[order], score[order], n[order]
-    before = np.cumsum(n) - n
-    before -= before[np.searchsorted(seed, seed, "left")]
-    keep = before < most
-    return (seed[keep], row[keep], score[keep], n[keep]), np.unique(seed[~keep])
-
-
-def found_rows(kept, more: np.ndarray) -> pa.RecordBatch:
-    """Rows of FOUND; a row -1 says that its seed has further candidates."""
-    seed = np.concatenate([kept[0], more]).astype(np.int32)
-    none = np.full(len(more), -1, np.int64)
-    arrays = [seed & 63, seed, np.concatenate([kept[1], none]), np.concatenate([kept[2], none.astype(np.float64)]), np.concatenate([kept[3], none])]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["part", "seed", "row", "score", "n"])
-
-
-def asked(index: DataFrame, base: dict[int, int], seeds: np.ndarray, unused: np.ndarray, mean: float, window: int):
-    """For each seed (a row number) the best unused rows and whether there are more."""
-    context = index.sparkSession.sparkContext
-    first = np.array([base[b] for b in sorted(base)])
-    names = np.array(sorted(base))
-    homes = np.unique(names[np.searchsorted(first, seeds, "right") - 1]).tolist()
-    wanted = np.sort(seeds)
-
-    def terms(batches):
+            n, lead, second = firsts(batch, orders)
+            np.add.at(total, lead * np.int64(SUBS) + sub_of(second), n)
+        at = np.flatnonzero(total)
+        for s in range(0, len(at), 1 << 16):
+            part = at[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part // SUBS), pa.array(part % SUBS), pa.array(total[part])], ["lead", "sub", "n"])
+
+    return tokens.mapInArrow(rows, "lead long, sub long, n long").groupBy("lead", "sub").agg(F.sum("n").alias("n"))
+
+
+class Deal:
+    """Where documents go, by their first terms. Places of rare first terms share shards, in a row; a frequent one's
+    parts have shards of their own."""
+
+    def __init__(self, lead: np.ndarray, n: np.ndarray, shard: int = SHARD):
+        totals = np.zeros(VOCABULARY, np.int64)
+        totals[lead] = n
+        self.hot = totals > shard
+        light = np.where(self.hot, 0, totals)
+        self.home = (np.cumsum(light) - light) // shard
+        self.size, self.next = shard, int(self.home.max()) + 1
+        self.begin = np.zeros(0, np.int64)
+
+    def split(self, lead: np.ndarray, sub: np.ndarray, n: np.ndarray) -> None:
+        """The shards of the parts of frequent first terms."""
+        order = np.lexsort((sub, lead))
+        self.row = np.cumsum(self.hot) - 1
+        parts = np.zeros(int(self.hot.sum()) * SUBS, np.int64)
+        parts[self.row[lead[order]] * SUBS + sub[order]] = -(-n[order] // self.size)
+        self.parts, self.begin = parts, self.next + np.cumsum(parts) - parts
+
+    def shards(self, lead: np.ndarray, second: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        out = self.home[lead]
+        hot = self.hot[lead]
+        if hot.any():
+            cell = self.row[lead[hot]] * SUBS + sub_of(second[hot])
+            out[hot] = self.begin[cell] + (salt[hot] % self.parts[cell].astype(np.uint64)).astype(np.int64)
+        return out
+
+
+def salts(doc_id: pa.Array) -> np.ndarray:
+    """A number of each row by its id and, for repeated ids, by its turn in the batch."""
+    ids = doc_id.fill_null(-1).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    turn = np.empty(len(ids), np.int64)
+    turn[order] = np.arange(len(ids)) - np.searchsorted(ids[order], ids[order], "left")
+    return mix(mix(ids.astype(np.uint64)) + turn.astype(np.uint64))
+
+
+def placed(tokens: DataFrame, orders: tuple[np.ndarray, np.ndarray], deal: Deal) -> DataFrame:
+    def rows(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                start, doc, idf = numbers(row, "start", "<i8"), doc_of(row), numbers(row, "idf", "<f8")
-                size, at = len(row["sizes"]) // 8, base[row["block"]]
-                own = wanted[np.searchsorted(wanted, at) : np.searchsorted(wanted, at + size)] - at
-                flag = np.zeros(size, bool)
-                flag[own] = True
-                term = np.repeat(np.arange(len(idf)), np.diff(start))
-                use = flag[doc] & (idf[term] > 0)
-                term, doc = term[use], doc[use]
-                order = np.lexsort((term, doc))
-                words, doc = numbers(row, "words", "<u8")[term[order]], doc[order]
-                bounds = np.searchsorted(doc, np.append(own, size))
-                lists = [words[b:e].tobytes() for b, e in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(at + own, pa.int64()), pa.array(lists, pa.binary())], ["row", "words"])
-
-    own = index.where(F.col("block").isin(homes)).select("block", "sizes", "words", "start", "doc", "tf", "idf")
-    table = own.mapInArrow(terms, "row long, words binary").toArrow()
-    of = dict(zip(table["row"].to_pylist(), table["words"].to_pylist(), strict=True))
-    lists = [np.frombuffer(of.get(int(x), b""), "<u8") for x in seeds]
-    known, place = np.unique(np.concatenate(lists), return_inverse=True)
-    sent = context.broadcast((known, place.astype(np.int32), np.cumsum([0, *map(len, lists)]), seeds, np.packbits(unused), base))
-    most = FILLED * window
-
-    def score(batches):
-        known, place, bounds, seeds, bits, base = sent.value
-        kept, more = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)), np.zeros(0, np.int64)
-        # what a candidate needs at least, once a seed has enough
-        least = np.zeros(len(seeds))
+            n, lead, second = firsts(batch, orders)
+            shard = deal.shards(lead, second, salts(batch["doc_id"]))
+            crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch["ids"]], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard), pa.array(lead), pa.array(second), crc, batch["doc_id"], batch["ids"]], ["shard", "lead", "second", "crc", "doc_id", "ids"]
+            )
+
+    return tokens.mapInArrow(rows, "shard long, lead int, second int, crc long, doc_id long, ids binary")
+
+
+def piece_batch(rows: list[tuple], rests: list | None = None) -> pa.RecordBatch:
+    arrays = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(rests or [None] * len(rows), pa.binary())], [*NAMES, "ids"])
+
+
+def filled(shards: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
+    """The pieces of each shard; those of its last windows carry their ids."""
+
+    def run(names: list, ids: list[np.ndarray], first: int) -> tuple[int, list[pa.RecordBatch]]:
+        terms, counts = zip(*map(distinct, ids), strict=True)
+        full, last = packed([len(x) for x in ids], Index(list(terms), list(counts), idf, mean))
+        wide = [memoryview(x.astype("<u4").tobytes()) for x in ids]
+        rows, rests = [], []
+        for i, window in enumerate([*full, last]):
+            offset = 0
+            for d, start, n in window:
+                own = wide[d][4 * start : 4 * (start + n)]
+                rows.append((names[d], start, n, zlib.crc32(own), len(ids[d]), first + i, offset))
+                rests.append(bytes(own) if i == len(full) else None)
+                offset += n
+        return first + len(full) + 1, [piece_batch(rows[s : s + 8192], rests[s : s + 8192]) for s in range(0, len(rows), 8192)]
+
+    def rows(batches):
+        shard, names, ids, tokens, number = None, [], [], 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                n = numbers(row, "sizes", "<i8") % window
-                docs, at = len(n), base[row["block"]]
-                free = np.unpackbits(bits[at >> 3 : (at + docs + 7 >> 3) + 1])[at & 7 :][:docs].astype(bool)
-                rows, narrow = at + np.flatnonzero(free), np.cumsum(free) - 1
-                n = n[free]
-                doc, start, idf = doc_of(row), numbers(row, "start", "<i8"), numbers(row, "idf", "<f8")
-                norm = K1 * (1 - B + B * numbers(row, "lengths", "<i8") / mean)
-                term = np.repeat(np.arange(len(idf)), np.diff(start))
-                use = free[doc] & (idf[term] > 0)
-                doc, term = doc[use], term[use]
-                if not len(doc):
-                    continue
-                tf = numbers(row, "tf", "<u4")[use].astype(np.float64)
-                weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-                doc = narrow[doc]
-                begin = np.searchsorted(term, np.arange(len(idf) + 1))
-                words = numbers(row, "words", "<u8")
-                spot = np.minimum(np.searchsorted(words, known), len(words) - 1)
-                here = (words[spot] == known) & (begin[spot + 1] > begin[spot])
-                # the words of many documents as a matrix, the others as posting lists
-                count = np.diff(begin)
-                common = np.flatnonzero(count > 0.05 * len(rows))
-                common = common[np.argsort(-count[common], kind="stable")[:1024]]
-                column = np.full(len(idf), -1)
-                column[common] = np.arange(len(common))
-                dense = column[term] >= 0
-                matrix = np.zeros((len(common), len(rows)))
-                matrix[column[term[dense]], doc[dense]] = weight[dense]
-                held = [kept]
-                for s in range(0, len(seeds), 256):
-                    own = place[bounds[s] : bounds[min(s + 256, len(seeds))]]
-                    owner = np.repeat(np.arange(len(bounds[s : s + 257]) - 1), np.diff(bounds[s : s + 257]))
-                    own, owner = own[here[own]], owner[here[own]]
-                    t = spot[own]
-                    query = np.zeros((len(bounds[s : s + 257]) - 1, len(common)))
-                    many = column[t] >= 0
-                    query[owner[many], column[t[many]]] = 1
-                    block = query @ matrix
-                    t, owner = t[~many], owner[~many]
-                    edges = np.searchsorted(owner, np.arange(len(block) + 1))
-                    low, high = begin[t].tolist(), begin[t + 1].tolist()
-                    for j, scores in enumerate(block):
-                        i = s + j
-                        runs = [slice(low[x], high[x]) for x in range(edges[j], edges[j + 1])]
-                        if runs:
-                            scores += np.bincount(np.concatenate([doc[r] for r in runs]), np.concatenate([weight[r] for r in runs]), len(rows))
-                        if at <= seeds[i] < at + docs and free[seeds[i] - at]:
-                            scores[narrow[seeds[i] - at]] = 0
-                        hits = np.flatnonzero((scores > 0) & (scores >= least[i] - 1e-6))
-                        if len(hits) > 64:
-                            best = hits[scores[hits] >= np.partition(scores[hits], -64)[-64] - 1e-6]
-                            if n[best].sum() >= most and len(best) < len(hits):
-                                more = np.append(more, i)
-                                hits = best
-                        # equal documents get equal scores, in whatever order their words were summed
-                        held.append((np.full(len(hits), i), rows[hits], np.round(scores[hits], 9), n[hits]))
-                kept, cut = filling(*(np.concatenate(x) for x in zip(*held, strict=True)), most)
-                more = np.union1d(more, cut).astype(np.int64)
-                ends = np.searchsorted(kept[0], cut, "right") - 1
-                least[cut] = kept[2][ends]
-        if len(kept[0]):
-            yield found_rows(kept, more)
-
-    def merged(found: pa.Table) -> pa.Table:
-        seed, row, points, n = (found[c].to_numpy() for c in ("seed", "row", "score", "n"))
-        real = row >= 0
-        kept, cut = filling(seed[real], row[real], points[real], n[real], most)
-        return pa.Table.from_batches([found_rows(kept, np.union1d(cut, seed[~real]))])
-
-    out = index.mapInArrow(score, FOUND).groupBy("part").applyInArrow(merged, FOUND).toArrow()
-    sent.destroy()
-    seed, row, points = (out[c].to_numpy() for c in ("seed", "row", "score"))
-    more = set(seed[row < 0].tolist())
-    real = row >= 0
-    seed, row, points = seed[real], row[real], points[real]
-    order = np.lexsort((row, -points, seed))
-    row, edges = row[order], np.searchsorted(seed[order], np.arange(len(seeds) + 1))
-    return [(row[edges[i] : edges[i + 1]].tolist(), i in more) for i in range(len(seeds))]
-
-
-class Windows:
-    """What is left of each document, the open windows, and the pieces dealt out: (row, start, length) by window."""
-
-    def __init__(self, sizes: np.ndarray, window: int = WINDOW):
-        self.window, self.rest = window, sizes % window
-        self.taken = sizes - self.rest
-        self.unused = self.rest > 0
-        self.full: list[list[tuple[int, int, int]]] = []
-        #: seeds that wait for an answer, with their windows; windows whose seeds have no further neighbours
-        self.waiting: list[tuple[int, list]] = []
-        self.spare: list[list] = []
-        self.cursor = 0
-
-    def space(self, own: list) -> int:
-        return self.window - sum(n for _, _, n in own)
-
-    def put(self, at: int, own: list) -> list | None:
-        """The document's rest goes to the window, and what does not fit to the next, which is returned."""
-        self.unused[at] = False
-        while self.rest[at]:
-            n = int(min(self.rest[at], self.space(own)))
-            own.append((at, int(self.taken[at]), n))
-            self.taken[at] += n
-            self.rest[at] -= n
-            if not self.space(own):
-                self.full.append(own)
-                own = []
-        return own
-
-    def seeds(self, count: int) -> np.ndarray:
-        """Waiting seeds, then the first unused documents."""
-        old = [at for at, _ in self.waiting[:count]]
-        left = np.flatnonzero(self.unused[self.cursor :])[: count - len(old)] + self.cursor
-        return np.array([*old, *left.tolist()], np.int64)
-
-    def deal(self, seeds: np.ndarray, answers: list[tuple[list[int], bool]]) -> None:
-        open_ones, self.waiting = self.waiting[: len(seeds)], self.waiting[len(seeds) :]
-        for i, (at, (queue, more)) in enumerate(zip(seeds.tolist(), answers, strict=True)):
-            if i < len(open_ones):
-                own = open_ones[i][1]
-            elif not self.unused[at]:
-                continue
-            else:
-                own = self.put(at, self.spare.pop() if self.spare else [])
-                if not own:
-                    continue
-            closed = len(self.full)
-            for x in queue:
-                if self.unused[x]:
-                    own = self.put(x, own)
-                    if len(self.full) > closed:
-                        if own:
-                            self.waiting.append((x, own))
-                        break
-            else:
-                if more:
-                    self.waiting.append((at, own))
-                else:
-                    self.spare.append(own)
-        while self.cursor < len(self.unused) and not self.unused[self.cursor]:
-            self.cursor += 1
-
-    def last(self) -> list[list[tuple[int, int, int]]]:
-        """The open windows put together: full ones, and powers of two of what is left."""
-        out: list[list] = []
-        own: list = []
-        for at, start, n in (p for w in [*(w for _, w in self.waiting), *self.spare] for p in w):
-            while n:
-                m = min(n, self.space(own))
-                own.append((at, start, m))
-                start, n = start + m, n - m
-                if not self.space(own):
-                    out.append(own)
-                    own = []
-        self.waiting, self.spare = [], []
-        return out + by_powers(own)
-
-
-def pack(docs: DataFrame, json_path: str | None = None, ranks: tuple[str, str] | None = None) -> DataFrame:
+            for own, name, x in zip(batch["shard"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"], strict=True):
+                if ids and (own != shard or len(ids) >= RUN_DOCS or tokens >= 2 * SHARD):
+                    number, out = run(names, ids, number)
+                    yield from out
+                    names, ids, tokens = [], [], 0
+                if own != shard:
+                    shard, number = own, own << 32
+                names.append(name)
+                ids.append(np.frombuffer(x.as_py(), "<u2"))
+                tokens += len(ids[-1])
+        if ids:
+            yield from run(names, ids, number)[1]
+
+    return shards.select("shard", "doc_id", "ids").mapInArrow(rows, f"{PIECES}, ids binary")
+
+
+def put_together(table: pa.Table) -> pa.Table:
+    """The rests of a group of shards as sequences."""
+    table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+    rows = table.select(NAMES).to_pylist()
+    ids = [x.as_buffer() for x in table["ids"].combine_chunks()] if rows else []
+    first = 1 << 62 | (rows[0]["sequence_id"] >> 32) // GROUP << 32
+    out = []
+    for i, window in enumerate(joined([(d, 0, r["length"]) for d, r in enumerate(rows)])):
+        offset = 0
+        for d, start, n in window:
+            r = rows[d]
+            out.append((r["doc_id"], r["start"] + start, n, zlib.crc32(memoryview(ids[d])[4 * start : 4 * (start + n)]), r["doc_tokens"], first + i, offset))
+            offset += n
+    return pa.Table.from_batches([piece_batch(out)]).select(NAMES)
+
+
+def pack(docs: DataFrame, json_path: str | None = None, ranks: tuple[str, str] | None = None, shard: int = SHARD) -> DataFrame:
     """The pieces of all rows of (doc_id, text): doc_id, start (the document's ids before it), length, ids_crc32,
     doc_tokens, sequence_id, offset (in its sequence)."""
     ranks = ranks or default_ranks()
@@ -487,55 +398,28 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks: tuple[str, str] |
 
         json_path = public_tokenizers.path("byte_bpe_50k.json")
     spark = docs.sparkSession
-    blocks = materialise(blocks_of(docs, json_path, ranks), "blocks")
-    sizes, base, total, words = [], {}, 0, 0
-    for block, own, lengths in blocks.select("block", "sizes", "lengths").orderBy("block").toLocalIterator():
-        base[block] = total
-        sizes.append(np.frombuffer(own, "<i8"))
-        total += len(sizes[-1])
-        words += int(np.frombuffer(lengths, "<i8").sum())
-    if not total:
+    tokens = materialise(encoded(docs, json_path, ranks), "tokens")
+    df = frequencies(tokens)
+    tokens = tokens.where("ids is not null").select("doc_id", "n", "ids")
+    number, total = tokens.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not number:
         return spark.createDataFrame([], PIECES)
-    index = materialise(with_idf(blocks, total), "index")
-    windows = Windows(np.concatenate(sizes))
-    folder, made = f"{shared_folder(spark)}/dealt-{uuid.uuid4().hex}", 0
-    names, first = np.array(sorted(base)), np.array([base[b] for b in sorted(base)])
-
-    def write(full: list[list[tuple[int, int, int]]]) -> None:
-        nonlocal made
-        flat = np.array([(at, start, n, made + i) for i, w in enumerate(full) for at, start, n in w], np.int64).reshape(-1, 4)
-        offset = np.cumsum(flat[:, 2]) - flat[:, 2]
-        offset -= offset[np.searchsorted(flat[:, 3], flat[:, 3], "left")]
-        home = np.searchsorted(first, flat[:, 0], "right") - 1
-        table = pa.table([names[home], flat[:, 0] - first[home], *flat[:, 1:].T, offset], ["block", "at", "start", "length", "sequence_id", "offset"])
-        spark.createDataFrame(table).write.mode("append").parquet(folder)
-        made += len(full)
-
-    while windows.unused.any():
-        seeds = windows.seeds(ROUND)
-        windows.deal(seeds, asked(index, base, seeds, windows.unused, max(1.0, words / total), WINDOW))
-        write(windows.full)
-        windows.full = []
-    write(windows.last())
-    dealt = spark.read.schema("block long, at long, start long, length long, sequence_id long, offset long").parquet(folder)
-
-    def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        sizes, names = numbers(row, "sizes", "<i8"), row["names"]
-        ends = np.cumsum(sizes)
-        ids, out = memoryview(row["ids"]), []
-        for at, start, n, sequence, offset in zip(*(right[c].to_pylist() for c in ("at", "start", "length", "sequence_id", "offset")), strict=True):
-            out.append((at, start, n, sequence, offset))
-        # stretches of a window's length are sequences of their own, numbered by document
-        for at in np.flatnonzero(sizes >= WINDOW).tolist():
-            for i in range(int(sizes[at]) // WINDOW):
-                out.append((at, i * WINDOW, WINDOW, 1 << 62 | (base[row["block"]] + at) << 22 | i, 0))
-        rows = []
-        for at, start, n, sequence, offset in out:
-            b = int(ends[at] - sizes[at]) + start
-            rows.append((names[at], start, n, zlib.crc32(ids[4 * b : 4 * (b + n)]), int(sizes[at]), sequence, offset))
-        columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pa.table([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], columns)
-
-    tokens = blocks.select("block", "names", "sizes", "ids")
-    return tokens.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(assembled, PIECES)
+    idf = np.log1p((number - df + 0.5) / (df + 0.5))
+    # an id of one document finds no other
+    idf[df < 2] = 0
+    orders = term_orders(idf)
+
+    counts = materialise(histogram(tokens.select("n", "ids"), orders), "first-terms")
+    table = counts.groupBy("lead").agg(F.sum("n").alias("n")).toArrow()
+    deal = Deal(table["lead"].to_numpy(), table["n"].to_numpy(), shard)
+    if deal.hot.any():
+        frequent = spark.createDataFrame(pa.table([pa.array(np.flatnonzero(deal.hot))], ["lead"]))
+        table = counts.join(F.broadcast(frequent), "lead").select("lead", "sub", "n").toArrow()
+        deal.split(*(table[c].to_numpy() for c in ("lead", "sub", "n")))
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * shard)))
+    shards = placed(tokens, orders, deal).repartition(tasks, "shard")
+    shards = shards.sortWithinPartitions("shard", "lead", "second", "doc_id", "crc")
+    dealt = materialise(filled(shards, idf, total / number), "pieces")
+    rests = dealt.where("ids is not null").groupBy(F.expr(f"shiftright(sequence_id, 32) div {GROUP}")).applyInArrow(put_together, PIECES)
+    return dealt.where("ids is null").select(NAMES).unionByName(rests)

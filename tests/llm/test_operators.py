@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,42 +216,49 @@ def test_packing(spark, documents, odd, empty):
     assert collected(packing.pack(empty)) == []
 
 
-def test_packing_finds_neighbours_in_other_partitions(spark):
-    topics = [" ".join(f"topic{t}word{i}" for i in range(130)) for t in range(12)]
-    docs = spark.createDataFrame([(i, topics[i % 12]) for i in range(24)], "doc_id long, text string").repartitionByRange(2, "doc_id")
-    assert docs.select(F.spark_partition_id().alias("p"), "doc_id").where("doc_id in (0, 12)").select("p").distinct().count() == 2
-    sequences = {}
-    for r in collected(packing.pack(docs)):
-        sequences.setdefault(r["doc_id"], set()).add(r["sequence_id"])
-    assert all(sequences[t] & sequences[t + 12] for t in range(12))
-
-
-def test_packing_ranks_the_whole_table(spark, documents, monkeypatch):
-    """The first round's answers against BM25 by hand over all documents, whatever the partitions."""
-    rows = collected(documents.orderBy("doc_id").limit(60))
-    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) for r in rows]
-    held, ask = [], packing.asked
-
-    def first(index, base, seeds, unused, *more):
-        answers = ask(index, base, seeds, unused, *more)
-        held.append((seeds.tolist(), unused.copy(), answers))
-        return answers
-
-    monkeypatch.setattr(packing, "asked", first)
-    packing.pack(spark.createDataFrame([(i, r["text"]) for i, r in enumerate(rows)], "doc_id long, text string").repartitionByRange(3, "doc_id"))
-    seeds, unused, answers = held[0]
-    mean, df = sum(map(len, words)) / 60, {}
-    for own in words:
-        for w in set(own):
-            df[w] = df.get(w, 0) + 1
-    for seed, (found, further) in zip(seeds, answers, strict=True):
-        scores = {}
-        for i, own in enumerate(words):
-            if i != seed and unused[i]:
-                shared = [w for w in set(words[seed]) & set(own)]
-                scores[i] = sum(np.log1p((60 - df[w] + 0.5) / (df[w] + 0.5)) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in shared)
-        order = sorted((i for i in scores if scores[i]), key=lambda i: (-round(scores[i], 9), i))
-        assert found == order[: len(found)] and (further or len(found) == len(order))
+def topics_apart(docs, topic, **options):
+    """Sequences of a packing, and the share of pairs of documents of a sequence that have the same topic."""
+    members, lengths = {}, {}
+    for r in collected(packing.pack(docs, **options)):
+        members.setdefault(r["sequence_id"], set()).add(r["doc_id"])
+        lengths[r["sequence_id"]] = lengths.get(r["sequence_id"], 0) + r["length"]
+    pairs = [topic(a) == topic(b) for own in members.values() for a in own for b in own if a < b]
+    return members, sum(pairs) / max(1, len(pairs)), sum(n < 2048 for n in lengths.values())
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    """400 documents of 50 topics: the same sequences from any partitions, most pairs of one topic, few short ones."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"topic{i % 50}word{w}" if rng.random() < 0.3 else f"common{w}" for w in rng.integers(0, 60, 60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first, share, short = topics_apart(docs.coalesce(1), lambda d: d % 50)
+    assert share > 0.3 and short <= 11
+    for n in (8, 40):
+        assert topics_apart(docs.repartition(n), lambda d: d % 50) == (first, share, short)
+
+
+def test_packing_deals_by_content(spark):
+    """Shards of few ids: near copies meet, a large group of copies is spread, and every shard's rest is filled."""
+    rng = np.random.default_rng(3)
+    base = [" ".join(f"w{w}" for w in rng.integers(0, 3000, 150)) for _ in range(60)]
+    rows = [(i, base[i % 60] + f" own{i}") for i in range(120)] + [(i, "copies of one text " * 20) for i in range(1000, 1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    members, _, short = topics_apart(docs, lambda d: d, shard=8192)
+    assert short <= 11 and {d for own in members.values() for d in own} == {i for i, _ in rows}
+    assert sum(any({i, i + 60} <= own for own in members.values()) for i in range(60)) >= 45
+
+
+def test_deal_splits_what_is_frequent():
+    lead, second = np.repeat([5, 9, 70], [2, 300, 3]), np.arange(305) % 40
+    n = np.full(305, 10)
+    deal = packing.Deal(np.array([5, 9, 70]), np.array([20, 3000, 30]), 100)
+    subs = packing.sub_of(second)
+    cells = sorted({(9, int(x)) for x in subs[lead == 9]})
+    deal.split(np.array([c for c, _ in cells]), np.array([x for _, x in cells]), np.array([n[(lead == c) & (subs == x)].sum() for c, x in cells]))
+    shards = deal.shards(lead, second, packing.salts(pa.array(np.arange(305))))
+    assert len(set(shards[lead != 9])) == 1 and not set(shards[lead == 9]) & set(shards[lead != 9])
+    assert np.bincount(shards, n).max() <= 400 and len(set(shards)) >= 20
+
 
 
 # ---- 6

@@ -125,8 +125,7 @@ def test_parities_bound_differences(a, b):
 @given(st.lists(st.integers(1, 5000), max_size=30), st.integers(0, 3))
 def test_packing_keeps_every_token(sizes, seed):
     rng = np.random.default_rng(seed)
-    words = [rng.integers(0, 40, 8).astype(np.uint64) << np.uint64(40) for _ in sizes]
-    index = packing.Index(np.concatenate(words) if words else np.zeros(0, np.uint64), np.arange(len(sizes) + 1) * 8)
+    index = bm25_index([rng.integers(0, 40, 8) for _ in sizes])
     full, last = packing.packed(sizes, index)
     sequences = full + packing.by_powers(last)
     assert all(sum(n for _, _, n in s) == packing.WINDOW for s in full)
@@ -144,31 +143,32 @@ def test_packing_keeps_every_token(sizes, seed):
         assert at == size
 
 
-def test_index_weights_are_bm25():
-    rows = ["a b b c", "a c d", "b e", "a a a f", ""]
-    data, offsets = text_buffer(pa.array(rows))
-    starts, ends = spans(data, offsets, alnum_bytes())
-    index = packing.Index(word_hashes(data, starts, ends), row_words(starts, offsets))
-    docs = [r.split() for r in rows]
-    mean = sum(map(len, docs)) / 5
-    want = [0.0] * 5
-    for w in {"a", "b", "c"}:
-        df = sum(w in d for d in docs)
-        for i, d in enumerate(docs):
-            if w in docs[0] and w in d:
-                tf = d.count(w)
-                want[i] += np.log1p((5 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
-    order = sorted((i for i in range(1, 5) if want[i]), key=lambda i: (-want[i], i))
-    assert index.neighbours(0, np.array([0, 1, 1, 1, 1])).tolist() == order
-
-
-def test_index_asks_for_all_words():
-    """Document 0 shares its 20 heaviest words with 1 and a light one, of many documents, with 2 alone of the rest."""
-    rows = [" ".join(f"h{i} " * 3 for i in range(20)) + "light", " ".join(f"h{i}" for i in range(20)), "light", "other"]
-    data, offsets = text_buffer(pa.array(rows))
-    starts, ends = spans(data, offsets, alnum_bytes())
-    index = packing.Index(word_hashes(data, starts, ends), row_words(starts, offsets))
-    assert index.neighbours(0, np.array([0, 1, 1, 1])).tolist() == [1, 2]
+def bm25_index(docs):
+    """An index over lists of ids, its table the documents themselves."""
+    terms, counts = zip(*(packing.distinct(np.array(d, np.uint16)) for d in docs), strict=True) if docs else ((), ())
+    df = np.bincount(np.concatenate([np.zeros(0, np.int64), *terms]).astype(int), minlength=packing.VOCABULARY)
+    idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+    return packing.Index(list(terms), list(counts), idf, max(1.0, sum(map(len, docs)) / max(1, len(docs))))
+
+
+@pytest.mark.parametrize("docs", [5, 60])
+def test_index_weights_are_bm25(docs):
+    rng = np.random.default_rng(docs)
+    rows = [(np.minimum(rng.geometric(0.08, rng.integers(1, 90)), 200) + 300).tolist() for _ in range(docs)]
+    mean = sum(map(len, rows)) / docs
+    index = bm25_index(rows)
+    for seed in range(docs):
+        want = np.zeros(docs)
+        for w in set(rows[seed]):
+            df = sum(w in d for d in rows)
+            for i, d in enumerate(rows):
+                if df > 1 and w in d:
+                    tf = d.count(w)
+                    want[i] += np.log1p((docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        assert np.allclose(index.scores(seed), want, rtol=1e-4, atol=1e-4)
+        unused = rng.random(docs) < 0.7
+        rounded = np.round(index.scores(seed), 3)
+        assert list(index.neighbours(seed, unused)) == sorted(np.flatnonzero(unused & (rounded > 0)).tolist(), key=lambda i: (-rounded[i], i))
 
 
 def test_signatures_estimate_likeness():
