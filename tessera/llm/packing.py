@@ -6,14 +6,14 @@ seed's window greedily, best first, ties in order; the last is cut where the win
 the next window. A window whose seed has no further neighbours goes to the next seed. Stretches of a window's length
 of a long document are windows of their own.
 
-The index's terms are the tokenizer's ids, all of a document's, so the document frequencies of the whole table are one
-array of the vocabulary's size. Shards are made by content, not by the input's partitions: terms are put in one random
-order in which a term of weight idf comes first with a chance in proportion to it, and a document is dealt by its
-first term and, within it, by its first one in a second such order. Two documents thus meet with the chance of their
-idf-weighted Jaccard similarity at least, wherever they lie. Neighbours that lie in another shard are not found: the
-price of work in proportion to the input. First terms are dealt to shards of about SHARD ids in a row; a first term that
-holds more is dealt by the second in SUBS parts, and a part that holds more than SHARD still (a group of copies, say)
-is spread evenly over shards. The tables for that have at most a row for each id of the vocabulary and part.
+The index's terms are the words, all of a document's. Document frequencies are counted over the whole table, in hash
+classes of words: an array of fixed size. Shards are made by content, not by the input's partitions: classes are put in
+one random order in which a class of weight idf comes first with a chance in proportion to it, and a document is dealt
+by its first class and, within it, by its first one in a second such order. Two documents thus meet with the chance of
+their idf-weighted Jaccard similarity at least, wherever they lie. Neighbours in another shard are not found: the price
+of work in proportion to the input. First classes are dealt to shards of about SHARD ids in slots of consecutive places;
+a slot that holds more is dealt by the second class in SUBS parts, and a part that still holds more than SHARD (a group
+of copies, say) is spread evenly over shards. The tables for that have at most a row for each slot and part.
 
 Every id is in exactly one piece. What is left of each shard, under a window, is put together from GROUP shards at a
 time in a second step; only the last window of each such group can stay partly filled, and it is cut into sequences
@@ -25,6 +25,8 @@ empty table gives an empty result. Other columns of the input are never read.
 
 from __future__ import annotations
 
+import base64
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -35,59 +37,63 @@ from pyspark.sql import functions as F
 
 from tessera.llm.chat import default_ranks, ranks_encoding
 from tessera.llm.common import materialise, pieces, process_cache, small_batches
-from tessera.llm.words import mix
+from tessera.llm.words import alnum_bytes, mix, row_words, spans, text_buffer, word_hashes
 
 WINDOW = 2048
 #: The id after each document, as the contract sets it.
 END_ID = 1
-#: Ids of a shard, the parts of a frequent first term, the documents of one index, and the shards whose rests are put
-#: together.
+#: Ids of a shard, the parts of a frequent slot, the documents of one index, and the shards whose rests are put together.
 SHARD, SUBS, RUN_DOCS, GROUP = 1 << 20, 16, 2048, 512
+#: Bits of a word's hash, hash classes of words, and slots of places in the order of classes; texts without words have a
+#: slot of their own.
+HASH_BITS, CLASS_BITS, SLOT_BITS = 32, 20, 16
+CLASSES, SLOTS = 1 << CLASS_BITS, (1 << SLOT_BITS) + 1
 #: BM25's constants.
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
-#: Ids of the vocabulary are below this; the kept ids take two bytes each.
-VOCABULARY = 1 << 16
 
-ENCODED = "doc_id long, n long, ids binary, df binary"
+TOKENS = "doc_id long, n long, crc long, lead int, second int, salt long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [column.split()[0] for column in PIECES.split(", ")]
 
 
-class Index:
-    """The BM25 weights of a run of documents, given each document's distinct terms and their counts."""
+def class_of(words: np.ndarray) -> np.ndarray:
+    return words >> np.uint32(HASH_BITS - CLASS_BITS)
+
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float):
-        docs = len(terms)
-        sizes = np.array([len(t) for t in terms], np.int64)
-        lengths = np.array([c.sum() for c in counts], np.float64)
+class Index:
+    """The BM25 weights of a run of documents: `words` are their words' hashes, `bounds` each one's first word."""
+
+    def __init__(self, words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, mean: float):
+        docs, lengths = len(bounds) - 1, np.diff(bounds)
+        known, words = np.unique(words, return_inverse=True)
+        shift = np.uint64(max(1, int(docs).bit_length()))
+        keys, tf = np.unique((words.astype(np.uint64) << shift) | np.repeat(np.arange(docs, dtype=np.uint64), lengths), return_counts=True)
+        # sorted by term, then by document
+        term, doc = (keys >> shift).astype(np.int64), (keys & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
         norm = K1 * (1 - B + B * lengths / mean)
-        term = np.concatenate(terms) if docs else np.zeros(0, np.uint16)
-        doc = np.repeat(np.arange(docs), sizes)
-        tf = np.concatenate(counts).astype(np.float64) if docs else np.zeros(0)
-        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        df = np.bincount(term, minlength=VOCABULARY)
+        weight = (idf[class_of(known)][term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        df = np.bincount(term, minlength=len(known))
         # the terms of many documents are a matrix, whose products with itself are made at once; the others are lists
         common = np.flatnonzero(df > max(8, docs // 16))
-        column = np.full(VOCABULARY, -1, np.int64)
+        column = np.full(len(known), -1, np.int64)
         column[common] = np.arange(len(common))
         dense = column[term] >= 0
         matrix = np.zeros((docs, len(common)), np.float32)
         matrix[doc[dense], column[term[dense]]] = weight[dense]
         self.common = (matrix > 0).astype(np.float32) @ matrix.T
         rare = ~dense & (df[term] > 1) & (weight > 0)
-        term, doc, weight = term[rare], doc[rare], weight[rare]
-        self.begin = np.searchsorted(doc, np.arange(docs + 1))
-        self.query = term
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=VOCABULARY))))
+        term, self.doc, self.weight = term[rare], doc[rare], weight[rare]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(known)))))
+        order = np.argsort(self.doc, kind="stable")
+        self.query = term[order]
+        self.begin = np.searchsorted(self.doc[order], np.arange(docs + 1))
         self.docs = docs
 
     def scores(self, doc: int) -> np.ndarray:
         own = self.query[self.begin[doc] : self.begin[doc + 1]]
         first = self.start[own]
-        sizes = self.start[own.astype(np.int64) + 1] - first
+        sizes = self.start[own + 1] - first
         at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         return self.common[doc] + np.bincount(self.doc[at], self.weight[at], self.docs)
 
@@ -190,146 +196,136 @@ def encoder(ranks: tuple[str, str], json_path: str):
     return encode
 
 
-def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a document, sorted, and their counts."""
-    ids = np.sort(ids, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    return ids[first], np.diff(np.append(first, len(ids)))
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the rank file's pieces in the order of their ids, and where each begins (one more than ids)."""
+    with open(path, "rb") as file:
+        known = {int(rank): base64.b64decode(piece) for piece, rank in map(bytes.split, file)}
+    table = [known.get(i, SPECIAL.encode()) for i in range(max(known) + 2)]
+    return np.frombuffer(b"".join(table), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in table])))
 
 
-def encoded(docs: DataFrame, json_path: str, ranks: tuple[str, str]) -> DataFrame:
-    """Each document's ids in two bytes each, and a row for each task that holds its documents' frequencies."""
+def decoded(ids: np.ndarray, n: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts whose n ids (with the end id) stand one after another, and where each begins."""
+    data, start = table
+    sizes = np.diff(start)[ids]
+    ends = np.cumsum(n)
+    sizes[ends - 1] = 0
+    to = np.cumsum(sizes)
+    at = np.repeat(start[ids] - (to - sizes), sizes) + np.arange(to[-1] if len(to) else 0)
+    return data[at], np.concatenate(([0], to[ends - 1]))
 
-    def rows(batches):
-        encode = encoder(ranks, json_path)
-        df = np.zeros(VOCABULARY, np.int64)
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                out = []
-                for text in piece["text"]:
-                    ids = encode(text.as_py() or "").astype("<u2")
-                    df[distinct(ids)[0]] += 1
-                    out.append(ids.tobytes())
-                n = pa.array([len(x) // 2 for x in out], pa.int64())
-                none = pa.nulls(len(out), pa.binary())
-                yield pa.RecordBatch.from_arrays([piece["doc_id"], n, pa.array(out, pa.binary()), none], ["doc_id", "n", "ids", "df"])
-        if df.any():
-            none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "n", "ids", "df"])
 
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(rows, ENCODED)
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts and where each text's begin."""
+    starts, ends = spans(data, offsets, alnum_bytes())
+    return (word_hashes(data, starts, ends) >> np.uint64(64 - HASH_BITS)).astype(np.uint32), row_words(starts, offsets)
 
 
-def frequencies(tokens: DataFrame) -> np.ndarray:
-    """In how many documents each id of the vocabulary stands."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """In how many documents words of each class stand; the number of documents and of words."""
 
     def counts(batches):
-        df = np.zeros(VOCABULARY, np.int64)
+        df, documents, total = np.zeros(CLASSES, np.int64), 0, 0
         for batch in batches:
-            for row in batch["df"]:
-                df += np.frombuffer(row.as_py(), np.int64)
+            for piece in pieces(batch, "text"):
+                words, bounds = words_of(*text_buffer(piece["text"]))
+                row = np.repeat(np.arange(piece.num_rows, dtype=np.uint64), np.diff(bounds))
+                keys = np.unique((row << np.uint64(CLASS_BITS)) | class_of(words).astype(np.uint64))
+                df += np.bincount((keys & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+                documents, total = documents + piece.num_rows, total + len(words)
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["id", "n"])
+        for s in range(0, len(at), 1 << 16):
+            part = at[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(df[part])], ["class", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([documents, total])], ["class", "n"])
 
-    table = tokens.where("df is not null").select("df").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(VOCABULARY, np.int64)
-    out[table["id"].to_numpy()] = table["n"].to_numpy()
-    return out
+    table = docs.select("text").mapInArrow(counts, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    at, n = table["class"].to_numpy(), table["n"].to_numpy()
+    df = np.zeros(CLASSES, np.int64)
+    df[at[at >= 0]] = n[at >= 0]
+    return df, int(n[at == -1].sum()), int(n[at == -2].sum())
 
 
-def term_orders(idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two random orders of the vocabulary: each term's place. With exponential times of rate idf the first of some
-    terms is each of them with a chance in proportion to its idf."""
+def class_orders(idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two random orders of the classes: each class's place. With exponential times of rate idf the first of some
+    classes is each of them with a chance in proportion to its idf."""
     out = []
     for seed in (1, 2):
-        u = (mix(np.arange(VOCABULARY, dtype=np.uint64) + np.uint64(seed << 32)) >> np.uint64(11)).astype(np.float64) / 2**53
+        u = (mix(np.arange(CLASSES, dtype=np.uint64) + np.uint64(seed << 32)) >> np.uint64(11)).astype(np.float64) / 2**53
         times = -np.log1p(-u) / np.maximum(idf, 1e-9)
-        place = np.empty(VOCABULARY, np.int32)
-        place[np.argsort(times, kind="stable")] = np.arange(VOCABULARY)
+        place = np.empty(CLASSES, np.int32)
+        place[np.argsort(times, kind="stable")] = np.arange(CLASSES)
         out.append(place)
     return out[0], out[1]
 
 
-def firsts(batch: pa.RecordBatch, orders: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sizes of a batch's documents, and the places of each one's first terms in the two orders."""
-    n = batch["n"].to_numpy()
-    ids = np.frombuffer(b"".join(x.as_buffer() for x in batch["ids"]), "<u2")
-    at = np.cumsum(n) - n
-    lead, second = (np.minimum.reduceat(order[ids], at) if len(ids) else np.zeros(0, np.int32) for order in orders)
-    return n, lead, second
-
-
-def sub_of(second: np.ndarray) -> np.ndarray:
-    return (mix(second.astype(np.uint64)) % np.uint64(SUBS)).astype(np.int64)
-
-
-def histogram(tokens: DataFrame, orders: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(lead, sub, n): ids of the documents by their first terms."""
-
-    def rows(batches):
-        total = np.zeros(VOCABULARY * SUBS, np.int64)
-        for batch in batches:
-            n, lead, second = firsts(batch, orders)
-            np.add.at(total, lead * np.int64(SUBS) + sub_of(second), n)
-        at = np.flatnonzero(total)
-        for s in range(0, len(at), 1 << 16):
-            part = at[s : s + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part // SUBS), pa.array(part % SUBS), pa.array(total[part])], ["lead", "sub", "n"])
-
-    return tokens.mapInArrow(rows, "lead long, sub long, n long").groupBy("lead", "sub").agg(F.sum("n").alias("n"))
-
-
-class Deal:
-    """Where documents go, by their first terms. Places of rare first terms share shards, in a row; a frequent one's
-    parts have shards of their own."""
-
-    def __init__(self, lead: np.ndarray, n: np.ndarray, shard: int = SHARD):
-        totals = np.zeros(VOCABULARY, np.int64)
-        totals[lead] = n
-        self.hot = totals > shard
-        light = np.where(self.hot, 0, totals)
-        self.home = (np.cumsum(light) - light) // shard
-        self.size, self.next = shard, int(self.home.max()) + 1
-        self.begin = np.zeros(0, np.int64)
-
-    def split(self, lead: np.ndarray, sub: np.ndarray, n: np.ndarray) -> None:
-        """The shards of the parts of frequent first terms."""
-        order = np.lexsort((sub, lead))
-        self.row = np.cumsum(self.hot) - 1
-        parts = np.zeros(int(self.hot.sum()) * SUBS, np.int64)
-        parts[self.row[lead[order]] * SUBS + sub[order]] = -(-n[order] // self.size)
-        self.parts, self.begin = parts, self.next + np.cumsum(parts) - parts
-
-    def shards(self, lead: np.ndarray, second: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        out = self.home[lead]
-        hot = self.hot[lead]
-        if hot.any():
-            cell = self.row[lead[hot]] * SUBS + sub_of(second[hot])
-            out[hot] = self.begin[cell] + (salt[hot] % self.parts[cell].astype(np.uint64)).astype(np.int64)
-        return out
-
-
 def salts(doc_id: pa.Array) -> np.ndarray:
     """A number of each row by its id and, for repeated ids, by its turn in the batch."""
     ids = doc_id.fill_null(-1).to_numpy()
     order = np.argsort(ids, kind="stable")
     turn = np.empty(len(ids), np.int64)
     turn[order] = np.arange(len(ids)) - np.searchsorted(ids[order], ids[order], "left")
-    return mix(mix(ids.astype(np.uint64)) + turn.astype(np.uint64))
+    return (mix(mix(ids.astype(np.uint64)) + turn.astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
+
 
+def encoded(docs: DataFrame, idf, json_path: str, ranks: tuple[str, str]) -> DataFrame:
+    """Each document's ids in two bytes each, and the places of its first classes in the two orders."""
+
+    name = uuid.uuid4().hex
 
-def placed(tokens: DataFrame, orders: tuple[np.ndarray, np.ndarray], deal: Deal) -> DataFrame:
     def rows(batches):
+        encode = encoder(ranks, json_path)
+        orders = process_cache("orders", dict)
+        if name not in orders:
+            orders.clear()
+            orders[name] = class_orders(idf.value)
+        orders = orders[name]
         for batch in batches:
-            n, lead, second = firsts(batch, orders)
-            shard = deal.shards(lead, second, salts(batch["doc_id"]))
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch["ids"]], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), pa.array(lead), pa.array(second), crc, batch["doc_id"], batch["ids"]], ["shard", "lead", "second", "crc", "doc_id", "ids"]
-            )
-
-    return tokens.mapInArrow(rows, "shard long, lead int, second int, crc long, doc_id long, ids binary")
+            salt = salts(batch["doc_id"])
+            done = 0
+            for piece in pieces(batch, "text"):
+                words, bounds = words_of(*text_buffer(piece["text"]))
+                some = np.flatnonzero(np.diff(bounds))
+                places = []
+                for order in orders:
+                    place = np.full(piece.num_rows, CLASSES, np.int32)
+                    if len(some):
+                        place[some] = np.minimum.reduceat(order[class_of(words)], bounds[:-1][some])
+                    places.append(pa.array(place))
+                ids = [encode(text.as_py() or "").astype("<u2") for text in piece["text"]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        piece["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), *places,
+                        pa.array(salt[done : done + piece.num_rows]), pa.array([x.tobytes() for x in ids], pa.binary()),
+                    ],
+                    [column.split()[0] for column in TOKENS.split(", ")],
+                )
+                done += piece.num_rows
+
+    return docs.mapInArrow(rows, TOKENS)
+
+
+def dealt(tokens: DataFrame, shard: int) -> DataFrame:
+    """tokens with a shard: slots of few ids share shards, in a row; a frequent slot's parts have shards of their own."""
+    spark = tokens.sparkSession
+    tokens = tokens.withColumn("slot", F.expr(f"cast(shiftright(lead, {CLASS_BITS - SLOT_BITS}) as long)")).withColumn("sub", F.expr(f"pmod(xxhash64(second), {SUBS})"))
+    table = tokens.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(SLOTS, np.int64)
+    total[table["slot"].to_numpy()] = table["n"].to_numpy()
+    hot = total > shard
+    light = np.where(hot, 0, total)
+    home = (np.cumsum(light) - light) // shard
+    at = np.flatnonzero(light)
+    homes = spark.createDataFrame(pa.table([pa.array(at), pa.array(home[at])], ["slot", "home"]), "slot long, home long")
+    parts = pa.table([pa.array([], pa.int64())] * 3, ["slot", "sub", "n"])
+    if hot.any():
+        frequent = spark.createDataFrame(pa.table([pa.array(np.flatnonzero(hot))], ["slot"]))
+        parts = tokens.join(F.broadcast(frequent), "slot").groupBy("slot", "sub").agg(F.sum("n").alias("n")).toArrow().sort_by([("slot", "ascending"), ("sub", "ascending")])
+    number = -(-parts["n"].to_numpy() // shard)
+    begin = int(home.max()) + 1 + np.cumsum(number) - number
+    own = spark.createDataFrame(pa.table([parts["slot"], parts["sub"], pa.array(begin, pa.int64()), pa.array(number, pa.int64())], ["slot", "sub", "begin", "parts"]), "slot long, sub long, begin long, parts long")
+    out = tokens.join(F.broadcast(homes), "slot", "left").join(F.broadcast(own), ["slot", "sub"], "left")
+    return out.select(F.expr("coalesce(home, begin + salt % parts)").alias("shard"), "lead", "second", "crc", "doc_id", "ids")
 
 
 def piece_batch(rows: list[tuple], rests: list | None = None) -> pa.RecordBatch:
@@ -337,12 +333,19 @@ def piece_batch(rows: list[tuple], rests: list | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*arrays, pa.array(rests or [None] * len(rows), pa.binary())], [*NAMES, "ids"])
 
 
-def filled(shards: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
+def filled(shards: DataFrame, idf, mean: float, path: str) -> DataFrame:
     """The pieces of each shard; those of its last windows carry their ids."""
 
     def run(names: list, ids: list[np.ndarray], first: int) -> tuple[int, list[pa.RecordBatch]]:
-        terms, counts = zip(*map(distinct, ids), strict=True)
-        full, last = packed([len(x) for x in ids], Index(list(terms), list(counts), idf, mean))
+        table = process_cache(("vocabulary", path), lambda: vocabulary(path))
+        words, bounds = [], [np.zeros(1, np.int64)]
+        for s in range(0, len(ids), 256):
+            part = ids[s : s + 256]
+            own, at = words_of(*decoded(np.concatenate(part), np.array([len(x) for x in part]), table))
+            words.append(own)
+            bounds.append(at[1:] + bounds[-1][-1])
+        index = Index(np.concatenate(words), np.concatenate(bounds), idf.value, mean)
+        full, last = packed([len(x) for x in ids], index)
         wide = [memoryview(x.astype("<u4").tobytes()) for x in ids]
         rows, rests = [], []
         for i, window in enumerate([*full, last]):
@@ -398,28 +401,15 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks: tuple[str, str] |
 
         json_path = public_tokenizers.path("byte_bpe_50k.json")
     spark = docs.sparkSession
-    tokens = materialise(encoded(docs, json_path, ranks), "tokens")
-    df = frequencies(tokens)
-    tokens = tokens.where("ids is not null").select("doc_id", "n", "ids")
-    number, total = tokens.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    df, number, words = frequencies(docs)
     if not number:
         return spark.createDataFrame([], PIECES)
-    idf = np.log1p((number - df + 0.5) / (df + 0.5))
-    # an id of one document finds no other
-    idf[df < 2] = 0
-    orders = term_orders(idf)
-
-    counts = materialise(histogram(tokens.select("n", "ids"), orders), "first-terms")
-    table = counts.groupBy("lead").agg(F.sum("n").alias("n")).toArrow()
-    deal = Deal(table["lead"].to_numpy(), table["n"].to_numpy(), shard)
-    if deal.hot.any():
-        frequent = spark.createDataFrame(pa.table([pa.array(np.flatnonzero(deal.hot))], ["lead"]))
-        table = counts.join(F.broadcast(frequent), "lead").select("lead", "sub", "n").toArrow()
-        deal.split(*(table[c].to_numpy() for c in ("lead", "sub", "n")))
-
+    idf = spark.sparkContext.broadcast(np.log1p((number - df + 0.5) / (df + 0.5)).astype(np.float32))
+    tokens = materialise(encoded(docs, idf, json_path, ranks), "tokens")
+    total = tokens.agg(F.sum("n")).first()[0]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * shard)))
-    shards = placed(tokens, orders, deal).repartition(tasks, "shard")
-    shards = shards.sortWithinPartitions("shard", "lead", "second", "doc_id", "crc")
-    dealt = materialise(filled(shards, idf, total / number), "pieces")
-    rests = dealt.where("ids is not null").groupBy(F.expr(f"shiftright(sequence_id, 32) div {GROUP}")).applyInArrow(put_together, PIECES)
-    return dealt.where("ids is null").select(NAMES).unionByName(rests)
+    shards = dealt(tokens, shard).repartition(tasks, "shard").sortWithinPartitions("shard", "lead", "second", "doc_id", "crc")
+    out = materialise(filled(shards, idf, max(1.0, words / number), ranks[0]), "pieces")
+    rests = out.where("ids is not null").groupBy(F.expr(f"shiftright(sequence_id, 32) div {GROUP}")).applyInArrow(put_together, PIECES)
+    return out.where("ids is null").select(NAMES).unionByName(rests)

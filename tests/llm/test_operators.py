@@ -229,7 +229,7 @@ def topics_apart(docs, topic, **options):
 def test_packing_does_not_depend_on_partitions(spark):
     """400 documents of 50 topics: the same sequences from any partitions, most pairs of one topic, few short ones."""
     rng = np.random.default_rng(2)
-    rows = [(i, " ".join(f"topic{i % 50}word{w}" if rng.random() < 0.3 else f"common{w}" for w in rng.integers(0, 60, 60))) for i in range(400)]
+    rows = [(i, " ".join(f"topic{i % 50}word{w}" if rng.random() < 0.6 else f"common{w}" for w in rng.integers(0, 60, 60))) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     first, share, short = topics_apart(docs.coalesce(1), lambda d: d % 50)
     assert share > 0.3 and short <= 11
@@ -248,17 +248,13 @@ def test_packing_deals_by_content(spark):
     assert sum(any({i, i + 60} <= own for own in members.values()) for i in range(60)) >= 45
 
 
-def test_deal_splits_what_is_frequent():
-    lead, second = np.repeat([5, 9, 70], [2, 300, 3]), np.arange(305) % 40
-    n = np.full(305, 10)
-    deal = packing.Deal(np.array([5, 9, 70]), np.array([20, 3000, 30]), 100)
-    subs = packing.sub_of(second)
-    cells = sorted({(9, int(x)) for x in subs[lead == 9]})
-    deal.split(np.array([c for c, _ in cells]), np.array([x for _, x in cells]), np.array([n[(lead == c) & (subs == x)].sum() for c, x in cells]))
-    shards = deal.shards(lead, second, packing.salts(pa.array(np.arange(305))))
-    assert len(set(shards[lead != 9])) == 1 and not set(shards[lead == 9]) & set(shards[lead != 9])
-    assert np.bincount(shards, n).max() <= 400 and len(set(shards)) >= 20
-
+def test_deal_splits_what_is_frequent(spark):
+    """A slot of many ids gets shards of its own, of bounded size even if all its documents are copies."""
+    rows = [(i, 10, 0, lead, second, int(packing.salts(pa.array([i]))[0]), b"") for i, (lead, second) in enumerate([(5, 1)] * 2 + [(900, 7)] * 300 + [(70, 3)] * 3 + [(1800, i % 5) for i in range(100)])]
+    shards = {r["doc_id"]: r["shard"] for r in collected(packing.dealt(spark.createDataFrame(rows, packing.TOKENS), 100))}
+    assert len(shards) == len(rows) and len({shards[i] for i in (0, 1, 302, 303, 304)}) == 1
+    copies = [shards[i] for i in range(2, 302)]
+    assert len(set(copies)) == 30 and max(map(copies.count, copies)) <= 25 and shards[0] not in copies
 
 
 # ---- 6

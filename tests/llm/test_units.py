@@ -144,11 +144,24 @@ def test_packing_keeps_every_token(sizes, seed):
 
 
 def bm25_index(docs):
-    """An index over lists of ids, its table the documents themselves."""
-    terms, counts = zip(*(packing.distinct(np.array(d, np.uint16)) for d in docs), strict=True) if docs else ((), ())
-    df = np.bincount(np.concatenate([np.zeros(0, np.int64), *terms]).astype(int), minlength=packing.VOCABULARY)
+    """An index over lists of small numbers as words, its table the documents themselves."""
+    words = [np.array(d, np.uint32) << np.uint32(packing.HASH_BITS - packing.CLASS_BITS) for d in docs]
+    df = np.zeros(packing.CLASSES)
+    for d in docs:
+        df[list(set(map(int, d)))] += 1
     idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-    return packing.Index(list(terms), list(counts), idf, max(1.0, sum(map(len, docs)) / max(1, len(docs))))
+    return packing.Index(np.concatenate([np.zeros(0, np.uint32), *words]), np.cumsum([0, *map(len, docs)]), idf, max(1.0, sum(map(len, docs)) / max(1, len(docs))))
+
+
+def test_decoding_gives_the_texts_back():
+    ranks = chat.default_ranks()
+    import public_tokenizers
+
+    encode = packing.encoder(ranks, public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", "Hello  wörld é世 🙂", "a <|endoftext|> b", "", "x" * 50, "tab\tnew\nline "]
+    ids = [encode(t) for t in texts]
+    data, offsets = packing.decoded(np.concatenate(ids), np.array([len(x) for x in ids]), packing.vocabulary(ranks[0]))
+    assert [bytes(data[a:b]).decode() for a, b in zip(offsets[:-1], offsets[1:])] == texts
 
 
 @pytest.mark.parametrize("docs", [5, 60])
