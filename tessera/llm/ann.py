@@ -3,10 +3,15 @@
 Each table projects the unit vectors on `projections` Gaussian directions and cuts every projection into cells of one
 width; a bucket is a combination of cells. For a query, a neighbour of the expected similarity has normally
 distributed projections of known mean and variance, so each bucket has an estimated success probability. The query
-visits buckets in descending order of it, the query's own and perturbed ones alike, until the estimates sum to
-`success`. Every row of a visited bucket is scored exactly; the tables' candidates are merged. Without projections a
-table is one bucket: so it is for as few rows as a bucket may hold, and for the queries that found fewer than k
-neighbours, which are scored against all rows.
+visits buckets in descending order of it, the query's own and perturbed ones alike, down to a least probability. Every
+row of a visited bucket is scored exactly; the tables' candidates are merged.
+
+Nothing is set for particular data: the k nearest of at most SAMPLE queries, found by scoring them against all rows,
+give the similarity to expect, and of all numbers of tables and projections and cell widths that are tried that one is
+taken for which the fewest rows of a sample have to be scored when RECALL of those nearest shall be met; its least
+probability goes with it. Neighbours that hardly differ from other rows (as of random vectors of many dimensions) stand
+in nearly all buckets: then most rows are scored, by one table. Queries that find fewer than k neighbours are scored
+against all rows.
 
 A bucket's rows and the queries that visit it are cut into blocks of bounded size, so a bucket that holds a third of
 all rows is many tasks and no task holds more than two blocks. Scores are cosines in double precision, summed in an
@@ -21,6 +26,7 @@ input are never read.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +37,30 @@ from tessera.llm.common import materialise, small_batches
 from tessera.llm.words import mix
 
 #: Rows, and queries, of a bucket that one task scores at a time.
-BLOCK = 4096
+BLOCK = 1024
+#: Queries, and rows, of each dimension that the parameters are taken from, and the share of neighbours to meet there.
+SAMPLE, SAMPLE_ROWS, RECALL = 200, 1000, 0.95
+#: What is tried: tables, projections, cell widths; rows of a mean bucket at least, and the cost of a visit in rows.
+TABLES, PROJECTIONS, WIDTHS, BUCKET, VISIT = (1, 2, 3), range(1, 15), (0.6, 1.0, 1.6), 48, 48
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How vectors of a dimension are hashed: no projections mean one bucket of all rows."""
+
+    tables: int = 1
+    projections: int = 0
+    width: float = 1.0
+    similarity: float = 0.0
+    least: float = 0.0
 
 
 def projections_of(dimension: int, table: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Gaussian directions (as rows) and offsets in cells, the same wherever they are computed."""
     made = np.random.default_rng((20240229, dimension, table))
-    return made.standard_normal((count, dimension)), made.random(count)
+    # offsets first: fewer projections are the first ones of more
+    offsets = made.random(64)
+    return made.standard_normal((count, dimension)), offsets[:count]
 
 
 def code(cells: np.ndarray) -> np.ndarray:
@@ -61,55 +84,144 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def probes(point: np.ndarray, offsets: np.ndarray, width: float, similarity: float, success: float) -> np.ndarray:
-    """Cells of the buckets to visit, most promising first. point: the query's projections; a neighbour's are normal
-    with mean similarity * point and variance 1 - similarity^2."""
+def chances(points: np.ndarray, cells: np.ndarray, offsets: np.ndarray, width: float, similarity: float) -> np.ndarray:
+    """Logarithms of the chance that a neighbour's projection is in a cell. points: the query's projections; a
+    neighbour's are normal with mean similarity * point and variance 1 - similarity^2."""
     sd = math.sqrt(max(1e-6, 1 - similarity * similarity))
-    names, logs = np.zeros((1, 0), np.int64), np.zeros(1)
-    for p, shift in zip(point, offsets, strict=True):
-        mean = similarity * p
-        cells = np.arange(math.floor((mean - 4 * sd) / width + shift), math.floor((mean + 4 * sd) / width + shift) + 1)
-        edges = (np.append(cells, cells[-1] + 1) - shift) * width
-        chance = np.diff([0.5 * math.erfc((mean - x) / (sd * math.sqrt(2))) for x in edges])
-        cells, chance = cells[chance > 1e-5], chance[chance > 1e-5]
-        logs = (logs[:, None] + np.log(chance)[None, :]).ravel()
-        names = np.concatenate(
-            [np.repeat(names, len(cells), axis=0), np.tile(cells, len(names))[:, None]], axis=1
-        )
-        keep = logs > logs.max() - 14
-        names, logs = names[keep], logs[keep]
-    order = np.lexsort((*names.T, -logs))
-    chance = np.exp(logs[order])
-    count = int(np.searchsorted(np.cumsum(chance), success)) + 1
-    return names[order[:count]]
-
-
-def nearest(
-    vectors: DataFrame, queries, id: str = "vec_id", vector: str = "embedding", k: int = 5, tables: int = 2,
-    target: int = 640, width: float = 1.25, similarity: float = 0.38, success: float = 0.8,
-) -> DataFrame:
+    low = ((cells - offsets) * width - similarity * points) / sd
+    return np.log(np.maximum(normal(low + width / sd) - normal(low), 1e-12))
+
+
+def normal(x: np.ndarray) -> np.ndarray:
+    """The normal distribution function, by a rational approximation (error under 1e-7)."""
+    z = np.abs(x)
+    t = 1 / (1 + 0.2316419 * z)
+    tail = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(x > 0, 1 - tail, tail)
+
+
+def probes(point: np.ndarray, offsets: np.ndarray, width: float, similarity: float, least: float) -> np.ndarray:
+    """Cells of the buckets whose estimated chance has at least the logarithm `least`, most promising first; the best
+    bucket in any case."""
+    reach = int(9 / width) + 1
+    steps = np.arange(-reach, reach + 1)
+    base = np.floor(similarity * point / width + offsets)
+    cells = base[:, None] + steps
+    logs = chances(point[:, None], cells, offsets[:, None], width, similarity)
+    best = logs.max(axis=1)
+    least = min(least, best.sum())
+    # what the projections to come can add at most
+    ahead = np.concatenate((np.cumsum(best[::-1])[::-1][1:], [0.0])) if len(best) else best
+    names, sums = np.zeros((1, 0), np.int64), np.zeros(1)
+    for own, log, more in zip(cells, logs, ahead, strict=True):
+        total = sums[:, None] + log[None, :]
+        r, c = np.nonzero(total + more >= least - 1e-9)
+        names = np.concatenate([names[r], own[c].astype(np.int64)[:, None]], axis=1)
+        sums = total[r, c]
+    return names[np.lexsort((*names.T, -sums))] if names.shape[1] else names
+
+
+def tuned(queries: np.ndarray, known: np.ndarray, of: np.ndarray, rows: np.ndarray, count: int) -> Plan:
+    """The cheapest plan that meets RECALL on a sample. queries, known, rows: unit vectors; known[i] is one of the
+    nearest of queries[of[i]]; count: rows of the table."""
+    if not len(known):
+        return Plan()
+    # among the lowest similarities, for these are the hard ones to meet
+    similarity = float(np.clip(np.quantile((queries[of] * known).sum(axis=1), 0.1), 0.05, 0.995))
+    most = max(PROJECTIONS)
+    dimension = queries.shape[1]
+    made = [projections_of(dimension, t, most) for t in range(max(TABLES))]
+    best, cost = Plan(), math.inf
+    for width in WIDTHS:
+        near, far = [], []
+        for directions, offsets in made:
+            points = queries @ directions.T
+            near.append(np.cumsum(chances(points[of], np.floor(known @ directions.T / width + offsets), offsets, width, similarity), axis=1))
+            cells = np.floor(rows @ directions.T / width + offsets)
+            far.append(np.cumsum(chances(points[:, None, :], cells[None, :, :], offsets, width, similarity), axis=2))
+        for m in PROJECTIONS:
+            # cells of a projection that hold most rows
+            spread = max(1.0, 4.1 / width)
+            if m > 1 and spread**m * BUCKET > 4 * count:
+                break
+            for tables in TABLES:
+                reached = np.max([x[:, m - 1] for x in near[:tables]], axis=0)
+                least = float(np.sort(reached)[int((1 - RECALL) * len(reached))]) - 1e-9
+                scored = sum(float((x[:, :, m - 1] >= least).mean()) for x in far[:tables]) * count
+                visits = sum(len(probes(queries[i] @ made[t][0][:m].T, made[t][1][:m], width, similarity, least)) for t in range(tables) for i in range(min(4, len(queries)))) / min(4, len(queries))
+                if scored + VISIT * visits < cost:
+                    best, cost = Plan(tables, m, width, similarity, least), scored + VISIT * visits
+    return best
+
+
+def sampled(rows: DataFrame, asked: DataFrame, k: int, sizes: dict[int, int]) -> dict[int, Plan]:
+    """A plan for each dimension."""
+    w = Window.partitionBy(F.size("v")).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id")
+    first = F.row_number().over(w)
+    queries = asked.withColumn("r", first).where(F.col("r") <= SAMPLE).select("vec_id", "v").toArrow()
+    others = rows.withColumn("r", first).where(F.col("r") <= SAMPLE_ROWS).select("v").toArrow()
+
+    def by_dimension(table: pa.Table) -> dict[int, np.ndarray]:
+        v = table["v"].combine_chunks()
+        size = v.value_lengths().to_numpy(zero_copy_only=False)
+        return {int(d): (np.flatnonzero(size == d), v.take(pa.array(np.flatnonzero(size == d))).flatten().to_numpy().reshape(-1, int(d))) for d in np.unique(size)}
+
+    names = queries["vec_id"].to_numpy()
+    asked_of = {d: (names[at], unit(v)) for d, (at, v) in by_dimension(queries).items()}
+
+    def scored(batches):
+        held = {d: (np.full((len(n), k), -np.inf), np.zeros((len(n), k, d))) for d, (n, _) in asked_of.items()}
+        for batch in batches:
+            for d, (at, v) in by_dimension(pa.Table.from_batches([batch])).items():
+                if d not in asked_of:
+                    continue
+                ids, own = batch["vec_id"].to_numpy()[at], unit(v)
+                queries, (score, body) = asked_of[d], held[d]
+                found = queries[1] @ own.T
+                found[queries[0][:, None] == ids[None, :]] = -np.inf
+                for i in np.flatnonzero((found > score[:, -1:]).any(axis=1)).tolist():
+                    new = np.argsort(-found[i], kind="stable")[:k]
+                    both = np.concatenate([score[i], found[i][new]])
+                    keep = np.argsort(-both, kind="stable")[:k]
+                    body[i] = np.concatenate([body[i], own[new]])[keep]
+                    score[i] = both[keep]
+        for d, (score, body) in held.items():
+            r, c = np.nonzero(score > -np.inf)
+            bodies = [body[i, j].tobytes() for i, j in zip(r, c, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), d)), pa.array(r), pa.array(score[r, c]), pa.array(bodies, pa.binary())], ["d", "q", "score", "body"])
+
+    out = {}
+    if asked_of:
+        w = Window.partitionBy("d", "q").orderBy(F.desc("score"), "body")
+        found = rows.mapInArrow(scored, "d long, q long, score double, body binary").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toArrow()
+        d, q = found["d"].to_numpy(), found["q"].to_numpy()
+        others = by_dimension(others)
+        for own in asked_of:
+            at = np.flatnonzero(d == own)
+            order = at[np.argsort(q[at], kind="stable")]
+            known = np.frombuffer(b"".join(found["body"][int(i)].as_py() for i in order), np.float64).reshape(-1, own)
+            out[own] = tuned(asked_of[own][1], known, q[order], unit(others[own][1]), sizes[own])
+    return {d: out.get(d, Plan()) for d in sizes}
+
+
+def nearest(vectors: DataFrame, queries, id: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """The k nearest rows found for every row for which the condition `queries` on the id holds: query_id, rank (from
-    1), vec_id, score, nearest first, ties to the smaller id.
-
-    target: rows of a mean bucket; the number of projections follows from it and the number of rows.
-    """
+    1), vec_id, score, nearest first, ties to the smaller id."""
     rows = small_batches(vectors).select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.where(
         "vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
         " and exists(v, x -> x <> 0)"
     )
-    # projections by dimension: about 3 cells of a projection hold the rows
     sizes = {int(d): int(n) for d, n in rows.groupBy(F.size("v")).count().collect()}
-    counts = {d: max(2, min(12, round(math.log(n / target) / math.log(3)))) if n > target else 0 for d, n in sizes.items()}
     asked = rows.where(queries)
-    best = materialise(ranked(candidates(rows, asked, k, tables, counts, width, similarity, success), k), "nearest")
+    plans = sampled(rows, asked, k, sizes)
+    best = materialise(ranked(candidates(rows, asked, k, plans), k), "nearest")
     # whoever found too few is scored against all rows
     filled = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-    cut = [d for d, n in counts.items() if n]
-    short = asked.where(F.size("v").isin(cut)).join(filled, "vec_id", "left_anti")
-    if not cut or short.isEmpty():
+    short = asked.join(filled, "vec_id", "left_anti")
+    if short.isEmpty():
         return best
-    more = candidates(rows, short, k, 1, dict.fromkeys(counts, 0), width, similarity, success)
+    more = candidates(rows, short, k, dict.fromkeys(sizes, Plan()))
     return ranked(best.select("query_id", "vec_id", "score").union(more), k)
 
 
@@ -122,11 +234,9 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     )
 
 
-def candidates(
-    rows: DataFrame, asked: DataFrame, k: int, tables: int, counts: dict[int, int], width: float, similarity: float, success: float
-) -> DataFrame:
+def candidates(rows: DataFrame, asked: DataFrame, k: int, plans: dict[int, Plan]) -> DataFrame:
     """(query_id, vec_id, score): the k nearest of each block of rows that a query of `asked` visits. rows and asked:
-    vec_id, v; counts: projections by dimension."""
+    vec_id, v."""
 
     def hashed(batches, probing: bool):
         for batch in batches:
@@ -137,16 +247,17 @@ def candidates(
                 own = batch["v"].take(pa.array(at)).flatten().to_numpy().reshape(len(at), d)
                 bodies = [x.tobytes() for x in own]
                 units = unit(own)
-                for t in range(tables if counts[d] else 1):
-                    directions, offsets = projections_of(d, t, counts[d])
+                plan = plans[d]
+                for t in range(plan.tables):
+                    directions, offsets = projections_of(d, t, plan.projections)
                     points = units @ directions.T
                     if probing:
-                        found = [code(probes(p, offsets, width, similarity, success)) for p in points]
+                        found = [code(probes(p, offsets, plan.width, plan.similarity, plan.least)) for p in points]
                         reps = np.repeat(np.arange(len(at)), [len(x) for x in found])
                         buckets = np.concatenate(found)
                     else:
                         reps = np.arange(len(at))
-                        buckets = code(np.floor(points / width + offsets).astype(np.int64))
+                        buckets = code(np.floor(points / plan.width + offsets).astype(np.int64))
                     for s in range(0, len(reps), 2048):
                         part = reps[s : s + 2048]
                         yield pa.RecordBatch.from_arrays(

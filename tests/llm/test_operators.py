@@ -147,22 +147,43 @@ def test_nearest_recall(spark):
 def test_nearest_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [None, 1.0]), (8, [float("nan"), 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (1, [2.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("bucket", F.lit(1)).withColumn("rank", F.lit("x"))
-    out = [(r["rank"], r["vec_id"], r["score"]) for r in collected(ann.nearest(df, "vec_id = 0", success=1.0).orderBy("rank"))]
+    out = [(r["rank"], r["vec_id"], r["score"]) for r in collected(ann.nearest(df, "vec_id = 0").orderBy("rank"))]
     assert out == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.0)]
     assert collected(ann.nearest(df.limit(0), "vec_id = 0")) == []
-    few = ann.nearest(df, "vec_id = 0", success=0.01)
-    assert [r["vec_id"] for r in collected(few.orderBy("rank"))] == [1, 2, 3]
 
 
 def test_nearest_scores_all_rows_for_lonely_queries(spark):
     made = np.random.default_rng(3)
-    x = made.standard_normal((300, 16)) * 0.05 + np.eye(16)[0]
+    x = made.standard_normal((900, 16)) * 0.05 + np.eye(16)[0]
     x[0] = -x[0]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    out = collected(ann.nearest(df, "vec_id % 100 = 0", target=10, success=0.3))
-    assert sorted((r["query_id"], r["rank"]) for r in out) == [(q, i) for q in (0, 100, 200) for i in range(1, 6)]
-    scores = ann.cosines(np.repeat(x[:1], 299, axis=0), x[1:])
-    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 0] == (np.lexsort((np.arange(299), -scores))[:5] + 1).tolist()
+    out = collected(ann.nearest(df, "vec_id % 100 = 0"))
+    assert sorted((r["query_id"], r["rank"]) for r in out) == [(q, i) for q in range(0, 900, 100) for i in range(1, 6)]
+    scores = ann.cosines(np.repeat(x[:1], 899, axis=0), x[1:])
+    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 0] == (np.lexsort((np.arange(899), -scores))[:5] + 1).tolist()
+
+
+@pytest.mark.parametrize("spread, most, rows", [(0.3, 0.15, 6000), (3.0, 1.0, 3000)])
+def test_nearest_takes_its_plan_from_the_data(spark, spread, most, rows):
+    """Recall against brute force, and the share of pairs that are scored: few of clustered vectors, no more than all of
+    nearly random ones."""
+    made = np.random.default_rng(5)
+    x = made.standard_normal((60, 48))[made.integers(0, 60, rows)] + spread * made.standard_normal((rows, 48))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    all_rows = df.selectExpr("vec_id", "embedding as v")
+    plan = ann.sampled(all_rows, all_rows.where("vec_id % 50 = 0"), 5, {48: rows})[48]
+    x, asked, scored = ann.unit(x), range(0, rows, 50), 0
+    for t in range(plan.tables):
+        directions, offsets = ann.projections_of(48, t, plan.projections)
+        buckets = ann.code(np.floor(x @ directions.T / plan.width + offsets).astype(np.int64))
+        for q in asked:
+            scored += np.isin(buckets, ann.code(ann.probes(directions @ x[q], offsets, plan.width, plan.similarity, plan.least))).sum()
+    assert plan.projections and scored <= most * rows * len(asked)
+    found = {}
+    for r in collected(ann.nearest(df, "vec_id % 50 = 0")):
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(found[q] & set([i for i in np.argsort(-(x @ x[q]), kind="stable").tolist() if i != q][:5])) for q in asked)
+    assert hits >= 0.9 * 5 * len(asked)
 
 
 def test_nearest_gives_a_repeated_id_one_place(spark):

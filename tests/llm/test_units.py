@@ -1,6 +1,7 @@
 """Parts that need no cluster: hashing, escaping, tables, probes, packing."""
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -93,15 +94,18 @@ def test_lookup_table():
 
 def test_probes_come_by_chance():
     point, offsets = np.array([0.3, -1.2, 0.9]), np.array([0.1, 0.6, 0.4])
-    cells = ann.probes(point, offsets, 1.25, 0.4, 0.9)
+    cells = ann.probes(point, offsets, 1.25, 0.4, -5.0)
     assert len({tuple(c) for c in cells.tolist()}) == len(cells)
     rng = np.random.default_rng(1)
     near = 0.4 * point + np.sqrt(1 - 0.16) * rng.standard_normal((20000, 3))
     found = Counter(map(tuple, np.floor(near / 1.25 + offsets).astype(int).tolist()))
-    hit = sum(found[tuple(c)] for c in cells.tolist()) / 20000
-    assert 0.88 < hit < 0.96
-    shares = [found[tuple(c)] for c in cells.tolist()]
-    assert shares[0] == max(shares)
+    shares = np.array([found[tuple(c)] for c in cells.tolist()]) / 20000
+    logs = ann.chances(point, cells, offsets, 1.25, 0.4).sum(axis=1)
+    assert np.abs(shares - np.exp(logs)).max() < 0.02 and (np.diff(logs) <= 1e-9).all() and logs.min() >= -5
+    # the others are less likely, every one
+    grid = np.array(list(itertools.product(range(-6, 7), repeat=3)))
+    assert (ann.chances(point, grid, offsets, 1.25, 0.4).sum(axis=1) >= -5).sum() == len(cells)
+    assert len(ann.probes(point, offsets, 1.25, 0.4, 0.0)) == 1 and ann.probes(point[:0], offsets[:0], 1.0, 0.0, 0.0).shape == (1, 0)
 
 
 def test_cosines_do_not_depend_on_place():
