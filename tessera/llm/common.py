@@ -80,23 +80,22 @@ def bitmap_position(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << bits))
 
 
-def bitmap(wanted: DataFrame, key: str, bits: int = 22) -> DataFrame:
-    """A bitmap of the hashes of wanted's keys as at most 2^bits / 64 rows (bitmap_word, bitmap_bits)."""
+def bitmap(wanted: DataFrame, key: str, bits: int) -> DataFrame:
+    """A bitmap of the hashes of wanted's keys as at most 2^bits / 64 rows (word, flags)."""
     at = wanted.select(bitmap_position(F.col(key), bits).alias("at"))
-    return at.groupBy(F.expr("shiftright(at, 6)").alias("bitmap_word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bitmap_bits")
-    )
+    return at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("flags"))
 
 
 def flag_by_bitmap(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, flag: str, bits: int = 22) -> DataFrame:
     """df with a boolean column: false only if the row's key is surely not among wanted's. The broadcast side has
     at most 2^bits / 64 rows (1 MB at 22 bits), whatever the size of wanted."""
-    at = "bitmap_at_" + uuid.uuid4().hex[:8]
-    words = bitmap(wanted, wanted_key, bits)
+    # names that no input has
+    at, word, flags = (f"{name}_{uuid.uuid4().hex}" for name in ("at", "word", "flags"))
+    words = bitmap(wanted, wanted_key, bits).withColumnsRenamed({"word": word, "flags": flags})
     out = df.withColumn(at, bitmap_position(F.col(key), bits))
-    out = out.join(F.broadcast(words), F.expr(f"shiftright({at}, 6)") == words["bitmap_word"], "left")
-    hit = F.expr(f"coalesce(shiftright(bitmap_bits, cast({at} & 63 as int)) & 1, 0) = 1")
-    return out.withColumn(flag, hit).select(*df.columns, flag)
+    out = out.join(F.broadcast(words), F.expr(f"shiftright({at}, 6)") == F.col(word), "left")
+    hit = F.expr(f"coalesce(shiftright({flags}, cast({at} & 63 as int)) & 1, 0) = 1")
+    return out.select(*df.columns, hit.alias(flag))
 
 
 def components(links: DataFrame) -> DataFrame:

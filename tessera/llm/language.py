@@ -10,7 +10,8 @@ languages can gain: where the bound is under the penalty, the single language is
 Text is read whole. Only letters count: ASCII letters without case and all bytes of longer characters; everything
 else separates words. A text that is null or has no letter gets `und` and score 0. Languages that have the same
 likelihood are taken in the order of their names. With an empty training table every text gets `und`. Repeated rows
-are predicted one by one; other columns of the input are never read.
+are predicted one by one; a labelled row with a null id is not learned from; other columns of the input are never
+read. A very long text is counted in stretches, so a worker needs little more than the text itself.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, small_batches
+from tessera.llm.common import PIECE, pieces, small_batches
 from tessera.llm.words import text_buffer
 
 #: log2 of the hash classes of 4-grams.
@@ -64,14 +65,32 @@ def grams(column, bits: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     starts = offsets[:-1] + ORDER * np.arange(len(offsets) - 1) + 1
     out[np.arange(len(data)) + ORDER * rows + 1] = letters()[data]
+    classes, at = gram_classes(out, bits)
+    return classes, np.searchsorted(at, np.append(starts - 1, len(out)))
+
+
+def gram_classes(out: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash classes of the 4-grams of letters and spaces, and where they begin."""
     n = len(out) - ORDER + 1
     code = np.zeros(n, np.uint32)
     for j in range(ORDER):
         code |= out[j : j + n].astype(np.uint32) << np.uint32(8 * j)
     letter = out != 0x20
     at = np.flatnonzero(letter[1 : n + 1] | letter[:n])
-    classes = (code[at] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-    return classes, np.searchsorted(at, np.append(starts - 1, len(out)))
+    return (code[at] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits), at
+
+
+def gram_counts(column, bits: int, chunk: int = PIECE) -> np.ndarray:
+    """How often each hash class stands in a single text; the text is read in stretches."""
+    data, _ = text_buffer(column)
+    counts = np.zeros(1 << bits, np.int64)
+    for a in range(0, len(data) + 1, chunk):
+        b = min(a + chunk, len(data) + 1)
+        out = np.full(b - a + ORDER - 1, 0x20, np.uint8)
+        low, high = max(a - 1, 0), min(b + ORDER - 2, len(data))
+        out[low + 1 - a : high + 1 - a] = letters()[data[low:high]]
+        counts += np.bincount(gram_classes(out, bits)[0], minlength=1 << bits)
+    return counts
 
 
 def remainder(key: Column, by: int = 3) -> Column:
@@ -115,6 +134,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for piece in pieces(batch, "text"):
+                if piece.nbytes > 2 * PIECE and piece.num_rows == 1:
+                    held.setdefault(piece["lang"][0].as_py(), np.zeros(1 << bits, np.int64))[:] += gram_counts(piece["text"], bits)
+                    continue
                 classes, bounds = grams(piece["text"], bits)
                 for i, name in enumerate(piece["lang"].to_pylist()):
                     total = held.setdefault(name, np.zeros(1 << bits, np.int64))
@@ -150,15 +172,17 @@ def expectation_maximisation(chances: np.ndarray, weights: np.ndarray) -> tuple[
     return share, float(weights @ np.log(chances @ share))
 
 
-def mixture(classes: np.ndarray, chances: np.ndarray, best: int) -> np.ndarray:
-    """Proportions of all columns for a document whose best single column is given."""
-    size = len(chances)
-    if len(classes) > 2000:
-        n = np.bincount(classes, minlength=size)
-        at = np.flatnonzero(n)
-        weights = n[at].astype(np.float64)
-    else:
-        at, weights = classes, np.ones(len(classes))
+def events_of(classes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and how often they stand."""
+    if len(classes) <= 2000:
+        return classes, np.ones(len(classes))
+    n = np.bincount(classes, minlength=size)
+    at = np.flatnonzero(n)
+    return at, n[at].astype(np.float64)
+
+
+def mixture(at: np.ndarray, weights: np.ndarray, chances: np.ndarray, best: int) -> np.ndarray:
+    """Proportions of all columns for a document of weighted classes whose best single column is given."""
     own = chances[at].astype(np.float64)
     events = weights.sum() / ORDER
     penalty = PENALTY * 0.5 * np.log(max(events, 2.0))
@@ -180,15 +204,37 @@ def mixture(classes: np.ndarray, chances: np.ndarray, best: int) -> np.ndarray:
     return out
 
 
-def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text))
+def has_letter(column, chunk: int = PIECE) -> bool:
+    """Whether a single text has a letter; it is decoded in stretches, none of which ends within a character."""
+    data, _ = text_buffer(column)
+    a = 0
+    while a < len(data):
+        b = min(a + chunk, len(data))
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        if any(map(str.isalpha, data[a:b].tobytes().decode("utf-8", "ignore"))):
+            return True
+        a = b
+    return False
 
 
 def predictor(model: Model, bits: int):
     """A function of a batch's text column that gives its proportions, a row each; all 0 for a text without letters."""
     logs = np.log(model.chances)
 
+    def long(column) -> np.ndarray:
+        """The same for a single text, in memory that does not depend on its length."""
+        counts = gram_counts(column, bits)
+        at = np.flatnonzero(counts)
+        out = np.zeros((1, len(model.languages) + 1))
+        if len(at) and model.languages and has_letter(column):
+            weights = counts[at].astype(np.float64)
+            out[0] = mixture(at, weights, model.chances, int((weights @ logs[at, :-1]).argmax()))
+        return out
+
     def predict(column) -> np.ndarray:
+        if len(column) == 1 and column.nbytes > 2 * PIECE:
+            return long(column)
         languages = len(model.languages)
         classes, bounds = grams(column, bits)
         out = np.zeros((len(column), languages + 1))
@@ -207,10 +253,10 @@ def predictor(model: Model, bits: int):
         out[rows[proven], best[proven]] = 1.0
         for i in np.flatnonzero(~proven):
             r = rows[i]
-            out[r] = mixture(classes[bounds[r] : bounds[r + 1]], model.chances, int(best[i]))
+            out[r] = mixture(*events_of(classes[bounds[r] : bounds[r + 1]], len(model.chances)), model.chances, int(best[i]))
         # bytes of longer characters need not be letters
         for r in rows.tolist():
-            if not has_letter(column[r].as_py()):
+            if not any(map(str.isalpha, column[r].as_py())):
                 out[r] = 0
         return out
 

@@ -12,6 +12,8 @@ tokens has target 0. An empty table gives an empty result. A document is taken a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,27 +105,26 @@ def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     return materialise(rows.withColumn("hash", hashed(F.col("doc_id"))), "sizes")
 
 
-def copies_of(hash: Column) -> Column:
-    return F.col("copies") + (hash <= F.col("upto_hash")).cast("long")
-
-
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     sizes = sized(docs)
     at = thresholds(sizes).withColumnRenamed("source", "s")
     return sizes.join(at, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies_of(F.col("hash"))).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + (F.col("hash") <= F.col("upto_hash")).cast("long"))).alias("taken")
     )
 
 
 def mixed(docs: DataFrame, most_sources: int = 10000) -> DataFrame:
     """The rows of docs, all columns as they are, as often as the mix takes them."""
-    at = materialise(thresholds(sized(docs)).select(F.col("source").alias("mix_source"), "copies", "upto_hash"), "mix")
+    at = thresholds(sized(docs))
+    # names that no input has
+    own = {name: f"{name}_{uuid.uuid4().hex}" for name in ("source", "copies", "upto_hash", "turn")}
+    at = materialise(at.select(*(F.col(name).alias(own[name]) for name in ("source", "copies", "upto_hash"))), "mix")
     if at.limit(most_sources + 1).count() <= most_sources:  # else the join shuffles
         at = F.broadcast(at)
-    taken = copies_of(hashed(F.col("doc_id"))).cast("int")
-    out = docs.join(at, F.col("source").cast("string").eqNullSafe(F.col("mix_source")))
-    return out.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), taken))).select(*docs.columns)
+    taken = F.col(own["copies"]) + (hashed(F.col("doc_id")) <= F.col(own["upto_hash"])).cast("long")
+    out = docs.join(at, F.col("source").cast("string").eqNullSafe(F.col(own["source"])))
+    return out.withColumn(own["turn"], F.explode(F.array_repeat(F.lit(0), taken.cast("int")))).select(*docs.columns)
 
 
 MIX_SQL = r"""

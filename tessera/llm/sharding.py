@@ -13,6 +13,7 @@ too; an empty table gives an empty result. New columns replace columns of the sa
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,12 +69,14 @@ def place(
     full = F.coalesce(F.col(key).cast("string"), F.lit(""))
     out = df.drop("slot", "shard")
     if most:
-        many = df.groupBy(full.alias("sharding_key")).count().where(F.col("count") > most)
-        many = many.select("sharding_key", F.ceil(F.col("count") / most).alias("sharding_parts"))
-        out = out.withColumn("sharding_key", full).join(many, "sharding_key", "left")
-        part = F.pmod(F.xxhash64(spread_by or key), F.col("sharding_parts"))
-        full = F.concat_ws("/", F.col("sharding_key"), part.cast("string"))
-    out = out.withColumn("slot", slot_of(full, size)).drop("sharding_key", "sharding_parts")
+        # names that no input has
+        whole, parts = (f"{name}_{uuid.uuid4().hex}" for name in ("key", "parts"))
+        many = df.select(full.alias(whole)).groupBy(whole).count().where(F.col("count") > most)
+        many = many.select(whole, F.ceil(F.col("count") / most).alias(parts))
+        out = out.withColumn(whole, full).join(many, whole, "left")
+        part = F.pmod(F.xxhash64(spread_by or key), F.col(parts))
+        full = F.concat_ws("/", F.col(whole), part.cast("string"))
+    out = out.withColumn("slot", slot_of(full, size))
     # as many rows as the table has slots
     return out.join(F.broadcast(table_rows(df.sparkSession, shards, size, weights)), "slot").select(
         *[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard"

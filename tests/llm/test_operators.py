@@ -125,6 +125,64 @@ def test_expectation_maximisation_never_worsens():
     assert share.sum() == pytest.approx(1) and value >= np.log(chances @ np.full(3, 1 / 3)).sum()
 
 
+def test_language_of_a_long_text_is_that_of_its_stretches(spark, documents):
+    """A text over the bound of a batch is counted in stretches, to the same proportions, in little memory."""
+    model = language.fit(documents)
+    run = language.predictor(model, language.BITS)
+    texts = [r["text"] for r in documents.where("lang is not null and text is not null").limit(40).collect()]
+    for text in (" ".join(texts * 30), "é" * 1_200_000 + "日本", "1 2 " * 900_000, "." * 3_000_000 + "x"):
+        column = pa.array([text])
+        assert column.nbytes > 2 * language.PIECE
+        classes, bounds = language.grams(column, language.BITS)
+        assert (language.gram_counts(column, language.BITS, 1000) == np.bincount(classes, minlength=1 << language.BITS)).all() and len(bounds) == 2
+        assert np.allclose(run(column), run(pa.array([text, None]))[:1], atol=1e-6)
+        assert language.has_letter(column, 1000) == any(map(str.isalpha, text))
+
+
+def brute_mixture(model, text):
+    """The set of languages and their shares by plain loops: byte 4-grams, greedy growth, many EM steps."""
+    letter = lambda b: chr(b).lower() if b < 128 and chr(b).isalpha() else chr(b) if b >= 128 else " "
+    out = " " + "".join(map(letter, text.encode())) + "    "
+    grams = [out[i : i + 4] for i in range(len(out) - 3) if out[i] != " " or out[i + 1] != " "]
+    own = np.array([model.chances[(int.from_bytes(g.encode("latin-1"), "little") * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language.BITS)] for g in grams], float)
+    n = len(own) / language.ORDER
+    penalty = language.PENALTY * 0.5 * np.log(max(n, 2))
+    chosen = [int(np.log(own[:, :-1]).sum(axis=0).argmax())]
+    value, share = np.log(own[:, chosen[0]]).sum() / language.ORDER, np.ones(1)
+    while True:
+        tries = []
+        for c in set(range(own.shape[1])) - set(chosen):
+            w = np.full(len(chosen) + 1, 1 / (len(chosen) + 1))
+            for _ in range(400):
+                p = own[:, [*chosen, c]] * w
+                w = (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+            tries.append((np.log(own[:, [*chosen, c]] @ w).sum() / language.ORDER, c, w))
+        best = max(tries, key=lambda t: t[0], default=None)
+        if not best or best[0] - value <= penalty:
+            return {c: s for c, s in zip(chosen, share, strict=True)}
+        value, share, chosen = best[0], best[2], [*chosen, best[1]]
+
+
+def test_language_mixtures_by_brute_force(spark, documents):
+    model = language.fit(documents)
+    run = language.predictor(model, language.BITS)
+    rows = [r["text"] for r in documents.where("length(text) between 200 and 1500").orderBy("doc_id").limit(12).collect()]
+    for text in [*rows, rows[0][:400] + " " + rows[1][:400] + " " + rows[2][:400], "zqx jvkq wxzz " * 20]:
+        want, got = brute_mixture(model, text), run(pa.array([text]))[0]
+        assert set(np.flatnonzero(got > 0).tolist()) == set(want)
+        assert all(abs(got[c] - s) < 0.02 for c, s in want.items())
+
+
+def test_clashing_names_stay(spark, documents):
+    docs = documents.limit(40)
+    for c in ("copies", "upto_hash", "mix_source", "mix_copy", "at", "word", "flags", "bitmap_word", "bitmap_bits", "sharding_key", "sharding_parts", "maybe", "slot", "edge", "hash"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for out in (mixing.mixed(docs), corpus_pipeline.near_duplicates(spark, docs, ""), sharding.place(docs, "doc_id", most=1, spread_by="text").drop("shard")):
+        first = out.first().asDict()
+        assert list(first) == [c for c in out.columns] and set(docs.columns) <= set(first)
+        assert all(first[c] == f"own {c}" for c in docs.columns[5:] if c != "slot")
+
+
 # ---- 3
 def test_nearest_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
