@@ -261,6 +261,18 @@ def test_licenses_odd_rows(odd, empty):
     assert collected(licenses.scan(empty)) == []
 
 
+def test_license_texts_and_many_hits(spark):
+    """A whole text with words changed here and there, and a text of very many hits."""
+    mit = licenses.phrase_words(licenses.TEXTS["mit"])
+    changed = [*mit[:6], "indeed", *mit[6:90], *mit[91:130], "surely", "also", *mit[130:]]
+    many = "mit license " * 200_000
+    rows = [(1, " ".join(changed)), (2, many), (3, " ".join(mit[:70])), (4, "gnu general new public license")]
+    out = {r["doc_id"]: r for r in collected(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert out[1]["labels"] == "mit" and 0.85 < out[1]["score"] < 1
+    assert (out[2]["n_base"], out[2]["first_word"], out[2]["last_word"], out[2]["n_words"]) == (200_000, 0, 399_998, 400_000)
+    assert out[3]["labels"] == "mit" and out[4]["base_labels"] == ""
+
+
 def test_license_spans(spark):
     text = "Permission is hereby granted, free of charge, to any one person obtaining a copy of this software"
     rows = [(1, text), (2, "under the GNU General Public License, version 3"), (3, "mit licence"), (4, "Licensed under CC BY-NC 4.0.")]
