@@ -4,7 +4,8 @@ A rule names a host and a path prefix and holds for the host and all its subdoma
 longest decides. URLs without a rule are judged by boosted trees trained on labelled URLs, by default those that the
 rules label. Features are lexical (lengths, depth, digit ratio, entropy, counts) and, for the host's last two labels,
 statistics over the whole table. Everything is column expressions and the JVM's tree learner: no Python runs on the
-executors. Training takes a bounded sample of the labelled URLs, those of the smallest hashes.
+executors. Training takes a bounded sample of the distinct labelled URLs, those of the smallest hashes; accuracy() tells
+how the trees judge labelled URLs of hosts that they were not trained on.
 
 A null URL or one without `://` has an empty host and path and no rule, and is judged like any other by its features.
 Without labelled URLs the verdict is `allow`; with labels of one kind only, that kind. Repeated rows are judged each
@@ -99,20 +100,41 @@ def trained(labelled: DataFrame, sample: int = SAMPLE):
     kinds = labelled.agg(F.min("label"), F.max("label")).head()
     if kinds[0] == kinds[1]:
         return kinds[0]
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).select("label", *FEATURES).repartition(4)
+    # a URL counts once, however many rows have it
+    rows = labelled.select("url", "label", *FEATURES).distinct()
+    rows = rows.orderBy(F.xxhash64("url"), "url", "label").limit(sample).select("label", *FEATURES).repartition(4)
     learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label", cacheNodeIds=False)
     return learner.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
 
 
+def known_rows(rows: DataFrame, labelled: DataFrame | None) -> DataFrame:
+    """The featured rows whose label (1 to block) is given by (url, label), else by the rules."""
+    if labelled is None:
+        return rows.where("ruling is not null").withColumn("label", (F.col("ruling") == "block").cast("double"))
+    # contradicting labels of a URL: block
+    labels = labelled.groupBy("url").agg(F.max(F.col("label").cast("double")).alias("label"))
+    return rows.join(labels, "url")
+
+
+def accuracy(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """(label, prediction, n): how the trees judge the labelled URLs, each counted once, of one host in five by hash, when
+    they are trained on the other hosts' alone."""
+    known = known_rows(featured(ruled(pages, rules)), labelled)
+    held_out = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
+    model = trained(known.where(~held_out), sample)
+    test = known.where(held_out).select("url", "label", *FEATURES).distinct()
+    if model is None or isinstance(model, float):
+        test = test.withColumn("prediction", F.lit(float(model or 0)))
+    else:
+        test = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(test))
+    return test.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule (like `net/`; else null), verdict (`allow` or `block`: the rule's, else the trees') of
     every page. labelled: (url, label), 1 to block; else the pages that the rules label."""
     rows = featured(ruled(pages, rules))
-    if labelled is None:
-        known = rows.where("ruling is not null").withColumn("label", (F.col("ruling") == "block").cast("double"))
-    else:
-        labels = labelled.select("url", F.col("label").cast("double").alias("label")).dropDuplicates(["url"])
-        known = rows.join(labels, "url")
+    known = known_rows(rows, labelled)
     model = trained(known, sample)
     keep = [F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule"]
     if model is None or isinstance(model, float):

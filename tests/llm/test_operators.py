@@ -435,6 +435,53 @@ def test_url_trees_learn(spark):
     labelled = pages.where("page_id % 2 = 0").select("url", (F.col("page_id") >= 100).cast("int").alias("label"))
     out = collected(urls.judge(pages, rules=(), labelled=labelled))
     assert sum((r["verdict"] == "block") == (r["page_id"] >= 100) for r in out) >= 115
+    table = {(r["label"], r["prediction"]): r["n"] for r in collected(urls.accuracy(pages, (), pages.select("url", (F.col("page_id") >= 100).cast("int").alias("label"))))}
+    assert sum(n for (a, b), n in table.items() if a == b) >= 0.9 * sum(table.values()) > 0
+
+
+def test_urls_features_by_brute_force_and_odd_rows(spark):
+    long = "http://long.example.com/" + "x/1" * 60000
+    rows = [(None, "http://a.com/b"), (1, long), (2, None), (3, ""), (4, "http://a-b.c.co/x//y/?p=1&q=2&&r#f?z"), *[(5, "http://hot.net/")] * 300, (6, "http://é世.org/fr/é")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("url_length", F.lit("clash")).withColumn("suffix", F.lit("clash"))
+    out = collected(urls.featured(urls.ruled(pages)))
+    assert len(out) == len(rows) == urls.judge(pages).count()
+    for r in out:
+        url = r["url"] or ""
+        counts = [url.count(c) for c in set(url)]
+        bits = -sum(n / len(url) * np.log2(n / len(url)) for n in counts) if url else 0.0
+        query = re.search(r"\?([^#]*)", url)
+        want = (len(url), len(r["host"]), len(r["path"]), len([x for x in r["path"].split("/")[1:] if x]), len([x for x in r["host"].split(".") if x]), sum(c in "0123456789" for c in url) / max(1, len(url)), bits)
+        assert want == pytest.approx(tuple(r[c] for c in urls.FEATURES[:7])) and r["parameters"] == (len([x for x in query[1].split("&") if x]) if query else 0)
+    assert all(r["suffix_urls"] == pytest.approx(np.log(301)) for r in out if r["host"] == "hot.net")
+
+
+# ---- 8 by plain Python
+def test_fingerprints_by_brute_force(spark):
+    """Fingerprints, and the likeness of edited and next texts, from minima taken one by one."""
+    texts = {i: " ".join(f"w{(i * 7 + j) % 61}" for j in range(30 + i)) for i in range(6)} | {7: "", 9: "one two"}
+    rows = collected(fingerprints.fingerprint(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)))
+    a, b = fingerprints.permutations()
+
+    def made(text):
+        words = text.split()
+        data, offsets = fingerprints.batch_shingles(pa.array([text]), 5)
+        assert len(set(data.tolist())) == len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+        lows = [min((int(x) >> 32) * int(m) + int(c) & 0xFFFFFFFF for x in data) if words else None for m, c in zip(a, b, strict=True)]
+        return [255 if x is None else (x * 0x9E3779B1 & 0xFFFFFFFF) >> 24 for x in lows]
+
+    def alike(x, y):
+        if all(v == 255 for v in x) or all(v == 255 for v in y):
+            return float(x == y)
+        return min(1.0, max(0.0, (sum(p == q for p, q in zip(x, y, strict=True)) / 128 - 1 / 256) / (1 - 1 / 256)))
+
+    order = sorted(texts, reverse=True)
+    for r in rows:
+        text, following = texts[r["doc_id"]], texts[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        n = len(text) // 3
+        changed = text[: len(text) - n] + following[:n]
+        assert r["fingerprint"] == bytes(made(text)).hex() and r["edited_fingerprint"] == bytes(made(changed)).hex()
+        assert r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest() and r["n_chars"] == len(text)
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((alike(made(text), made(changed)), alike(made(text), made(following))))
 
 
 # ---- 10
