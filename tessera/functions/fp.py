@@ -80,17 +80,18 @@ def permute(a: Column, n: int, words: int = 2, word_bits: int = WORD_BITS) -> Co
     """Rotation of the whole bit string: bit i moves to (i + n) modulo the width; negative n rotates back."""
     n %= words * word_bits
     q, r = divmod(n, word_bits)
-    mask = (1 << word_bits) - 1
 
-    def word(k: int) -> Column:
-        low = F.element_at(a, (k - q) % words + 1)
-        if not r:
-            return low
-        high = F.element_at(a, (k - q - 1) % words + 1)
-        moved = F.shiftleft(low, r).bitwiseOR(F.shiftrightunsigned(high, word_bits - r))
-        return moved if word_bits == 64 else moved.bitwiseAND(_long(mask))
+    def turned(k: int) -> Column:
+        """Word i moves to word i + k."""
+        k %= words
+        return F.concat(F.slice(a, words - k + 1, k), F.slice(a, 1, words - k)) if k else a
 
-    return F.array(*(word(k) for k in range(words)))
+    if not r:
+        return turned(q)
+    mask = _long(-1 if word_bits == 64 else (1 << word_bits) - 1)
+    return F.zip_with(
+        turned(q), turned(q + 1), lambda low, high: F.shiftleft(low, r).bitwiseOR(F.shiftrightunsigned(high, word_bits - r)).bitwiseAND(mask)
+    )
 
 
 def fold(a: Column, words: int = 2) -> Column:

@@ -33,7 +33,11 @@ def within(df: DataFrame, words: str, query: Column, most: int, pops: str | None
 
 
 def bands(words: str, bits: int, count: int, word_bits: int = fp.WORD_BITS) -> list[Column]:
-    """The signature cut into so many disjoint bit runs."""
+    """The signature cut into so many disjoint bit runs; runs of over 63 bits are runs of words, by their hashes."""
+    size = bits // word_bits
+    if bits > 63 * count:
+        edges = [round(i * size / count) for i in range(count + 1)]
+        return [F.xxhash64(F.slice(words, s + 1, e - s)) for s, e in zip(edges[:-1], edges[1:], strict=True)]
     edges = [round(i * bits / count) for i in range(count + 1)]
     out = []
     for s, e in zip(edges[:-1], edges[1:], strict=True):
@@ -42,21 +46,29 @@ def bands(words: str, bits: int, count: int, word_bits: int = fp.WORD_BITS) -> l
         while at < e:
             w, o = divmod(at, word_bits)
             n = min(e - at, word_bits - o)
-            part = F.shiftrightunsigned(F.element_at(words, w + 1), o).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+            mask = (1 << n) - 1 if n < 64 else -1
+            part = F.shiftrightunsigned(F.element_at(words, w + 1), o).bitwiseAND(F.lit(mask).cast("long"))
             value = value.bitwiseOR(F.shiftleft(part, at - s))
             at += n
         out.append(value)
     return out
 
 
-def similarity_join(df: DataFrame, key: str, words: str, most: int, bits: int = fp.WIDTH) -> DataFrame:
+def similarity_join(df: DataFrame, key: str, words: str, most: int, bits: int = fp.WIDTH, word_bits: int = fp.WORD_BITS) -> DataFrame:
     """All pairs (a, b, distance) with a < b and a distance of at most `most`.
 
     Of most + 1 disjoint bands at least one is equal, so the join on bands loses no pair. A pair is made in its first
     equal band only, so no step has to remove duplicates."""
     if most >= bits // 2:
         raise ValueError("bands of less than two bits are no filter: use a cross join")
-    every = bands(words, bits, most + 1)
+    every = bands(words, bits, most + 1, word_bits)
+    if bits > 256:  # the signatures are joined to the pairs, not sent with every band
+        runs = df.select(F.col(key).alias("id"), F.posexplode(F.array(*every)).alias("band", "value"))
+        a, b = (runs.withColumnRenamed("id", x) for x in "ab")
+        pairs = a.join(b, ["band", "value"]).where("a < b").select("a", "b").distinct()
+        sides = [df.select(F.col(key).alias(x), F.col(words).alias(f"{x}_words")) for x in "ab"]
+        pairs = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("distance", fp.hamming(F.col("a_words"), F.col("b_words")))
+        return pairs.where(F.col("distance") <= most).select("a", "b", "distance")
     pops = fp.popcount(F.col(words))
     rows = df.select(
         F.col(key).alias("id"), F.col(words).alias("words"), pops.alias("pops"), F.array(*every).alias("all_bands"),
@@ -123,3 +135,74 @@ def hybrid(
     if between:
         df = df.where(F.col(between[0]).between(*between[1:]))
     return df.withColumn("score", score).orderBy(F.desc("score"), key).offset(offset).limit(limit)
+
+
+def light_meter(a: Column, b: Column, sampled) -> tuple[Column, Column]:
+    """Mean and standard deviation of the differing bits of sampled words."""
+    each = [F.bit_count(F.element_at(a, w + 1).bitwiseXOR(F.element_at(b, w + 1))).cast("double") for w in sampled]
+    n = float(len(each))
+    mean = sum(each[1:], each[0]) / n
+    squares = [F.pow(x - mean, F.lit(2.0)) for x in each]
+    return mean, F.sqrt(sum(squares[1:], squares[0]) / n)
+
+
+def container_cascade(
+    df: DataFrame, words: str, query: Column, key: str, sampled, size: int, *, estimate: float, differing: int, most: int,
+    excite: int, inhibit: int, k: int, word_bits: int = 64,
+) -> DataFrame:
+    """An estimate from sampled words, the number of differing words, the exact distance and its response; the k nearest.
+    The first stage can lose rows, as its limit is on an estimate."""
+    mean, _ = light_meter(F.col(words), query, sampled)
+    rows = df.where(mean * float(size * word_bits) / float(word_bits) <= estimate)
+    differ = F.aggregate(F.zip_with(words, query, lambda x, y: (x != y).cast("int")), F.lit(0), lambda t, x: t + x)
+    rows = rows.where(differ <= differing).withColumn("distance", fp.hamming(F.col(words), query)).where(F.col("distance") <= most)
+    return rows.withColumn("response", mexican_hat(F.col("distance"), excite, inhibit)).orderBy("distance", key).limit(k)
+
+
+def scent_index(df: DataFrame, words: str) -> DataFrame:
+    """df with scent, five bytes as a number, and chunk, its first byte: a table laid out by chunk is read in part."""
+    def byte(i: int) -> Column:
+        positions = F.sequence(F.lit(i), F.size(words) * 8 - 1, F.lit(5))
+        return F.aggregate(
+            positions, F.lit(0).cast("long"),
+            lambda t, p: t.bitwiseXOR(F.call_function("shiftrightunsigned", F.element_at(words, F.floor(p / 8).cast("int") + 1), (p % 8 * 8).cast("int")).bitwiseAND(F.lit(255).cast("long"))),
+        )
+
+    parts = F.array(*(byte(i) for i in range(5)))
+    out = df.withColumn("scent_bytes", parts)
+    scent = F.aggregate(F.reverse("scent_bytes"), F.lit(0).cast("long"), lambda t, x: F.shiftleft(t, 8).bitwiseOR(x))
+    return out.withColumn("scent", scent).withColumn("chunk", F.col("scent_bytes")[0]).drop("scent_bytes")
+
+
+def scent_lookup(index: DataFrame, scent: int, chunk_most: int, most: int) -> DataFrame:
+    """Rows of near chunks whose scents are within a distance: the list of chunks, of 256, is made in the program."""
+    chunks = [c for c in range(256) if (c ^ (scent & 255)).bit_count() <= chunk_most]
+    distance = F.bit_count(F.col("scent").bitwiseXOR(F.lit(scent))).cast("long")
+    return index.where(F.col("chunk").isin(chunks)).withColumn("distance", distance).where(F.col("distance") <= most)
+
+
+def styled(df: DataFrame, words: str, query: Column, key: str, k: int, width: int, turn: Column | None = None) -> DataFrame:
+    """The k best by similarity; in the creative style a row's turn, modulo 7, adds up to 0.006."""
+    rows = df.withColumn("distance", fp.hamming(F.col(words), query))
+    score = 1.0 - F.col("distance") / float(width)
+    if turn is not None:
+        score = score + 0.1 * ((turn % 7) / 100.0)
+    return rows.withColumn("score", score).orderBy(F.desc("score"), key).limit(k)
+
+
+def explore(df: DataFrame, words: str, query: Column, feature: Column, key: str, k: int, width: int) -> DataFrame:
+    """0.6 of content similarity and 0.4 of a feature's closeness, over the 2 k nearest by content."""
+    near = df.withColumn("distance", fp.hamming(F.col(words), query)).orderBy("distance", key).limit(2 * k)
+    score = 0.6 * (1.0 - F.col("distance") / float(width)) + 0.4 * feature
+    return near.withColumn("score", score).orderBy(F.desc("score"), key).limit(k)
+
+
+def synthesize(df: DataFrame, words: str, feature: str, positive: str, negative: str, word_bits: int = fp.WORD_BITS) -> DataFrame:
+    """One row: the majority of the signatures, the mean feature, and the truth of all evidence together."""
+    from tessera.functions import truth
+
+    rows = df.withColumn("all", F.lit(0))
+    rest = rows.groupBy("all").agg(F.avg(feature).alias("feature"), F.sum(positive).alias("p"), F.sum(negative).alias("n"))
+    return fp.bundle(rows, ["all"], words, word_bits=word_bits).select("all", words).join(rest, "all").select(
+        words, "feature", truth.from_evidence(F.col("p"), F.col("n")).alias("truth")
+    )
