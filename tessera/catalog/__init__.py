@@ -21,4 +21,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from tessera.catalog import evidence, graphs, more, relational, signatures, texts, timelines, wide  # noqa: F401
+    from tessera.catalog import evidence, frames, graphs, more, relational, signatures, texts, timelines, walks, wide  # noqa: F401

@@ -131,7 +131,7 @@ def spreading_activation(spark, sf_dir):
 
 SHARED = (
     "lines AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),"
-    " shared AS (SELECT a.p AS source, b.p AS target FROM lines a JOIN lines b ON a.o = b.o AND a.p < b.p GROUP BY a.p, b.p HAVING count(*) >= 2)"
+    " shared AS MATERIALIZED (SELECT a.p AS source, b.p AS target FROM lines a JOIN lines b ON a.o = b.o AND a.p < b.p GROUP BY a.p, b.p HAVING count(*) >= 2)"
 )
 
 

@@ -35,21 +35,23 @@ def version_intervals(spark, sf_dir):
     return versions.intervals(history(spark, sf_dir), KEYS).drop("value")
 
 
-def by_type(spark, sf_dir, day):
-    """Rows (user, value) of a user's last event until a day."""
-    rows = table(spark, sf_dir, "events").withColumn("moment", F.col("ts").cast("timestamp_ntz"))
-    return rows.groupBy("user_id").agg(F.max_by(F.when(F.col("event_id") % day == 0, F.col("value")), F.when(F.col("event_id") % day == 0, F.struct("moment", "event_id"))).alias("value")).where("value is not null")
+def until(spark, sf_dir, share):
+    """(user, value): each user's last event until a moment, a share of the way from the first event to the last."""
+    rows = table(spark, sf_dir, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
+    ends = rows.agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    rows = rows.crossJoin(F.broadcast(ends)).where(F.col("s") <= F.col("first") + (F.col("last") - F.col("first")) * share / 100)  # ends is one row
+    return rows.groupBy("user_id").agg(F.max_by("value", F.struct("s", "event_id")).alias("value"))
 
 
-SIDE = "(SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_id % {} = 0 GROUP BY user_id)"
+SIDE = "(SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events, (SELECT epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last FROM events) WHERE epoch_us(ts) <= first + (last - first) * {} / 100 GROUP BY user_id)"
 
 
 @query(
-    f"WITH o AS {SIDE.format(2)}, n AS {SIDE.format(3)} SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'removed' ELSE 'modified' END AS change, o.value AS old, n.value AS new"
+    f"WITH o AS {SIDE.format(40)}, n AS {SIDE.format(80)} SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'removed' ELSE 'modified' END AS change, o.value AS old, n.value AS new"
     " FROM o FULL JOIN n ON o.user_id = n.user_id WHERE o.user_id IS NULL OR n.user_id IS NULL OR o.value IS DISTINCT FROM n.value"
 )
 def version_diff(spark, sf_dir):
-    return versions.diff(by_type(spark, sf_dir, 2), by_type(spark, sf_dir, 3), ["user_id"], "value")
+    return versions.diff(until(spark, sf_dir, 40), until(spark, sf_dir, 80), ["user_id"], "value")
 
 
 @query(f"WITH {HISTORY}, {AT.format(2)}, {AT.format(5)} SELECT a2.user_id, a2.event_type, 6::BIGINT AS version, a2.value, FALSE AS deleted FROM a2")
@@ -57,10 +59,10 @@ def rollback(spark, sf_dir):
     return versions.rollback(history(spark, sf_dir), KEYS, 2, 6)
 
 
-@query(f"WITH o AS {SIDE.format(2)}, n AS {SIDE.format(3)} SELECT user_id, value FROM n UNION ALL SELECT user_id, value FROM o WHERE user_id NOT IN (SELECT user_id FROM n)")
+@query(f"WITH o AS {SIDE.format(40)}, n AS {SIDE.format(80)} SELECT user_id, value FROM n UNION ALL SELECT user_id, value FROM o WHERE user_id NOT IN (SELECT user_id FROM n)")
 def what_if(spark, sf_dir):
-    overlay = by_type(spark, sf_dir, 3).withColumn("deleted", F.lit(False))
-    return versions.what_if(by_type(spark, sf_dir, 2), overlay, ["user_id"])
+    overlay = until(spark, sf_dir, 80).withColumn("deleted", F.lit(False))
+    return versions.what_if(until(spark, sf_dir, 40), overlay, ["user_id"])
 
 
 def windowed_sql(size: int, slide: int) -> str:

@@ -166,6 +166,24 @@ def combined(df: DataFrame, keys: list[str], words: str) -> DataFrame:
     return sums.groupBy(*keys).agg(whole.alias(words))
 
 
+def sparse(a: Column) -> Column:
+    """Only the words that are not 0, by their place."""
+    every = F.transform(a, lambda x, i: F.struct(i.alias("at"), x.alias("word")))
+    return F.map_from_entries(F.filter(every, lambda e: e.word != 0))
+
+
+def sparse_bind(a: Column, b: Column) -> Column:
+    """Exclusive or of sparse signatures."""
+    places = F.array_union(F.map_keys(a), F.map_keys(b))
+    value = lambda m, i: F.coalesce(F.try_element_at(m, i), _long(0))
+    every = F.transform(places, lambda i: F.struct(i.alias("at"), value(a, i).bitwiseXOR(value(b, i)).alias("word")))
+    return F.map_from_entries(F.filter(every, lambda e: e.word != 0))
+
+
+def sparse_hamming(a: Column, b: Column) -> Column:
+    return popcount(F.map_values(sparse_bind(a, b)))
+
+
 #: SQL names of the functions above and of the evidence rules, as expression-bodied functions.
 SQL_FUNCTIONS = {
     "hamming(a ARRAY<BIGINT>, b ARRAY<BIGINT>) RETURNS BIGINT": "aggregate(zip_with(a, b, (x, y) -> x ^ y), 0L, (t, x) -> t + bit_count(x))",

@@ -90,3 +90,19 @@ def zone(address: Column) -> Column:
     """surface (prefix 0x00-0x0F), fluid (0x10-0x7F), node (0x80-0xFF) of a 16-bit address."""
     prefix = F.shiftright(address, 8)
     return F.when(prefix < 16, "surface").when(prefix < 128, "fluid").otherwise("node")
+
+
+def child(dn: Column, component: Column) -> Column:
+    """The child of a name by its component; null below the deepest level."""
+    out = F.lit(None).cast("long")
+    for d in range(DEPTH):
+        out = F.when(depth(dn) == d, dn.bitwiseOR(F.shiftleft(component.cast("long") + 1, 56 - 8 * d))).otherwise(out)
+    return out
+
+
+def last_below(dn: Column) -> Column:
+    """The last name of a subtree: all ones below the name's own levels."""
+    out = _long(-1)
+    for d in range(1, DEPTH + 1):
+        out = F.when(depth(dn) == d, dn.bitwiseOR(_long((1 << (64 - 8 * d)) - 1))).otherwise(out)
+    return out

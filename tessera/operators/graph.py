@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import fp
+from tessera.operators.search import near_join
 from tessera.session import materialise
 
 
@@ -100,16 +102,117 @@ class Semiring:
         self.multiply, self.add = multiply, add
 
 
-#: Over columns value (of the source) and, of the edge, weight and distance.
+#: Over columns value (of the source) and, of the edge, weight and distance; those of signatures also need source_words
+#: and target_words, see with_words.
 SEMIRINGS = {
     "reachability": Semiring(lambda v: v, F.bool_or),
     "shortest": Semiring(lambda v: v + F.col("distance"), F.min),
     "best": Semiring(lambda v: v * F.col("weight"), F.max),
     "sum": Semiring(lambda v: v * F.col("weight"), F.sum),
     "count": Semiring(lambda v: v, F.sum),
+    "hamming": Semiring(lambda v: v + fp.hamming(F.col("source_words"), F.col("target_words")), F.min),
 }
 
 
+def similarity_ring(width: int) -> Semiring:
+    """Best similarity: the value times that of the edge's ends times its weight."""
+    return Semiring(lambda v: v * fp.similarity(F.col("source_words"), F.col("target_words"), width) * F.col("weight"), F.max)
+
+
+def resonance_ring(query: Column, width: int) -> Semiring:
+    """How near an edge's binding is to a query, whatever comes in."""
+    near = lambda v: F.greatest(F.lit(width) - fp.hamming(fp.bind(F.col("source_words"), F.col("target_words")), query), F.lit(0))
+    return Semiring(near, F.max)
+
+
+def with_words(edges: DataFrame, nodes: DataFrame, key: str = "node", words: str = "words") -> DataFrame:
+    """edges with the signatures of their ends."""
+    ends = [nodes.select(F.col(key).alias(end), F.col(words).alias(f"{end}_words")) for end in ("source", "target")]
+    return edges.join(ends[0], "source").join(ends[1], "target")
+
+
+def binding_step(edges: DataFrame, values: DataFrame, word_bits: int = fp.WORD_BITS) -> DataFrame:
+    """One step of path binding: values (node, value: a signature) are bound with their edges' targets; those that meet
+    are bundled, a tie being that of the smallest source."""
+    sent = values.withColumnRenamed("node", "source").join(edges, "source")
+    sent = sent.select(F.col("target").alias("node"), "source", fp.bind(F.col("value"), F.col("target_words")).alias("value"))
+    return fp.bundle(sent, ["node"], "value", order="source", word_bits=word_bits).select("node", "value")
+
+
+def cascaded(edges: DataFrame, words: int, first: int, count: int, estimate: int, most: int) -> DataFrame:
+    """edges whose ends are near: an estimate from some words first (which can lose edges), then the exact distance."""
+    rough = fp.masked_hamming(F.col("source_words"), F.col("target_words"), first, count) * (words // count)
+    rows = edges.where(rough <= estimate)
+    return rows.withColumn("distance", fp.hamming(F.col("source_words"), F.col("target_words"))).where(F.col("distance") <= most)
+
+
+def gated_visit(edges: DataFrame, starts: DataFrame, nodes: DataFrame, query: Column, most: int, depth: int) -> DataFrame:
+    """(node, hop, distance): nodes near a query, reached over such nodes only; visited is shared by all starts. The
+    difference of popcounts, a lower bound, comes first."""
+    near = nodes.where(F.abs(fp.popcount(F.col("words")) - fp.popcount(query)) <= most)
+    near = near.withColumn("distance", fp.hamming(F.col("words"), query)).where(F.col("distance") <= most).select(F.col("node").alias("target"), "distance")
+    steps = materialise(edges.select("source", "target").distinct().join(near, "target"), "gated")
+    known = starts.select("node").distinct()
+    frontier, out = known, None
+    for hop in range(1, depth + 1):
+        new = frontier.withColumnRenamed("node", "source").join(steps, "source").select(F.col("target").alias("node"), "distance").distinct()
+        new = materialise(new.join(known, "node", "left_anti").select("node", F.lit(hop).alias("hop"), "distance"), "gated")
+        if new.isEmpty():
+            break
+        out = new if out is None else out.union(new)
+        frontier = new.select("node")
+        known = known.union(frontier)
+    return (out if out is not None else known.select("node", F.lit(0).alias("hop"), F.lit(0).cast("long").alias("distance")).limit(0)).orderBy("distance", "node")
+
+
+def fingerprint_visit(
+    edges: DataFrame, nodes: DataFrame, starts: DataFrame, verb: Column, most: int, depth: int, bits: int, word_bits: int = fp.WORD_BITS
+) -> DataFrame:
+    """(node, hop): nodes reached over edges that are known by their signatures alone (source ^ verb ^ target): an edge
+    belongs to a frontier node if what is left when node and verb are unbound is near a node's signature. The left-overs
+    of the edges that carry a source are joined by source; all others would be pairs of every node and edge."""
+    known = starts.select("node").distinct()
+    frontier, out = known, None
+    for hop in range(1, depth + 1):
+        at = frontier.join(nodes, "node").select(F.col("node").alias("source"), F.col("words").alias("source_words"))
+        left = edges.join(at, "source").withColumn("rest", fp.bind(fp.bind(F.col("words"), F.col("source_words")), verb))
+        left = materialise(left.withColumn("edge", F.concat_ws(">", "source", "id")).select("edge", "rest"), "unbound")
+        met = near_join(left, "edge", "rest", nodes, "node", "words", most, bits, word_bits)
+        new = materialise(met.select("node").distinct().join(known, "node", "left_anti").select("node", F.lit(hop).alias("hop")), "met")
+        if new.isEmpty():
+            break
+        out = new if out is None else out.union(new)
+        frontier = new.select("node")
+        known = known.union(frontier)
+    return out if out is not None else known.select("node", F.lit(0).alias("hop")).limit(0)
+
+
+def path_between(edges: DataFrame, source, target, most: int) -> DataFrame:
+    """(depth, path): all shortest paths from one node to another of at most so many edges. Levels of first visits from
+    the source, then back from the target over edges that climb a level."""
+    starts = edges.sparkSession.range(1).select(F.lit(source).alias("start"))
+    seen = first_visit(edges, starts, most).select(F.col("target").alias("node"), "hop")
+    seen = materialise(seen.union(starts.select(F.col("start").alias("node"), F.lit(0).alias("hop"))), "levels")
+    steps = edges.select("source", "target").distinct().join(seen.select(F.col("node").alias("source"), F.col("hop").alias("h")), "source")
+    steps = steps.join(seen.select(F.col("node").alias("target"), F.col("hop").alias("g")), "target").where("g = h + 1").select("source", "target")
+    end = seen.where(F.col("node") == F.lit(target)).head()
+    if end is None or end["hop"] == 0:
+        return starts.select(F.lit(0).alias("depth"), F.array(F.col("start")).alias("path")).limit(0 if end is None else 1)
+    at = starts.select(F.lit(target).alias("first"), F.array(F.lit(target)).alias("path"))
+    for _ in range(end["hop"]):
+        at = at.join(steps, at["first"] == steps["target"]).select(F.col("source").alias("first"), F.concat(F.array("source"), "path").alias("path"))
+        at = materialise(at, "back")
+    return at.select(F.lit(end["hop"]).alias("depth"), "path")
+
+
+def centrality(edges: DataFrame) -> DataFrame:
+    """(node, centrality): distinct neighbours in either direction, of all other nodes."""
+    both = oriented(edges.select("source", "target"), "both").where("source <> target").distinct()
+    counts = both.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("node", (F.col("n") / F.col("total")).alias("centrality"))
+
+
 def semiring_step(edges: DataFrame, values: DataFrame, ring: Semiring | str) -> DataFrame:
     """One matrix-vector step: (node, value) to the values of the targets."""
     ring = SEMIRINGS[ring] if isinstance(ring, str) else ring

@@ -97,11 +97,32 @@ def staged(df: DataFrame, words: str, query: Column, samples: list[tuple[int, in
     return df.withColumn("distance", fp.hamming(F.col(words), query)).where(F.col("distance") <= most)
 
 
-def bound_retrieval(edges: DataFrame, known: str, verb: str, ends: DataFrame, end_words: str, most: int) -> DataFrame:
-    """Ends that an edge signature gives when the known end and the verb are unbound, within a distance."""
+def near_join(
+    left: DataFrame, left_id: str, left_words: str, right: DataFrame, right_id: str, right_words: str, most: int, bits: int = fp.WIDTH,
+    word_bits: int = fp.WORD_BITS,
+) -> DataFrame:
+    """(left_id, right_id, distance) of all pairs of two tables at a distance of at most `most`. Of most + 1 disjoint bands
+    one at least is equal, so the join on bands loses no pair; signatures are joined to the pairs afterwards. Ids are
+    unique and differ in name."""
+
+    def runs(df, key, words):
+        return df.select(F.col(key), F.posexplode(F.array(*bands(words, bits, most + 1, word_bits))).alias("band", "value"))
+
+    if bits < 4 * (most + 1):
+        raise ValueError("bands of under four bits hardly filter: use wider signatures")
+    pairs = runs(left, left_id, left_words).join(runs(right, right_id, right_words), ["band", "value"]).select(left_id, right_id).distinct()
+    pairs = pairs.join(left.select(left_id, F.col(left_words).alias("near_a")), left_id).join(right.select(right_id, F.col(right_words).alias("near_b")), right_id)
+    pairs = pairs.withColumn("distance", fp.hamming(F.col("near_a"), F.col("near_b"))).where(F.col("distance") <= most)
+    return pairs.select(left_id, right_id, "distance")
+
+
+def bound_retrieval(
+    edges: DataFrame, key: str, known: str, verb: str, ends: DataFrame, end_key: str, end_words: str, most: int, bits: int = fp.WIDTH,
+    word_bits: int = fp.WORD_BITS,
+) -> DataFrame:
+    """(key, end_key, distance): ends that an edge's signature `edge` gives when the known end and the verb are unbound."""
     unbound = fp.bind(fp.bind(F.col("edge"), F.col(known)), F.col(verb))
-    pairs = edges.withColumn("unbound", unbound).crossJoin(ends)
-    return pairs.withColumn("distance", fp.hamming(F.col("unbound"), F.col(end_words))).where(F.col("distance") < most)
+    return near_join(edges.withColumn("unbound", unbound), key, "unbound", ends, end_key, end_words, most, bits, word_bits)
 
 
 def deep_field(df: DataFrame, words: str, query: Column, radius: int, width: int, least: int = 3) -> DataFrame:

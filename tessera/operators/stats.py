@@ -67,3 +67,22 @@ def certified(effect: Column, signal: Column, error: Column, n: Column, least: i
     """Whether a lag effect holds: size, direction, a 95 % interval above 0, p under 0.01, enough points."""
     z = F.when(error > 0, signal / error).when(signal > 0, 10.0).otherwise(0.0)
     return (F.abs(effect) > 0.2) & (signal > 0) & (signal - 1.96 * error > 0) & (response.tail(z) < 0.01) & (n >= least)
+
+
+def with_group_number(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with group_number, the number of each run of equal order values within its keys."""
+    return df.withColumn("group_number", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def over_groups(value: Column, keys: list[str], order: list[str], first: int, last: int) -> Column:
+    """An aggregate over a frame of groups of equal order values, by their numbers from with_group_number."""
+    return value.over(Window.partitionBy(*keys).orderBy("group_number").rangeBetween(first, last))
+
+
+def online(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, mean, sample variance, extremes and exact quartiles by key."""
+    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = df.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"), F.min(value).alias("low"), F.max(value).alias("high"), quartiles.alias("q")
+    )
+    return out.select(*keys, "n", "mean", "var", "low", "high", *(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fp, truth
+from tessera.operators.graph import semiring_step
+from tessera.operators.search import near_join
 from tessera.session import materialise
 
 
@@ -30,15 +34,15 @@ def content_query(store: DataFrame, value: Column, radius: int) -> DataFrame:
     return store.withColumn("distance", best).withColumn("axis", axis).where(F.col("distance") <= radius).orderBy("distance", "id")
 
 
-def successors(store: DataFrame, radius: int) -> DataFrame:
-    """(id, next, distance): records whose x is near another's z."""
-    a = store.select("id", F.col("z").alias("a_z"))
-    b = store.select(F.col("id").alias("next"), F.col("x").alias("b_x"))
+def successors(store: DataFrame, radius: int, bits: int = fp.WIDTH, word_bits: int = fp.WORD_BITS) -> DataFrame:
+    """(id, next, distance): records whose x is near another's z, by equality for radius 0 and by equal bands else."""
     if radius == 0:
+        a = store.select("id", F.col("z").alias("a_z"))
+        b = store.select(F.col("id").alias("next"), F.col("x").alias("b_x"))
         pairs = a.join(b, a["a_z"] == b["b_x"]).withColumn("distance", F.lit(0).cast("long"))
     else:
-        pairs = a.crossJoin(b).withColumn("distance", fp.hamming(F.col("a_z"), F.col("b_x")))
-    return pairs.where((F.col("id") != F.col("next")) & (F.col("distance") <= radius)).select("id", "next", "distance")
+        pairs = near_join(store, "id", "z", store.withColumnRenamed("id", "next"), "next", "x", radius, bits, word_bits)
+    return pairs.where(F.col("id") != F.col("next")).select("id", "next", "distance")
 
 
 def walk(links: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -84,13 +88,87 @@ def digests(store: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return store.select(key, F.sha2(F.to_json(F.struct(*columns)), 256).alias("digest"))
 
 
-def root(leaves: DataFrame, key: str, fan: int = 256) -> DataFrame:
-    """One row with the digest of all leaves: those of a bucket of keys first, then the buckets' in order."""
-    buckets = leaves.groupBy(F.pmod(F.xxhash64(key), F.lit(fan)).alias("bucket")).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "digest"))), lambda x: x.digest), ""), 256).alias("digest")
-    )
-    every = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x.digest)
-    return buckets.agg(F.sha2(F.array_join(every, ""), 256).alias("root"))
+def hash_tree(leaves: DataFrame, key: str, depth: int) -> DataFrame:
+    """(level, prefix, digest): a node for each prefix, of so many hex digits as its level, of the keys' hashes. A node's
+    digest is that of its children's in the order of their prefixes; a lowest node's children are its leaves, in the order
+    of their keys. depth: so that a lowest node has few leaves, see tree_depth; no node has more than 16 others."""
+    digest = lambda name: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, "digest"))), lambda x: x.digest), ""), 256)
+    rows = leaves.withColumn("prefix", F.substring(F.sha2(F.col(key).cast("string"), 256), 1, depth))
+    at = rows.groupBy("prefix").agg(digest(key).alias("digest")).select(F.lit(depth).alias("level"), "prefix", "digest")
+    out = at = materialise(at, "tree")
+    for level in reversed(range(depth)):
+        at = at.select(F.substring("prefix", 1, level).alias("up"), "prefix", "digest").groupBy("up").agg(digest("prefix").alias("digest"))
+        at = at.select(F.lit(level).alias("level"), F.col("up").alias("prefix"), "digest")
+        out = out.union(at)
+    return out
+
+
+def tree_depth(leaves: int, most: int = 256) -> int:
+    """Levels of a tree whose lowest nodes have `most` leaves on average, or fewer."""
+    depth = 1
+    while leaves > most << (4 * depth):
+        depth += 1
+    return depth
+
+
+def root(leaves: DataFrame, key: str, depth: int | None = None) -> DataFrame:
+    """One row with the digest of all leaves."""
+    depth = depth or tree_depth(leaves.count())
+    return hash_tree(leaves, key, depth).where("level = 0").select(F.col("digest").alias("root"))
+
+
+def proof(leaves: DataFrame, tree: DataFrame, key: str, value, depth: int) -> list[tuple[int, list[tuple[str, str]]]]:
+    """What proves that a leaf is in a tree: of its lowest node all leaves, and of each node above the children. As many
+    rows as a node's leaves and 16 for each level."""
+    name = hashlib.sha256(str(value).encode()).hexdigest()
+    own = leaves.where(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, depth) == name[:depth]).orderBy(key)
+    out = [(depth, [(str(r[0]), r[1]) for r in own.select(key, "digest").collect()])]
+    for level in reversed(range(depth)):
+        children = tree.where((F.col("level") == level + 1) & F.startswith("prefix", F.lit(name[:level]))).orderBy("prefix")
+        out.append((level, [(r["prefix"], r["digest"]) for r in children.collect()]))
+    return out
+
+
+def proven(steps: list[tuple[int, list[tuple[str, str]]]], value, digest: str, root: str) -> bool:
+    """Whether a proof leads from a leaf's digest to a root."""
+    name, held = hashlib.sha256(str(value).encode()).hexdigest(), (str(value), digest)
+    for level, children in steps:
+        if held not in children:
+            return False
+        held = (name[:level], hashlib.sha256("".join(d for _, d in children).encode()).hexdigest())
+    return held == ("", root)
+
+
+def cluster_query(store: DataFrame, centres: DataFrame, first: tuple[str, Column], second: tuple[str, Column], radius: int) -> DataFrame:
+    """Records near a query on two axes, by clusters of the first axis: a cluster whose centre is farther from the query
+    than its radius and the wanted one has none (triangle inequality). centres: (centre, centre_words), few by nature.
+    Records have `centre` and `reach`, see clustered."""
+    axis, value = first
+    near = centres.withColumn("gap", fp.hamming(F.col("centre_words"), value))
+    bounds = store.groupBy("centre").agg(F.max("reach").alias("most"))
+    kept = near.join(bounds, "centre").where(F.col("gap") <= F.col("most") + radius).select("centre", "gap")
+    rows = store.join(kept, "centre").where(F.abs(F.col("gap") - F.col("reach")) <= radius)
+    rows = rows.withColumn("near", fp.hamming(F.col(axis), value)).where(F.col("near") <= radius)
+    other, wanted = second
+    return rows.withColumn("other", fp.hamming(F.col(other), wanted)).where(F.col("other") <= radius)
+
+
+def clustered(store: DataFrame, axis: str, centres: DataFrame) -> DataFrame:
+    """store with the nearest centre of an axis and the distance to it. centres are few: their list goes with each row."""
+    every = centres.agg(F.collect_list(F.struct("centre", "centre_words")).alias("every"))  # one row
+    rows = store.crossJoin(F.broadcast(every))
+    best = F.array_min(F.transform("every", lambda c: F.struct(fp.hamming(F.col(axis), c.centre_words).alias("reach"), c.centre.alias("centre"))))
+    return rows.withColumn("best", best).select(*store.columns, "best.centre", "best.reach")
+
+
+def chain_walk(links: DataFrame, values: DataFrame, ring, hops: int) -> DataFrame:
+    """(level, node, value): records reached over (source, target, ...), those met twice on a level merged by the semiring."""
+    out = None
+    for level in range(1, hops + 1):
+        values = materialise(semiring_step(links, values, ring), "level")
+        rows = values.select(F.lit(level).alias("level"), "node", "value")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
