@@ -94,6 +94,29 @@ def permute(a: Column, n: int, words: int = 2, word_bits: int = WORD_BITS) -> Co
     )
 
 
+def permute_by(a: Column, n: Column, words: int = 2, word_bits: int = WORD_BITS) -> Column:
+    """permute() by a number of the row's own."""
+    turn = F.pmod(n.cast("int"), F.lit(words * word_bits))
+    q, r = F.floor(turn / word_bits).cast("int"), turn % word_bits
+    mask = _long(-1 if word_bits == 64 else (1 << word_bits) - 1)
+
+    def word(k):
+        low, high = (F.element_at(a, F.pmod(k - q - d, F.lit(words)) + 1) for d in (0, 1))
+        moved = F.call_function("shiftleft", low, r).bitwiseOR(F.call_function("shiftrightunsigned", high, word_bits - r))
+        return F.when(r == 0, low).otherwise(moved.bitwiseAND(mask))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), word)
+
+
+def sequence(df: DataFrame, keys: list[str], order: list[str], words: str, count: int = 2, word_bits: int = WORD_BITS) -> DataFrame:
+    """One signature for each ordered group: item i turned by i, all bundled."""
+    from pyspark.sql import Window
+
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    rows = df.select(*keys, words, turn.alias("turn")).withColumn(words, permute_by(F.col(words), F.col("turn"), count, word_bits))
+    return bundle(rows, keys, words, word_bits=word_bits)
+
+
 def fold(a: Column, words: int = 2) -> Column:
     """Half the width: exclusive or of the two halves."""
     half = words // 2

@@ -130,10 +130,40 @@ def choice(a: Column, b: Column) -> Column:
     return F.when(expectation(a) >= expectation(b), a).otherwise(b)
 
 
+#: Share of confidence that a substitution leaves, and a doubt about what depends on a belief. Fixed values.
+SUBSTITUTED, DOUBTED, COMFORTABLE = 0.7, 0.5, 0.3
+
+
 def challenges(t: Column) -> Column:
-    """The opposite claim as a challenge: does the belief survive it, and how strong is it."""
+    """array of struct<kind, f, c, survives, strength>: the opposite claim, a substitute, a doubt, pressure and comfort."""
     against = truth_negation(t)
-    return F.struct((expectation(t) > expectation(against)).alias("survives"), expectation(against).alias("strength"))
+    doubted = truth(t.f, t.c * DOUBTED)
+    genuine, pressure = t.f * t.c, t.f * (1.0 - t.c)
+    ambiguity = 1.0 - F.abs(2.0 * t.f - 1.0)
+
+    def made(kind, f, c, survives, strength):
+        return F.struct(F.lit(kind).alias("kind"), f.alias("f"), c.alias("c"), survives.alias("survives"), strength.alias("strength"))
+
+    return F.array(
+        made("negation", against.f, against.c, expectation(t) > expectation(against), expectation(against)),
+        made("substitution", 1.0 - t.f, t.c * SUBSTITUTED, t.c > 0.5, 1.0 - t.c),
+        made("dependency", doubted.f, doubted.c, expectation(doubted) > 0.5, F.abs(expectation(t) - expectation(doubted))),
+        made("weather", genuine, t.c, genuine > pressure, pressure),
+        made("comfort", t.f, t.c * (1.0 - ambiguity), ambiguity * t.c < COMFORTABLE, ambiguity * t.c),
+    )
+
+
+def robustness(t: Column) -> Column:
+    """Share of the challenges' strength that a belief survives; 1 if there is none."""
+    every = challenges(t)
+    strength = F.aggregate(every, F.lit(0.0), lambda a, x: a + x.strength)
+    survived = F.aggregate(every, F.lit(0.0), lambda a, x: a + F.when(x.survives, x.strength).otherwise(0.0))
+    return F.when(strength > 0, survived / strength).otherwise(1.0)
+
+
+def robust(t: Column) -> Column:
+    """Whether a belief survives four challenges of the five."""
+    return F.size(F.filter(challenges(t), lambda x: x.survives)) >= 4
 
 
 def dispersion_gate(sd: Column) -> Column:

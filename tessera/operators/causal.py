@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -121,3 +121,66 @@ def separated(parents: dict[str, list[str]], a: str, b: str, given: set[str]) ->
             seen.add(x)
             todo += [y for y in near[x] if y not in given]
     return True
+
+
+def necessity(edges: DataFrame, state, outcome, alternative) -> DataFrame:
+    """One row: the weight of the heaviest imagined outcome of the alternative if any differs from the outcome, 0 if none
+    does, null without an imagined one."""
+    rows = edges.where((F.col("kind") == "imagine") & (F.col("state") == F.lit(state)) & (F.col("action") == F.lit(alternative)))
+    return rows.agg(F.when(F.bool_or(F.col("outcome") != F.lit(outcome)), F.max("weight")).when(F.count("*") > 0, 0.0).alias("necessity"))
+
+
+def sufficiency(edges: DataFrame, state, action, outcome) -> DataFrame:
+    """One row: the weight of the heaviest outcome of the action if the outcome is among them, 0 if not, null without any."""
+    rows = outcomes(edges, state, action)
+    return rows.agg(F.when(F.bool_or(F.col("outcome") == F.lit(outcome)), F.max("weight")).when(F.count("*") > 0, 0.0).alias("sufficiency"))
+
+
+def ancestors(links: DataFrame, node, depth: int = 20) -> DataFrame:
+    """(node, hop): all that leads to a node over (source, target)."""
+    from tessera.operators import graph
+
+    starts = links.sparkSession.range(1).select(F.lit(node).alias("start"))
+    out = graph.first_visit(links.select("source", F.lit("CAUSES").alias("verb"), "target"), starts, depth, direction="in")
+    return out.select(F.col("target").alias("node"), "hop")
+
+
+def correlated(edges: DataFrame, state, k: int) -> DataFrame:
+    """What was seen with a state, heaviest first."""
+    rows = edges.where((F.col("kind") == "see") & (F.col("state") == F.lit(state)))
+    return rows.orderBy(F.desc("weight"), "action", "outcome").limit(k)
+
+
+def near_confounders(edges: DataFrame, states: DataFrame, first, second, most: int, bits: int) -> DataFrame:
+    """(a, b, distance): states that lead to the first outcome beside near ones that lead to the second. states: state,
+    words."""
+    from tessera.operators.search import near_join
+
+    sides = []
+    for name, outcome in (("a", first), ("b", second)):
+        own = edges.where(F.col("outcome") == F.lit(outcome)).select("state").distinct().join(states, "state")
+        sides.append(own.select(F.col("state").alias(name), "words"))
+    return near_join(sides[0], "a", "words", sides[1], "b", "words", most, bits)
+
+
+def counterfactual(tables: list[tuple[str, list[str], DataFrame]], evidence: dict, variable: str, value, wanted: list[str]) -> DataFrame:
+    """What `wanted` would have been under variable = value, given what was seen: the roots take their distribution given
+    the evidence, the variable is set, and the rest follows."""
+    roots = [name for name, parents, _ in tables if not parents and name != variable]
+    posterior = conditional(joint(tables), roots, evidence)
+    rest = [t for t in intervened(tables, variable, value) if t[0] not in roots]
+    out = posterior.withColumnRenamed("p", "p_roots")
+    for name, parents, table in rest:
+        table = table.select(name, *parents, F.col("p").alias(f"p_{name}"))
+        out = out.join(table, parents) if parents else out.crossJoin(table)
+    product = F.col("p_roots")
+    for name, _, _ in rest:
+        product = product * F.col(f"p_{name}")
+    return marginal(out.withColumn("p", product), wanted)
+
+
+def replaced(world: Column, old: Column, new: Column) -> Column:
+    """A world, a binding of its parts, with one part in place of another."""
+    from tessera.functions import fp
+
+    return fp.bind(fp.bind(world, old), new)

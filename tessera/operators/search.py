@@ -227,3 +227,90 @@ def synthesize(df: DataFrame, words: str, feature: str, positive: str, negative:
     return fp.bundle(rows, ["all"], words, word_bits=word_bits).select("all", words).join(rest, "all").select(
         words, "feature", truth.from_evidence(F.col("p"), F.col("n")).alias("truth")
     )
+
+
+def sampling_cascade(df: DataFrame, words: str, query: Column, most: int, size: int, word_bits: int = 64, stages=((16, 3.0), (4, 2.0))) -> DataFrame:
+    """Stages of (a part of the words, standard deviations of margin), then the exact distance. A stage keeps a row whose
+    estimate is within the margin that sampling makes likely; rows beyond it are lost with a small probability."""
+    share = most / float(size * word_bits)
+    for part, margin in stages:
+        count = max(1, size // part)
+        spread = part * (count * word_bits * share * (1 - share)) ** 0.5
+        df = df.where(fp.masked_hamming(F.col(words), query, 0, count) * part <= most + margin * spread)
+    return df.withColumn("distance", fp.hamming(F.col(words), query)).where(F.col("distance") <= most)
+
+
+def capped_cascade(df: DataFrame, words: str, query: Column, key: str, differing: int, capped: int, most: int, k: int) -> DataFrame:
+    """Number of differing words, sum of their bits with at most 15 each, exact distance; the k nearest."""
+    each = F.zip_with(words, query, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(each, F.lit(0), lambda t, x: t + (x > 0).cast("int"))
+    sums = F.aggregate(each, F.lit(0), lambda t, x: t + F.least(x, F.lit(15)))
+    rows = df.where(differ <= differing).where(sums <= capped).withColumn("distance", fp.hamming(F.col(words), query))
+    return rows.where(F.col("distance") <= most).orderBy("distance", key).limit(k)
+
+
+def combined(df: DataFrame, words: str, query: Column, width: int, excite: int, inhibit: int) -> DataFrame:
+    """df with distance, similarity and response."""
+    rows = df.withColumn("distance", fp.hamming(F.col(words), query))
+    return rows.withColumn("similarity", 1.0 - F.col("distance") / float(width)).withColumn("response", mexican_hat(F.col("distance"), excite, inhibit))
+
+
+def intuit(df: DataFrame, qualia: str, query: Column, key: str, k: int, excite: float = 0.3, inhibit: float = 0.8) -> DataFrame:
+    """The k strongest positive responses of qualia."""
+    rows = df.withColumn("score", vectors.resonance(F.col(qualia), query, excite, inhibit)).where("score > 0")
+    return rows.orderBy(F.desc("score"), key).limit(k)
+
+
+def associate(df: DataFrame, qualia: str, query: Column, key: str, k: int) -> DataFrame:
+    """The k most similar qualia."""
+    return df.withColumn("score", vectors.cosine(F.col(qualia), query)).orderBy(F.desc("score"), key).limit(k)
+
+
+def by_quale(df: DataFrame, qualia: str, name: str, low: float, high: float, key: str, k: int) -> DataFrame:
+    """The first k by key whose quale of a name is in a range."""
+    value = F.element_at(qualia, vectors.QUALIA.index(name) + 1)
+    return df.where(value.between(low, high)).withColumn("score", value.cast("double")).orderBy(key).limit(k)
+
+
+def contradicting(df: DataFrame, qualia: str, query: Column, f: Column, query_f: Column) -> DataFrame:
+    """Rows of the opposite valence, or doubtful ones where the query is held true; score: unlikeness of qualia."""
+    at = vectors.QUALIA.index("valence") + 1
+    apart = F.abs(F.element_at(qualia, at) - F.element_at(query, at)) > 1.5
+    rows = df.where(apart | ((query_f > 0.7) & (f < 0.3)))
+    return rows.withColumn("score", 1.0 - vectors.cosine(F.col(qualia), query))
+
+
+def extrapolated(sequence: list[Column]) -> Column:
+    """The signature after a sequence: its last one and the sum of all steps."""
+    out = sequence[-1]
+    for a, b in zip(sequence[:-1], sequence[1:], strict=True):
+        out = fp.bind(out, fp.bind(a, b))
+    return out
+
+
+def fan_out(store: DataFrame, axis: str, value: Column, radius: int, k: int) -> DataFrame:
+    """The first k records, by id, of which an axis is near."""
+    return store.withColumn("distance", fp.hamming(F.col(axis), value)).where(F.col("distance") <= radius).orderBy("id").limit(k)
+
+
+def schema_filter(df: DataFrame, level: str, kind: str, bloom: str, least: int | None = None, wanted: int | None = None, holds: int | None = None) -> DataFrame:
+    """Cheap predicates before any distance: level, kind, and a Bloom filter that may hold an id."""
+    if least is not None:
+        df = df.where(F.col(level) >= least)
+    if wanted is not None:
+        df = df.where(F.col(kind) == wanted)
+    if holds is not None:
+        bits = F.lit(bloom_bits(holds)).cast("long")
+        df = df.where(F.col(bloom).bitwiseAND(bits) == bits)
+    return df
+
+
+def bloom_bits(id: int) -> int:
+    """The two bits of an id among 60."""
+    return 1 << (id * 7 % 60) | 1 << (id * 13 % 60)
+
+
+def bloom_of(ids: Column) -> Column:
+    """The filter of an array of ids."""
+    one = lambda i, by: F.call_function("shiftleft", F.lit(1).cast("long"), (i * by % 60).cast("int"))
+    return F.aggregate(ids, F.lit(0).cast("long"), lambda t, i: t.bitwiseOR(one(i, 7)).bitwiseOR(one(i, 13)))

@@ -86,3 +86,37 @@ def online(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"), F.min(value).alias("low"), F.max(value).alias("high"), quartiles.alias("q")
     )
     return out.select(*keys, "n", "mean", "var", "low", "high", *(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)))
+
+
+def interval(mean: Column, sd: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Ends of a confidence interval."""
+    margin = z * sd / F.sqrt(n)
+    return mean - margin, mean + margin
+
+
+#: Checks that lead to each verdict. Fixed values.
+VERDICTS = ((7, "accept", "use as is"), (5, "accept with caution", "verify manually"), (3, "review", "increase k"), (0, "reject", "discard"))
+
+
+def validated(df: DataFrame, similarity: str, mean: str, sd: str, n: str, forward: str, backward: str, k: int, agreement: str) -> DataFrame:
+    """df with z, p, effect, ci_low, ci_high, passed (of seven checks), score, verdict and advice of a match: significance,
+    size of effect, mutual ranks, symmetry, agreement of methods, a narrow interval, no outlier."""
+    z = response.z_score(F.col(similarity), F.col(mean), F.col(sd))
+    low, high = interval(F.col(similarity), F.col(sd), F.col(n))
+    rows = df.withColumn("z", z).withColumn("p", F.least(response.p_value(F.col("z")), F.lit(1.0))).withColumn("effect", F.col("z"))
+    rows = rows.withColumn("ci_low", low).withColumn("ci_high", high)
+    f, b = F.col(forward).cast("double"), F.col(backward).cast("double")
+    mutual = (f <= k) & (b <= k)
+    symmetry = F.least(f, b) / F.greatest(f, b)
+    outlier = F.when(b > 3 * k, 0.5).otherwise(0.0)
+    gap = F.col("ci_high") - F.col("ci_low")
+    checks = [
+        (F.col("p") < 0.05, 1.0 - F.col("p")), (F.abs(F.col("effect")) >= 0.2, F.least(F.abs(F.col("effect")), F.lit(2.0)) / 2.0), (mutual, 1.0 / F.greatest(f, b)),
+        (symmetry >= 0.2, symmetry), (F.col(agreement) > 0.7, F.col(agreement)), (gap < 0.2, 1.0 - F.least(gap, F.lit(1.0))), (outlier < 0.1, 1.0 - outlier),
+    ]
+    passed, score = (sum(x[1:], x[0]) for x in ([c.cast("int") for c, _ in checks], [s for _, s in checks]))
+    rows = rows.withColumn("passed", passed).withColumn("score", score / 7.0)
+    said = [F.lit(None).cast("string")] * 2
+    for least, verdict, advice in reversed(VERDICTS):
+        said = [F.when(F.col("passed") >= least, word).otherwise(old) for word, old in zip((verdict, advice), said, strict=True)]
+    return rows.withColumn("verdict", said[0]).withColumn("advice", said[1])
