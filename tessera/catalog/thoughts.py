@@ -197,7 +197,7 @@ SUMS = ", ".join(f"[list_sum(pops[b * {b_} + 1 : b * {b_} + {b_}]) for b in rang
 SPECTRA = (
     f"WITH {KIN_SQL}, a AS (SELECT id, words, [bit_count(x)::DOUBLE for x in words] AS pops, list_sum([bit_count(xor(x, x >> 1)) for x in words]) + list_sum([xor(words[i] >> 63, words[i + 1] & 1)::BIGINT for i in range(1, 256)]) AS turns FROM kin),"
     f" b AS (SELECT *, list_sum(pops) AS n, {SUMS} FROM a), v AS (SELECT *, {ROOTS} FROM b),"
-    " p AS (SELECT id, i * 64 + j AS at FROM (SELECT id, words, unnest(range(0, 256)) AS i FROM kin), range(0, 64) r(j) WHERE ((words[i + 1] >> j) & 1) = 1), g AS (SELECT id, at - lag(at) OVER (PARTITION BY id ORDER BY at) AS gap FROM p),"
+    " p AS (SELECT id, i * 64 + j AS pos FROM (SELECT id, words, unnest(range(0, 256)) AS i FROM kin), range(0, 64) r(j) WHERE ((words[i + 1] >> j) & 1) = 1), g AS (SELECT id, pos - lag(pos) OVER (PARTITION BY id ORDER BY pos) AS gap FROM p),"
     " c AS (SELECT id, var_pop(gap) AS spread FROM g WHERE gap IS NOT NULL GROUP BY id)"
 )
 

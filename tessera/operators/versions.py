@@ -55,15 +55,99 @@ def what_if(base: DataFrame, overlay: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(overlay.where("not deleted").drop("deleted"))
 
 
-def merged(ours: DataFrame, theirs: DataFrame, ancestor: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """Three-way merge of signatures by exclusive or: what changed on either side is applied to the ancestor."""
+#: What a merge does with a key that both sides changed.
+STRATEGIES = ("last", "first", "custom", "xor", "reject")
+
+
+def merged(ours: DataFrame, theirs: DataFrame, ancestor: DataFrame, keys: list[str], words: str, strategy: str = "xor", custom=None) -> DataFrame:
+    """Three-way merge: (keys, words, conflict). A key that one side added, changed or deleted is as that side has it. One
+    that both changed, to different ends, is a conflict: `last` takes theirs, `first` ours, `custom` what custom(base, ours,
+    theirs) gives, `xor` applies both changes to the ancestor, `reject` keeps the ancestor. A deletion against a change is
+    the change. Deleted keys are no rows."""
     from tessera.functions import fp
 
-    sides = ancestor.select(*keys, F.col(words).alias("base"))
-    for name, side in (("ours", ours), ("theirs", theirs)):
-        sides = sides.join(side.select(*keys, F.col(words).alias(name)), keys)
-    change = fp.bind(fp.bind(F.col("base"), F.col("ours")), F.col("theirs"))
-    return sides.select(*keys, change.alias(words))
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
+    every = None
+    for name, side in (("base", ancestor), ("ours", ours), ("theirs", theirs)):
+        side = side.select(*keys, F.col(words).alias(name))
+        every = side if every is None else every.join(side, keys, "full_outer")
+    base, a, b = F.col("base"), F.col("ours"), F.col("theirs")
+    changed_a, changed_b = ~a.eqNullSafe(base), ~b.eqNullSafe(base)
+    conflict = changed_a & changed_b & ~a.eqNullSafe(b) & a.isNotNull() & b.isNotNull()
+    empty = F.transform(a, lambda x: F.lit(0).cast("long"))
+    both = {
+        "last": lambda: b, "first": lambda: a, "reject": lambda: base, "custom": lambda: custom(base, a, b),
+        "xor": lambda: fp.bind(fp.bind(F.coalesce(base, empty), a), b),
+    }[strategy]()
+    out = F.when(conflict, both).when(changed_a & (a.isNotNull() | ~changed_b), a).when(changed_b, b).otherwise(base)
+    return every.select(*keys, out.alias(words), conflict.alias("conflict")).where(F.col(words).isNotNull())
+
+
+def discarded(rows: DataFrame, branch: str, name: str) -> DataFrame:
+    """The rows of all branches but one."""
+    return rows.where(F.col(branch) != F.lit(name))
+
+
+def branch_merged(history: DataFrame, overlay: DataFrame, keys: list[str], version: int) -> DataFrame:
+    """The history with a branch's overlay committed as a version: its rows are appended, deletions included."""
+    return history.unionByName(overlay.withColumn("version", F.lit(version).cast("long")).select(*history.columns))
+
+
+def read_at(current: DataFrame, log: DataFrame, keys: list[str], words: str, version: int) -> DataFrame:
+    """The table as it was at a version: the exclusive or of all later masks undoes them, in any order. log: keys, version,
+    change (created, deleted, changed), mask, as deltas() makes them for each version."""
+    from tessera.functions import fp
+
+    later = log.where(F.col("version") > version)
+    # how a key stood is told by its first later change; the masks undo one another
+    first = later.groupBy(*keys).agg(F.min_by("change", "version").alias("change"))
+    undo = fp.combined(later.select(*keys, F.col("mask").alias("undo")), keys, "undo")
+    rows = current.select(*keys, words).join(undo.join(first, keys), keys, "full_outer")
+    then = F.when(F.col("undo").isNull(), F.col(words)).when(F.col("change") == "created", F.lit(None)).otherwise(
+        F.when(F.col(words).isNull(), F.col("undo")).otherwise(fp.bind(F.col(words), F.col("undo")))
+    )
+    return rows.select(*keys, then.alias(words)).where(F.col(words).isNotNull())
+
+
+LEVELS = ("read committed", "repeatable read", "serializable")
+
+
+def readable(history: DataFrame, keys: list[str], began: int, now: int, level: str) -> DataFrame:
+    """What a transaction that began at a version sees at a later one: its own start, unless it reads what is committed."""
+    if level not in LEVELS:
+        raise ValueError(f"level must be one of {', '.join(LEVELS)}")
+    return as_of(history, keys, now if level == LEVELS[0] else began)
+
+
+def committed(history: DataFrame, writes: DataFrame, reads: DataFrame | None, keys: list[str], began: int, level: str = "serializable") -> DataFrame:
+    """The history with a transaction's writes at the next version. A serializable one fails if what it read has a newer
+    version, any one if what it writes has."""
+    newer = history.where(F.col("version") > began).select(*keys, "version")
+    checked = [writes] + ([reads] if reads is not None and level == LEVELS[2] else [])
+    for rows in checked:
+        if not rows.select(*keys).join(newer, keys, "left_semi").isEmpty():
+            raise RuntimeError("conflict: a newer version exists")
+    last = history.agg(F.coalesce(F.max("version"), F.lit(0))).head()[0]
+    return history.unionByName(writes.withColumn("version", F.lit(last + 1).cast("long")).select(*history.columns))
+
+
+TIERS = ["cold", "warm", "hot"]
+
+
+def moved(rows: DataFrame, tier: str, up: bool, where) -> DataFrame:
+    """Rows that meet a condition one tier up or down; the highest and lowest stay."""
+    turned = TIERS if up else TIERS[::-1]
+    step = F.col(tier)
+    for a, b in zip(turned[:-1], turned[1:], strict=True):
+        step = F.when(F.col(tier) == a, b).otherwise(step)
+    return rows.withColumn(tier, F.when(where, step).otherwise(F.col(tier)))
+
+
+def suppressed(rows: DataFrame, keys: DataFrame, on: list[str], c: str) -> DataFrame:
+    """Rows of the keys keep no confidence, all others theirs."""
+    flagged = rows.join(keys.select(*on).distinct().withColumn("hidden_key", F.lit(True)), on, "left")
+    return flagged.withColumn(c, F.when(F.col("hidden_key"), 0.0).otherwise(F.col(c))).drop("hidden_key")
 
 
 def deltas(old: DataFrame, new: DataFrame, keys: list[str], words: str) -> DataFrame:
