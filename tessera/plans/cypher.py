@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
+from tessera.session import materialise
 
 
 class CypherError(ValueError):
@@ -482,17 +483,22 @@ class Compiler:
     def walk(self, df: DataFrame, left: Node, edge: Edge, right: Node, label: str) -> DataFrame:
         """Paths of least to most hops without a repeated node, within one label or, of one hop kind, between labels."""
         a, a_key = self.keys[left.variable]
+        # paths grow from the nodes that are bound on the left, level by level; each level is written
+        starts = df.select(F.col(a_key).alias("from_key")).distinct()
         if a != label.lower() and edge.most > 1:
-            ways = self.mixed(edge, a, label.lower())
+            ways = self.mixed(edge, a, label.lower(), starts)
         else:
             steps = self.steps(edge, a, label).select("from_key", "to_key")
-            at = steps.select("from_key", "to_key", F.array("from_key", "to_key").alias("path")).where("from_key <> to_key")
+            at = steps.join(starts, "from_key", "left_semi").where("from_key <> to_key")
+            at = materialise(at.select("from_key", "to_key", F.array("from_key", "to_key").alias("path")), "ways")
             levels = [at]
             for _ in range(1, edge.most):
                 more = steps.withColumnsRenamed({"from_key": "mid", "to_key": "end"})
                 at = at.join(more, at["to_key"] == more["mid"]).where(~F.array_contains("path", F.col("end")))
-                at = at.select("from_key", F.col("end").alias("to_key"), F.concat("path", F.array("end")).alias("path"))
+                at = materialise(at.select("from_key", F.col("end").alias("to_key"), F.concat("path", F.array("end")).alias("path")), "ways")
                 levels.append(at)
+                if at.isEmpty():
+                    break
             ways = None
             for depth, level in enumerate(levels, 1):
                 if depth >= edge.least:
@@ -505,8 +511,8 @@ class Compiler:
         other = self.node(right, label)
         return df.join(other, F.col("to_key") == F.col(self.keys[right.variable][1])).drop("to_key")
 
-    def mixed(self, edge: Edge, a: str, b: str) -> DataFrame:
-        """Ways through nodes of any labels; a node is its label and key."""
+    def mixed(self, edge: Edge, a: str, b: str, starts: DataFrame) -> DataFrame:
+        """Ways from some nodes of label a through nodes of any labels; a node is its label and key."""
         steps = None
         for kind in self.kinds(edge):
             df, source, target, la, lb = self.graph.edges[kind]
@@ -521,13 +527,16 @@ class Compiler:
                 steps = part if steps is None else steps.union(part)
         name = lambda p: F.concat_ws(":", f"{p}_label", f"{p}_key")
         steps = steps.select(name("from").alias("f"), name("to").alias("t"))
-        at = steps.where(F.startswith("f", F.lit(a + ":"))).select("f", "t", F.array("f", "t").alias("path")).where("f <> t")
+        first = starts.select(F.concat(F.lit(a + ":"), F.col("from_key").cast("string")).alias("f"))
+        at = materialise(steps.join(first, "f", "left_semi").where("f <> t").select("f", "t", F.array("f", "t").alias("path")), "ways")
         ways, levels = None, [at]
         for _ in range(1, edge.most):
             more = steps.withColumnsRenamed({"f": "mid", "t": "end"})
             at = at.join(more, at["t"] == more["mid"]).where(~F.array_contains("path", F.col("end")))
-            at = at.select("f", F.col("end").alias("t"), F.concat("path", F.array("end")).alias("path"))
+            at = materialise(at.select("f", F.col("end").alias("t"), F.concat("path", F.array("end")).alias("path")), "ways")
             levels.append(at)
+            if at.isEmpty():
+                break
         key = lambda c, label: F.expr(f"substring({c}, {len(label) + 2})")
         for depth, level in enumerate(levels, 1):
             if depth >= edge.least:
@@ -697,6 +706,84 @@ WRITE = re.compile(
 )
 
 
+RELATION = re.compile(
+    r"^\s*MATCH\s*\(\s*(?P<a>\w+)\s*(?P<la>(?::\s*\w+\s*)*)(?P<pa>\{.*?\})?\s*\)\s*,\s*\(\s*(?P<b>\w+)\s*(?P<lb>(?::\s*\w+\s*)*)(?P<pb>\{.*?\})?\s*\)"
+    r"(?:\s*WHERE\s+(?P<where>.+?))?\s*(?P<verb>CREATE|MERGE)\s*\(\s*(?P=a)\s*\)\s*-\s*\[\s*\w*\s*:\s*(?P<kind>\w+)\s*(?P<props>\{.*\})?\s*\]\s*->\s*\(\s*(?P=b)\s*\)\s*;?\s*$",
+    re.S | re.I,
+)
+UNRELATE = re.compile(
+    r"^\s*MATCH\s*\(\s*(?P<a>\w*)\s*(?P<la>(?::\s*\w+\s*)*)(?P<pa>\{.*?\})?\s*\)\s*-\s*\[\s*(?P<r>\w+)\s*:\s*(?P<kind>\w+)\s*\]\s*->\s*\(\s*(?P<b>\w*)\s*(?P<lb>(?::\s*\w+\s*)*)(?P<pb>\{.*?\})?\s*\)\s*DELETE\s+(?P=r)\s*;?\s*$",
+    re.S | re.I,
+)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, text: str, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a write: edges are (source, verb, target, properties: map). CREATE and MERGE of a relationship
+    between matched nodes, DELETE of matched relationships, DETACH DELETE of nodes with their relationships; a DELETE of nodes
+    that still have relationships is an error. All else is as in write()."""
+    after = changed_graph(nodes, edges, text, params)
+    # written, or plans would grow with every write
+    return tuple(rows if rows is old else materialise(rows, "graph") for rows, old in zip(after, (nodes, edges), strict=True))
+
+
+def changed_graph(nodes: DataFrame, edges: DataFrame, text: str, params: dict | None) -> tuple[DataFrame, DataFrame]:
+    def ends(m, side):
+        labels = re.findall(r"\w+", m["l" + side] or "")
+        given = {k: literal(v, params) for k, v in Parser(m["p" + side] or "").properties().items()}
+        found = nodes
+        for label in labels or [None]:
+            found = matched(found, label, given)
+        return found
+
+    if m := RELATION.match(text):
+        sides = {side: ends(m, side) for side in "ab"}
+        for side, condition in conditions(m["where"], params):
+            name = {m["a"].lower(): "a", m["b"].lower(): "b"}[side]
+            sides[name] = sides[name].where(condition)
+        made = sides["a"].select(F.col("id").alias("source")).crossJoin(sides["b"].select(F.col("id").alias("target")))  # as MATCH says
+        given = {k: str(literal(v, params)) for k, v in Parser(m["props"] or "").properties().items()}
+        held = F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(v))]) if given else F.expr("cast(map() as map<string,string>)")
+        made = made.select("source", F.lit(m["kind"]).alias("verb"), "target", held.alias("properties"))
+        if m["verb"].upper() == "MERGE":
+            made = made.join(edges.select("source", "verb", "target"), ["source", "verb", "target"], "left_anti")
+        return nodes, edges.unionByName(made)
+    if m := UNRELATE.match(text):
+        gone = edges.where(F.col("verb") == m["kind"])
+        for side, end in (("a", "source"), ("b", "target")):
+            gone = gone.join(ends(m, side).select(F.col("id").alias(end)), end, "left_semi")
+        return nodes, edges.join(gone.select("source", "verb", "target"), ["source", "verb", "target"], "left_anti").select(*edges.columns)
+    after = write(nodes, text, params)
+    if re.search(r"\bDELETE\b", text, re.I):
+        lost = nodes.select("id").join(after.select("id"), "id", "left_anti")
+        tied = edges.select("source").union(edges.select("target")).toDF("id").join(lost, "id", "left_semi")
+        if re.search(r"\bDETACH\s+DELETE\b", text, re.I):
+            for end in ("source", "target"):
+                edges = edges.join(lost.select(F.col("id").alias(end)), end, "left_anti")
+            edges = edges.select("source", "verb", "target", "properties")
+        elif not tied.isEmpty():
+            raise CypherError("the node has relationships: DETACH DELETE")
+    return after, edges
+
+
+def conditions(text: str | None, params: dict | None) -> list[tuple[str, Column]]:
+    """(variable, condition) of comparisons of properties with literals, joined by AND."""
+    out = []
+    for part in re.split(r"\s+AND\s+", text or "", flags=re.I):
+        if not part.strip():
+            continue
+        m = re.fullmatch(r"\s*(\w+)\.(\w+)\s*(=|<>|<=|>=|<|>)\s*(.+?)\s*", part, re.S)
+        if not m:
+            raise CypherError(f"not a comparison of a property: {part.strip()}")
+        value = literal(Parser(m[4]).atom(), params)
+        name = m[2].lower()
+        held = F.col("id") if name == "id" else F.col("label") if name == "label" else F.col("properties")[name]
+        if not isinstance(value, str):
+            held, value = held.cast("double"), float(value)
+        compared = {"=": held == value, "<>": held != value, "<": held < value, ">": held > value, "<=": held <= value, ">=": held >= value}
+        out.append((m[1].lower(), compared[m[3]]))
+    return out
+
+
 def write(nodes: DataFrame, text: str, params: dict | None = None) -> DataFrame:
     """The node table (id, label, properties: map) after CREATE or MERGE of a node, with SET, or MATCH .. SET/DELETE.
     MERGE finds a node by label and the given properties; an id property names the node."""
@@ -714,11 +801,15 @@ def write(nodes: DataFrame, text: str, params: dict | None = None) -> DataFrame:
         made = spark.createDataFrame([(id, label, {k: str(v) for k, v in given.items()})], "id string, label string, properties map<string,string>")
         made = made.withColumn("id", F.coalesce("id", F.expr("uuid()")))
         return nodes.unionByName(made)
-    if m := re.match(r"^\s*MATCH\s*\(\s*(\w+)\s*(?::\s*(\w+))?\s*(\{.*\})?\s*\)\s*(SET|DETACH\s+DELETE|DELETE)\s+(.+?)\s*;?\s*$", text, re.S | re.I):
+    if m := re.match(r"^\s*MATCH\s*\(\s*(\w+)\s*(?::\s*(\w+))?\s*(\{.*?\})?\s*\)\s*(?:WHERE\s+(.+?)\s+)?(SET|DETACH\s+DELETE|DELETE)\s+(.+?)\s*;?\s*$", text, re.S | re.I):
         given = {k: literal(v, params) for k, v in Parser(m[3] or "").properties().items()}
         found = matched(nodes, m[2], given)
-        if m[4].upper() == "SET":
-            return updated(nodes, found, m[5], params)
+        for variable, condition in conditions(m[4], params):
+            if variable != m[1].lower():
+                raise CypherError(f"unknown variable {variable}")
+            found = found.where(condition)
+        if m[5].upper() == "SET":
+            return updated(nodes, found, m[6], params)
         return nodes.join(found.select("id"), "id", "left_anti").select(*nodes.columns)
     raise CypherError("not a CREATE, MERGE, MATCH .. SET or MATCH .. DELETE of a node")
 

@@ -141,11 +141,12 @@ def edge_views(edges: DataFrame) -> dict[str, DataFrame]:
 def books(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, author, text) of whole text files, without what stands before and after the marked body."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("whole"))
+    stripped = lambda c: F.btrim(c, F.lit(" \t\r\n"))
     body = F.regexp_extract("whole", r"(?s)\*\*\* ?START OF[^\n]*\*\*\*(.*?)(?:\*\*\* ?END OF|\z)", 1)
     return rows.select(
         "path", F.regexp_extract("whole", r"(?m)^Title:\s*(.*?)\s*$", 1).alias("title"),
         F.regexp_extract("whole", r"(?m)^Author:\s*(.*?)\s*$", 1).alias("author"),
-        F.when(body != "", F.trim(body)).otherwise(F.trim("whole")).alias("text"),
+        F.when(body != "", stripped(body)).otherwise(stripped(F.col("whole"))).alias("text"),
     )
 
 
