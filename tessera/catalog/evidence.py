@@ -92,17 +92,20 @@ def belief_coherence(spark, sf_dir):
     return out.select("source", "beliefs", F.round("coherence", 6).alias("coherence"))
 
 
-HASHED = "('0x' || substr(md5(source || ':{}'), 1, 8))::BIGINT"
+HASHED = "[('0x' || substr(md5(CASE WHEN i < 7 THEN substr(source, 1, 4) ELSE source END || ':' || i), 1, 8))::BIGINT for i in range(0, 8)]"
+APART = "list_sum([bit_count(xor(a.w[i], b.w[i])) for i in range(1, 9)])::BIGINT"
 
 
 @query(
-    f"WITH {TRUTHS}, s AS (SELECT *, {HASHED.format(0)} AS w0, {HASHED.format(1)} AS w1 FROM t)"
-    " SELECT a.source AS a, b.source AS b, (bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1)))::BIGINT AS distance, round(abs(a.f - b.f), 6) AS conflict"
-    " FROM s a JOIN s b ON a.source < b.source WHERE (bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1))) <= 28 AND abs(a.f - b.f) > 0.01"
+    f"WITH {TRUTHS}, s AS (SELECT *, {HASHED} AS w FROM t)"
+    f" SELECT a.source AS a, b.source AS b, {APART} AS distance, round(abs(a.f - b.f), 6) AS conflict FROM s a JOIN s b ON a.source < b.source WHERE {APART} <= 16 AND abs(a.f - b.f) > 0.01"
 )
 def contradiction_pairs(spark, sf_dir):
-    rows = truths(spark, sf_dir).withColumn("words", fp.hash_words(F.col("source")))
-    out = evidence.contradictions(rows, "source", "words", "t", 28, 0.01)
+    """Signatures of 256 bits, all but 32 of which come from the beginning of a source's name."""
+    part = lambda i: F.substring("source", 1, 4) if i < 7 else F.col("source")
+    word = lambda i: F.conv(F.substring(F.md5(F.concat(part(i), F.lit(f":{i}"))), 1, 8), 16, 10).cast("long")
+    rows = truths(spark, sf_dir).withColumn("words", F.array(*(word(i) for i in range(8))))
+    out = evidence.contradictions(rows, "source", "words", "t", 16, 0.01, 256)
     return out.select("a", "b", "distance", F.round("conflict", 6).alias("conflict"))
 
 

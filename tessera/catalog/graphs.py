@@ -83,8 +83,8 @@ def var_length(spark, sf_dir):
     return out.select("start", "target", F.col("depth").cast("long").alias("depth"), F.array_join("path", ">").alias("path"))
 
 
-def pagerank_sql(rounds: int) -> str:
-    sql = f"WITH {STEPS}, e AS (SELECT DISTINCT source, target FROM moves), nodes AS (SELECT source AS node FROM e UNION SELECT target FROM e), c AS (SELECT count(*) AS k FROM nodes),"
+def pagerank_sql(rounds: int, tables: str = STEPS, edges: str = "moves") -> str:
+    sql = f"WITH {tables}, e AS (SELECT DISTINCT source, target FROM {edges}), nodes AS (SELECT source AS node FROM e UNION SELECT target FROM e), c AS (SELECT count(*) AS k FROM nodes),"
     sql += " d AS (SELECT source AS node, count(*) AS degree FROM e GROUP BY source), r0 AS (SELECT node, 1.0::DOUBLE / k AS rank FROM nodes, c)"
     for i in range(rounds):
         sql += (
@@ -151,6 +151,12 @@ def connected_components(spark, sf_dir):
     return graph.connected(bought_together(spark, sf_dir))
 
 
+@query(pagerank_sql(8, SHARED, "shared").replace("round(rank, 6)", "round(rank, 8)"))
+def pagerank_parts(spark, sf_dir):
+    """Ranks of parts that were bought together: hubs, dangling nodes and some depth."""
+    return graph.pagerank(bought_together(spark, sf_dir), rounds=8).select("node", F.round("rank", 8).alias("rank"))
+
+
 @query(f"WITH {SHARED} SELECT x.source AS a, x.target AS b, y.target AS c FROM shared x JOIN shared y ON x.target = y.source JOIN shared z ON z.source = x.source AND z.target = y.target")
 def triangles(spark, sf_dir):
     return graph.triangles(bought_together(spark, sf_dir))

@@ -192,15 +192,20 @@ def percentile_hat(spark, sf_dir):
     " SELECT label, n, round(m, 6) AS mean, round(s, 6) AS sd, round(greatest(m - 0.6745 * s, 0), 6) AS p25, round(m + 0.6745 * s, 6) AS p75, round(m + 1.6449 * s, 6) AS p95, round(m + 2.3263 * s, 6) AS p99 FROM st"
 )
 def distance_distribution(spark, sf_dir):
-    out = stats.distribution(label_pairs(spark, sf_dir), ["label"], "d")
+    out = stats.pair_distances(signed(spark, sf_dir), "label", "words", 2)
+    out = out.withColumns(response.percentiles(F.col("mean"), F.col("sd")))
     return out.select("label", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "p25", "p75", "p95", "p99")))
 
 
-def label_pairs(spark, sf_dir):
-    rows = signed(spark, sf_dir).select("label", "vec_id", "words")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return pairs.select(F.col("a.label").alias("label"), fp.hamming(F.col("a.words"), F.col("b.words")).alias("d"))
+def label_pairs(spark, sf_dir, blocks=8):
+    """Distances of all pairs of a label, whose whole distribution is asked for: a label's rows are dealt to blocks, and each
+    pair of blocks is a group of its own, so that no label is one task."""
+    rows = signed(spark, sf_dir).select("label", "vec_id", "words", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("own"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = rows.withColumn("other", every).where("own <= other").select("label", F.col("own").alias("i"), F.col("other").alias("j"), F.col("vec_id").alias("va"), F.col("words").alias("wa"))
+    b = rows.withColumn("other", every).where("other <= own").select("label", F.col("other").alias("i"), F.col("own").alias("j"), F.col("vec_id").alias("vb"), F.col("words").alias("wb"))
+    pairs = a.join(b, ["label", "i", "j"]).where("i < j or va < vb")
+    return pairs.select("label", fp.hamming(F.col("wa"), F.col("wb")).alias("d"))
 
 
 @query(
@@ -219,7 +224,7 @@ def histogram_entropy(spark, sf_dir):
     " SELECT a.label AS a, b.label AS b, round(abs(a.m - b.m) / sqrt((a.s * a.s + b.s * b.s) / 2.0), 6) AS cohens_d FROM st a JOIN st b ON a.label < b.label"
 )
 def cohens_d(spark, sf_dir):
-    st = stats.distribution(label_pairs(spark, sf_dir), ["label"], "d").select("label", "mean", "sd")
+    st = stats.pair_distances(signed(spark, sf_dir), "label", "words", 2).select("label", "mean", "sd")
     a, b = (st.withColumnsRenamed({"label": x, "mean": f"m{x}", "sd": f"s{x}"}) for x in "ab")
     d = response.cohens_d(F.col("ma"), F.col("sa"), F.col("mb"), F.col("sb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(d, 6).alias("cohens_d"))

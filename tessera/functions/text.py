@@ -43,17 +43,30 @@ def sliding(docs: DataFrame, key: str, text: str, window: int, overlap: int) ->
     )
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """h = 33 h + byte, from 5381 and modulo 2^64, of runs of bytes: a step for each byte of the longest."""
+    out = np.full(len(starts), 5381, np.uint64)
+    for i in range(int(sizes.max()) if len(sizes) else 0):
+        at = np.flatnonzero(sizes > i)
+        out[at] = out[at] * np.uint64(33) + data[starts[at] + i]
+    return out
+
+
 def gram_bits(text: str) -> np.ndarray:
-    """Bits of a text: 3- and 4-grams of characters and words of four bytes or more, each hashed as h = 33 h + byte."""
+    """Bits of a text: 3- and 4-grams of characters and words of four bytes or more, each by its hash."""
     text = text.lower()
-    grams = {text[i : i + n] for n in (3, 4) for i in range(len(text) - n + 1)}
-    grams |= {w for w in text.split() if len(w.encode()) >= 4}
+    data = np.frombuffer(text.encode(), np.uint8)
+    # a byte that continues a character begins none
+    edges = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     out = np.zeros(BITS, bool)
-    for gram in grams:
-        h = 5381
-        for b in gram.encode():
-            h = (33 * h + b) & 0xFFFFFFFFFFFFFFFF
-        out[h % BITS] = True
+    for n in (3, 4):
+        if len(edges) > n:
+            out[(span_hashes(data, edges[:-n], edges[n:] - edges[:-n]) % np.uint64(BITS)).astype(int)] = True
+    words = [w for w in {w.encode() for w in text.split()} if len(w) >= 4]
+    if words:
+        sizes = np.array([len(w) for w in words])
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        out[(span_hashes(flat, np.cumsum(sizes) - sizes, sizes) % np.uint64(BITS)).astype(int)] = True
     return out
 
 

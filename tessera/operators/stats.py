@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,43 @@ def validated(df: DataFrame, similarity: str, mean: str, sd: str, n: str, forwar
     for least, verdict, advice in reversed(VERDICTS):
         said = [F.when(F.col("passed") >= least, word).otherwise(old) for word, old in zip((verdict, advice), said, strict=True)]
     return rows.withColumn("verdict", said[0]).withColumn("advice", said[1])
+
+
+def pair_distances(df: DataFrame, key: str, words: str, count: int, word_bits: int = fp.WORD_BITS) -> DataFrame:
+    """(key, n, mean, sd) of the distances of all pairs of a group's signatures, in one pass and without a pair: both moments
+    follow from how often two bits are set together. n counts pairs; partial sums have bits^2 rows a group and task."""
+    bits = count * word_bits
+    kind = dict(df.dtypes)[key]
+
+    def together(batches):
+        held: dict = {}
+        own_kind = None
+        for batch in batches:
+            own_kind = batch.schema.field("key").type
+            flat = batch["words"].flatten().to_numpy(zero_copy_only=False).astype("<u8").reshape(-1, count)
+            set_bits = np.concatenate([(flat[:, w : w + 1] >> np.arange(word_bits, dtype=np.uint64)) & np.uint64(1) for w in range(count)], axis=1).astype(np.float64)
+            names = np.array(batch["key"].to_pylist(), dtype=object)
+            for name in set(names.tolist()):
+                own = set_bits[names == name]
+                total, rows = held.get(name, (0.0, 0))
+                held[name] = (total + own.T @ own, rows + len(own))
+        for name, (total, rows) in held.items():
+            at = np.arange(bits * bits + 1)
+            n = np.append(total.ravel(), rows).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"key": pa.array([name] * len(at), own_kind), "at": at, "n": n})
+
+    def moments(rows: pa.Table) -> pa.Table:
+        n = np.zeros(bits * bits + 1)
+        n[rows["at"].to_numpy()] = rows["n"].to_numpy()
+        members, both = n[-1], n[:-1].reshape(bits, bits)
+        ones = np.diag(both)
+        left, right = ones[:, None] - both, ones[None, :] - both
+        first = float((ones * (members - ones)).sum())
+        second = float((both * (members - both - left - right) + left * right).sum())
+        pairs = members * (members - 1) / 2
+        sd = max(0.0, (second - first * first / pairs) / (pairs - 1)) ** 0.5 if pairs > 1 else 0.0
+        return pa.table({"key": rows["key"][:1], "n": [int(pairs)], "mean": [first / pairs if pairs else None], "sd": [sd]})
+
+    sums = df.select(F.col(key).alias("key"), F.col(words).alias("words")).mapInArrow(together, f"key {kind}, at long, n long")
+    sums = sums.groupBy("key", "at").agg(F.sum("n").alias("n"))
+    return sums.groupBy("key").applyInArrow(moments, f"key {kind}, n long, mean double, sd double").where("n > 0").withColumnRenamed("key", key)

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import fp, names, operations, response, truth
+from tessera.functions import fp, names, operations, response, text, truth
 from tessera.operators import causal, search, versions
 
 MASK = (1 << 32) - 1
@@ -58,9 +59,9 @@ def test_similarity_join(words):
     df, rows = words
     near = [(i + 100, [x[0] ^ 5, *x[1:]], y) for i, x, y in rows[:9]]
     every = df.union(df.sparkSession.createDataFrame(near, df.schema))
-    out = {(r["a"], r["b"], r["distance"]) for r in search.similarity_join(every, "id", "a", 40, 128).collect()}
+    out = {(r["a"], r["b"], r["distance"]) for r in search.similarity_join(every, "id", "a", 30, 128).collect()}
     items = [(i, x) for i, x, _ in [*rows, *near]]
-    want = {(i, j, d) for i, x in items for j, y in items if i < j and (d := bits([p ^ q for p, q in zip(x, y, strict=True)])) <= 40}
+    want = {(i, j, d) for i, x in items for j, y in items if i < j and (d := bits([p ^ q for p, q in zip(x, y, strict=True)])) <= 30}
     assert out == want and len(want) >= 9
 
 
@@ -111,3 +112,43 @@ def test_deltas(words):
     made = versions.deltas(old, new, ["id"], "a")
     after = versions.applied(old, made, ["id"], "a")
     assert sorted(map(tuple, [(r["id"], tuple(r["a"])) for r in after.collect()])) == sorted((r["id"], tuple(r["a"])) for r in new.collect())
+
+
+def test_gram_bits_by_plain_loops(spark):
+    """Signatures of texts, one byte after another, and the nearest ones by them."""
+
+    def plain(text):
+        text = text.lower()
+        grams = {text[i : i + n] for n in (3, 4) for i in range(len(text) - n + 1)} | {w for w in text.split() if len(w.encode()) >= 4}
+        held = set()
+        for gram in grams:
+            h = 5381
+            for b in gram.encode():
+                h = (33 * h + b) % (1 << 64)
+            held.add(h % 384)
+        return held
+
+    texts = ["", "ab", "The quick brown fox", "Größe und Maß, ein Wort", "日本語 テキスト です", "x" * 300, "mixed é\u3000wide space", "a\tb\nlonger-word " * 20]
+    for t in texts:
+        assert set(np.flatnonzero(text.gram_bits(t)).tolist()) == plain(t)
+    rows = {r["id"]: r["words"] for r in text.signatures(spark.createDataFrame(list(enumerate([*texts, None])), "id long, t string"), "id", "t").collect()}
+    for i, t in enumerate([*texts, ""]):
+        assert {32 * w + b for w, x in enumerate(rows[i]) for b in range(32) if x >> b & 1} == plain(t)
+
+
+def test_dictionary_has_all_names(spark):
+    every = operations.dictionary(256, 64)
+    assert len([n for n in every if n.startswith("VERB_")]) == 12 and len(every) >= 112
+    assert {"VERB_CONTRADICTS", "VERB_GROUNDS", "VERB_ABSTRACTS", "VERB_REFINES"} <= set(every)
+    with pytest.raises(ValueError):
+        search.similarity_join(spark.sql("SELECT 1 AS id, array(1L, 2L) AS w"), "id", "w", 20)
+
+
+def test_near_join_loses_no_pair(spark):
+    rng = np.random.default_rng(8)
+    a = [(i, [int(x) for x in rng.integers(0, 1 << 32, 8)]) for i in range(40)]
+    b = [(i, [x ^ int(m) for x, m in zip(w, rng.choice([0, 1, 6, 1 << 30], 8), strict=True)]) for i, w in a]
+    left, right = spark.createDataFrame(a, "x long, w array<long>"), spark.createDataFrame(b, "y long, v array<long>")
+    out = {tuple(r) for r in search.near_join(left, "x", "w", right, "y", "v", 9, 256).collect()}
+    want = {(i, j, d) for i, w in a for j, v in b if (d := sum((p ^ q).bit_count() for p, q in zip(w, v, strict=True))) <= 9}
+    assert out == want and len(want) > 20
