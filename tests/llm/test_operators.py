@@ -183,6 +183,16 @@ def test_clashing_names_stay(spark, documents):
         assert all(first[c] == f"own {c}" for c in docs.columns[5:] if c != "slot")
 
 
+def test_near_duplicates_judges_rows(spark):
+    """Of an id with two texts only the linked one goes; rows without an id go when an id has their text."""
+    made = lambda n: " ".join(f"{n}w{i}" for i in range(40))
+    rows = [(0, made("a")), (1, made("a") + " more"), (1, made("b")), (2, made("c")), (2, made("c")), (None, made("c")), (None, made("d")), (None, made("d")), (None, None), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = sorted(((r["doc_id"], r["text"]) for r in collected(corpus_pipeline.near_duplicates(spark, docs, ""))), key=str)
+    want = [(0, made("a")), (1, made("b")), (2, made("c")), (None, made("d")), (None, None), (3, None), (3, "")]
+    assert out == sorted(want, key=str)
+
+
 # ---- 3
 def test_nearest_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
