@@ -229,7 +229,6 @@ def dictionary(words: int = 2, word_bits: int = fp.WORD_BITS) -> dict[str, Calla
     def near(rows, column, query, key, k):
         return nearest_rows(rows, column, query, key, k)
 
-    every_fourth = literal([0x1111111111111111 & ((1 << word_bits) - 1)] * words)
     out: dict[str, Callable] = {
         **{name: marked(mark) for name, mark in MARKS.items()},
         **{name: bound(mark) for name, mark in BINDS.items()},
@@ -253,7 +252,7 @@ def dictionary(words: int = 2, word_bits: int = fp.WORD_BITS) -> dict[str, Calla
         "HAM_MEXICAN_HAT": response.mexican_hat, "HAM_DISTANCE": fp.hamming, "HAM_SIMILARITY": similarity, "HAM_POPCOUNT": fp.popcount,
         "HAM_PERMUTE": lambda a, n: fp.permute(a, n, words, word_bits),
         "ADA_THINK": lambda a: fp.permute(fp.bind(a, fixed("THINK")), 42, words, word_bits),
-        "ADA_WHISPER": lambda a: fp.both(a, every_fourth),
+        "ADA_WHISPER": lambda a: fp.both(a, literal([0x1111111111111111 & ((1 << word_bits) - 1)] * words)),
         "ADA_AWAKEN": lambda moment: fp.bind(fixed("AWAKEN"), text_words(moment, words, word_bits)),
         "ADA_RESONATE": lambda s: F.when(s > 0.8, s).when(s > 0.5, -(s - 0.5)).otherwise(0.0),
         "QUALIA_EMOTION_JOY": lambda: fixed("JOY"), "QUALIA_EMOTION_SADNESS": lambda: fixed("SADNESS"),

@@ -1,5 +1,9 @@
 """Every query against its SQL in DuckDB."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from tessera import catalog
@@ -15,3 +19,10 @@ def test_query(spark, duck, name):
         assert rows_of(out) == rows_of(duck.sql(catalog.SQL[name]).df())
     else:
         assert len(out)
+
+
+def test_entry_needs_no_session():
+    """The driver's module is imported, and its queries named, before there is a session."""
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 200)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.strip() == "True"
