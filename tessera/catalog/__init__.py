@@ -21,4 +21,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from tessera.catalog import branches, evidence, frames, graphs, more, relational, signatures, texts, thoughts, timelines, walks, wide  # noqa: F401
+    from tessera.catalog import branches, evidence, frames, graphs, more, relational, signatures, surface, texts, thoughts, timelines, walks, wide  # noqa: F401
