@@ -3,6 +3,7 @@ size, connected components, and ways to walk an Arrow batch."""
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -54,6 +55,21 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(rows: Callable) -> Callable:
+    """A function of Arrow batches that gives freed memory back to the system when a task ends: workers live on between
+    tasks, beside the executor's heap."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def process_cache(key, make: Callable):
     """make() once for each Python process; functions sent by value have no module state that lasts."""
     kept = sys.__dict__.setdefault("_tessera_cache", {})

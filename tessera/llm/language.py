@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PIECE, pieces, small_batches
+from tessera.llm.common import PIECE, pieces, released, small_batches
 from tessera.llm.words import text_buffer
 
 #: log2 of the hash classes of 4-grams.
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             yield pa.RecordBatch.from_pydict({"lang": [name], "at": [at.tobytes()], "n": [total[at].tobytes()]})
 
     # the sample is bounded, so are its shuffle and its partial counts
-    parts = texts.repartition(PARTS, "k").select("lang", "text").mapInArrow(count, "lang string, at binary, n binary").collect()
+    parts = texts.repartition(PARTS, "k").select("lang", "text").mapInArrow(released(count), "lang string, at binary, n binary").collect()
     languages = sorted({name for name, _, _ in parts})
     counts = np.zeros((len(languages), 1 << bits))
     for name, at, n in parts:
@@ -293,7 +293,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays(arrays, ["k", "lang_pred", "score", "other", "languages"])
 
     rows_in = small_batches(docs).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-    return rows_in.mapInArrow(rows, f"k long, {PREDICTION}").withColumnRenamed("k", key)
+    return rows_in.mapInArrow(released(rows), f"k long, {PREDICTION}").withColumnRenamed("k", key)
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", most_other: float = 0.5, bits: int = BITS) -> DataFrame:
@@ -307,4 +307,4 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", most_other: floa
                 keep = share.any(axis=1) & (share[:, -1] <= most_other)
                 yield piece.filter(pa.array(keep))
 
-    return small_batches(docs).mapInArrow(rows, docs.schema)
+    return small_batches(docs).mapInArrow(released(rows), docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, flag_by_bitmap, materialise, pieces, small_batches
+from tessera.llm.common import components, flag_by_bitmap, materialise, pieces, released, small_batches
 from tessera.llm.words import mix, row_words, shingles, spaced_bytes, spans, text_buffer, word_hashes
 
 #: log2 of the sketch's counters; broadcast as one byte each (4 MB).
@@ -133,8 +133,8 @@ def sketch(docs: DataFrame, k: int, bits: int) -> bytes:
             level = np.minimum(np.floor(2 * np.log2(np.maximum(total, 1))), 63).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "level": [level.tobytes()]})
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, at binary, n binary")
-    parts = parts.repartition(chunks, "chunk").mapInArrow(merge, "chunk int, level binary")
+    parts = docs.select("text").mapInArrow(released(count), "chunk int, at binary, n binary")
+    parts = parts.repartition(chunks, "chunk").mapInArrow(released(merge), "chunk int, level binary")
     out = np.zeros(1 << bits, np.uint8)
     for chunk, level in parts.collect():  # as many bytes as the sketch has counters
         out[chunk * width : (chunk + 1) * width] = np.frombuffer(level, np.uint8)
@@ -184,7 +184,7 @@ def prefixes(docs: DataFrame, levels: bytes, k: int, percent: int) -> DataFrame:
                     ["doc_id", "n", "set_key", "parity", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, INDEX)
+    return docs.select("doc_id", "text").mapInArrow(released(rows), INDEX)
 
 
 def needed_overlap(n: Column, m: Column, percent: int) -> Column:
@@ -245,7 +245,7 @@ def plausible(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
                 keep = pa.array(gaps <= batch["most"].to_numpy())
                 yield batch.select(["a", "b"]).filter(keep)
 
-    return rows.select("a", "b", "most", "a_parity", "b_parity").mapInArrow(close, "a long, b long")
+    return rows.select("a", "b", "most", "a_parity", "b_parity").mapInArrow(released(close), "a long, b long")
 
 
 def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -271,7 +271,7 @@ def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, k: int) -> Dat
                         bodies.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["set_key", "items"])
 
-    found = materialise(texts.select("text").mapInArrow(sets, "set_key long, items binary"), "sets")
+    found = materialise(texts.select("text").mapInArrow(released(sets), "set_key long, items binary"), "sets")
 
     def end(name: str) -> DataFrame:
         rows = flag_by_bitmap(found, "set_key", pairs.select(name), name, "maybe").where("maybe")
@@ -294,7 +294,7 @@ def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, k: int) -> Dat
     both = pairs.join(end("b"), "b")
     both = both.join(end("a"), "a")
     both = both.select("a", "b", "a_items", "b_items")
-    return materialise(both.mapInArrow(overlaps, "a long, b long, na long, nb long, overlap long"), "verified")
+    return materialise(both.mapInArrow(released(overlaps), "a long, b long, na long, nb long, overlap long"), "verified")
 
 
 def open_lists(inverted: DataFrame, percent: int) -> DataFrame:
@@ -345,7 +345,7 @@ def paired(rows: DataFrame, percent: int, window: int = 32) -> DataFrame:
             yield {c: batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
 
     ordered = rows.repartition("token").sortWithinPartitions("token", "n")
-    return ordered.mapInArrow(keep, "token long, members long, set_key long, n long, pos long")
+    return ordered.mapInArrow(released(keep), "token long, members long, set_key long, n long, pos long")
 
 
 def open_pairs(rows: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
@@ -422,7 +422,7 @@ def open_pairs(rows: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
                 parities += batch["parity"][s:e].to_pylist()
         yield from flush()
 
-    return rows.select(*names, "parity").mapInArrow(walk, "a long, b long").distinct()
+    return rows.select(*names, "parity").mapInArrow(released(walk), "a long, b long").distinct()
 
 
 def with_answers(rows: DataFrame, answers: DataFrame, labels: DataFrame) -> DataFrame:

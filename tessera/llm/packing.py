@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import default_ranks, ranks_encoding
-from tessera.llm.common import materialise, pieces, process_cache, small_batches
+from tessera.llm.common import materialise, pieces, process_cache, released, small_batches
 from tessera.llm.words import alnum_bytes, mix, row_words, spans, text_buffer, word_hashes
 
 WINDOW = 2048
@@ -239,7 +239,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(df[part])], ["class", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([documents, total])], ["class", "n"])
 
-    table = docs.select("text").mapInArrow(counts, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    table = docs.select("text").mapInArrow(released(counts), "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     at, n = table["class"].to_numpy(), table["n"].to_numpy()
     df = np.zeros(CLASSES, np.int64)
     df[at[at >= 0]] = n[at >= 0]
@@ -302,7 +302,7 @@ def encoded(docs: DataFrame, idf, json_path: str, ranks: tuple[str, str]) -> Dat
                 )
                 done += piece.num_rows
 
-    return docs.mapInArrow(rows, TOKENS)
+    return docs.mapInArrow(released(rows), TOKENS)
 
 
 def dealt(tokens: DataFrame, shard: int) -> DataFrame:
@@ -373,7 +373,7 @@ def filled(shards: DataFrame, idf, mean: float, path: str) -> DataFrame:
         if ids:
             yield from run(names, ids, number)[1]
 
-    return shards.select("shard", "doc_id", "ids").mapInArrow(rows, f"{PIECES}, ids binary")
+    return shards.select("shard", "doc_id", "ids").mapInArrow(released(rows), f"{PIECES}, ids binary")
 
 
 def put_together(table: pa.Table) -> pa.Table:
