@@ -35,6 +35,17 @@ def version_intervals(spark, sf_dir):
     return versions.intervals(history(spark, sf_dir), KEYS).drop("value")
 
 
+def seconds(ts):
+    """Seconds since 1970 with their fraction, as a double."""
+    return F.unix_micros(ts) / 1e6
+
+
+def middle(rows):
+    """The moment between the first ts and the last, to the microsecond."""
+    mean = (seconds(F.min("ts")) + seconds(F.max("ts"))) / 2
+    return rows.agg(F.timestamp_micros(F.rint(mean * 1e6).cast("long"))).head()[0]
+
+
 def until(spark, sf_dir, share):
     """(user, value): each user's last event until a moment, a share of the way from the first event to the last."""
     rows = table(spark, sf_dir, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
