@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import query
 from tessera.catalog.graphs import EDGES, SHARED, bought_together
 from tessera.catalog.signatures import NEAR, signed
-from tessera.catalog.timelines import HISTORY, history
+from tessera.catalog.timelines import HISTORY, history, middle
 from tessera.functions import fp
 from tessera.operators import graph, versions
 from tessera.plans.builder import Traversal
@@ -90,8 +90,7 @@ def impact(spark, sf_dir):
 @query("WITH v AS (SELECT event_id AS version, ts FROM events), m AS (SELECT to_timestamp((epoch(min(ts)) + epoch(max(ts))) // 2) AT TIME ZONE 'UTC' AS m FROM events) SELECT max(version) AS version FROM v, m WHERE ts <= m")
 def version_at_time(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("version"), F.col("ts").cast("timestamp").alias("ts"))
-    half = rows.agg(F.expr("timestamp_seconds(div(unix_seconds(min(ts)) + unix_seconds(max(ts)), 2))")).head()[0]
-    return versions.version_at(rows, F.lit(half))
+    return versions.version_at(rows, F.lit(middle(rows)))
 
 
 @query(f"WITH {HISTORY}, i AS (SELECT user_id, event_type, value, version AS a, lead(version) OVER (PARTITION BY user_id, event_type ORDER BY version) AS b FROM history) SELECT user_id, event_type, value FROM i WHERE a <= 4 AND (b IS NULL OR b > 4)")

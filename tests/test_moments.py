@@ -28,3 +28,8 @@ HALVES = [[0.0, 0.4, 0.6, 1.0], [10.7, 11.2, 11.3, 11.75, 11.8, 12.9], [0.000001
 @pytest.mark.parametrize("moments", HALVES)
 def test_age_flush(spark, tmp_path, moments):
     assert agree(spark, tmp_path, "age_flush", moments)
+
+
+@pytest.mark.parametrize("moments", HALVES)
+def test_version_at_time(spark, tmp_path, moments):
+    assert agree(spark, tmp_path, "version_at_time", moments)
