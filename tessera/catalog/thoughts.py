@@ -242,7 +242,9 @@ BASIS = lambda name, n: f"(SELECT count(*) FILTER (WHERE ('0x' || substr(md5('{n
 )
 def membrane(spark, sf_dir):
     """Two numbers and a text to a signature and the numbers back."""
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", spectral.encode(F.col("s_acctbal") / 10000, F.col("s_suppkey") % 10 / 10.0, F.col("s_name")).alias("words"))
+    # the file is small, the work is not
+    spread = table(spark, sf_dir, "supplier").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    rows = spread.select("s_suppkey", spectral.encode(F.col("s_acctbal") / 10000, F.col("s_suppkey") % 10 / 10.0, F.col("s_name")).alias("words"))
     out = rows.withColumn("d", spectral.decode(F.col("words")))
     return out.select("s_suppkey", F.round("d.tau", 6).alias("tau"), F.round("d.sigma", 6).alias("sigma"))
 

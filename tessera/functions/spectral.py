@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,19 +124,24 @@ def basis(name: str) -> list[float]:
     return [int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:8], 16) / 2**31 - 1 for i in range(last - first)]
 
 
-def region_words(value: Column, name: str, words: int) -> Column:
-    """A bit of the region is set if its basis number is below the value: near values give near signatures."""
-    # in the order in which a growing value sets them, so that a prefix is set
-    order = sorted((x, REGIONS[name][0] + i) for i, x in enumerate(basis(name)))
-    places = F.split(F.lit(",".join(str(i) for _, i in order)), ",").cast("array<int>")
-    limits = F.split(F.lit(",".join(repr(x) for x, _ in order)), ",").cast("array<double>")
-    count = F.size(F.filter(limits, lambda x: x < value))
+def signed_word(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
-    def word(own, w):
-        bits = F.transform(F.filter(own, lambda p: F.floor(p / 64) == w), lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p % 64))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda t, x: t.bitwiseOR(x))
 
-    return bound_once(F.slice(places, F.lit(1), count), lambda own: F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: word(own, w)))
+def region_words(value: Column, name: str, words: int) -> Column:
+    """A bit of the region is set if its basis number is below the value: near values give near signatures."""
+    first, last = REGIONS[name]
+    # each word's bits in the order in which a growing value sets them: their number tells which are set
+    steps = {w: [] for w in range(first // 64, (last - 1) // 64 + 1)}
+    for x, place in sorted((x, first + i) for i, x in enumerate(basis(name))):
+        steps[place // 64].append((x, place % 64))
+    table = [
+        {"limits": [x for x, _ in own], "held": [signed_word(sum(1 << bit for _, bit in own[:n])) for n in range(len(own) + 1)]} for own in steps.values()
+    ]
+    each = F.from_json(F.lit(json.dumps(table)), "array<struct<limits: array<double>, held: array<bigint>>>")
+    none = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    own = bound_once(value, lambda v: F.transform(each, lambda w: F.element_at(w.held, F.size(F.filter(w.limits, lambda x: x < v)) + 1)))
+    return F.slice(F.concat(none(min(steps)), own, none(words)), 1, words)
 
 
 def mask(name: str, words: int) -> list[int]:
@@ -144,7 +150,7 @@ def mask(name: str, words: int) -> list[int]:
     for w in range(words):
         low, high = max(first - 64 * w, 0), min(last - 64 * w, 64)
         bits = (1 << high) - (1 << low) if high > low else 0
-        out.append(bits - (1 << 64) if bits >> 63 else bits)
+        out.append(signed_word(bits))
     return out
 
 

@@ -152,3 +152,20 @@ def test_near_join_loses_no_pair(spark):
     out = {tuple(r) for r in search.near_join(left, "x", "w", right, "y", "v", 9, 256).collect()}
     want = {(i, j, d) for i, w in a for j, v in b if (d := sum((p ^ q).bit_count() for p, q in zip(w, v, strict=True))) <= 9}
     assert out == want and len(want) > 20
+
+
+def test_membrane_counts_each_limit_once(spark):
+    """Two numbers a row, in one task: the regions' bits by brute force, in a time that a scan for each word exceeds."""
+    import time
+
+    from tessera.functions import spectral
+
+    rows = spark.range(0, 3000, 1, 1).select("id", (F.col("id") / 1500.0 - 1.0).alias("tau"), (F.col("id") % 11 / 10.0).alias("sigma"))
+    start = time.time()
+    got = rows.select("tau", "sigma", spectral.encode(F.col("tau"), F.col("sigma"), F.lit("a")).alias("words")).collect()
+    assert time.time() - start < 60
+    places = {name: [(spectral.REGIONS[name][0] + i, x) for i, x in enumerate(spectral.basis(name))] for name in ("tau", "sigma")}
+    for r in got[::250]:
+        whole = sum((w & (1 << 64) - 1) << 64 * i for i, w in enumerate(r["words"]))
+        assert len(r["words"]) == 157 and all((whole >> p & 1) == (x < r["tau"]) for p, x in places["tau"])
+        assert all((whole >> p & 1) == (x < r["sigma"] * 2 - 1) for p, x in places["sigma"])
