@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fp, vectors
 from tessera.functions.response import mexican_hat
+from tessera.operators import blocks
+from tessera.session import materialise
 
 
 def top_k(df: DataFrame, distance: Column, key: str, k: int, name: str = "distance") -> DataFrame:
@@ -54,21 +56,47 @@ def bands(words: str, bits: int, count: int, word_bits: int = fp.WORD_BITS) -> l
     return out
 
 
+def band_array(words: str, bits: int, count: int, word_bits: int = fp.WORD_BITS) -> Column:
+    """The bands() as an array; runs of words are cut in a loop, as code for each of hundreds would be too long to compile."""
+    if bits <= 63 * count:
+        return F.array(*bands(words, bits, count, word_bits))
+    edges = [round(i * (bits // word_bits) / count) for i in range(count + 1)]
+    return F.transform(F.lit(edges[:-1]), lambda s, i: F.xxhash64(F.slice(words, s + 1, F.element_at(F.lit(edges[1:]), i + 1) - s)))
+
+
+def band_bits(bits: int, count: int, word_bits: int = fp.WORD_BITS) -> list[list[tuple[int, int]]]:
+    """Of each of the bands() its words, from 0, and which of their bits it holds."""
+    size = bits // word_bits
+    if bits > 63 * count:
+        edges = [round(i * size / count) for i in range(count + 1)]
+        return [[(w, (1 << 64) - 1) for w in range(s, e)] for s, e in zip(edges[:-1], edges[1:], strict=True)]
+    edges = [round(i * bits / count) for i in range(count + 1)]
+    out = []
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        whole = (1 << e) - (1 << s)
+        out.append([(w, whole >> w * word_bits & (1 << word_bits) - 1) for w in range(s // word_bits, (e - 1) // word_bits + 1)])
+    return out
+
+
 def similarity_join(df: DataFrame, key: str, words: str, most: int, bits: int = fp.WIDTH, word_bits: int = fp.WORD_BITS) -> DataFrame:
     """All pairs (a, b, distance) with a < b and a distance of at most `most`.
 
     Of most + 1 disjoint bands at least one is equal, so the join on bands loses no pair. A pair is made in its first
-    equal band only, so no step has to remove duplicates."""
+    equal band only, so no step has to remove duplicates. Ids of signatures of over 256 bits are unique."""
     if bits < 4 * (most + 1):
         raise ValueError("bands of under four bits hardly filter: use wider signatures")
+    if bits > 256:
+        size = bits // word_bits
+        limit = blocks.block_rows(size)
+        rows = df.select(F.col(key).alias("id"), F.col(words).alias("words")).where(F.col("id").isNotNull() & blocks.usable(F.col("words"), size))
+        kind = rows.schema["id"].dataType.simpleString()
+        runs = band_bits(bits, most + 1, word_bits)
+        members = band_groups(rows, band_array("words", bits, most + 1, word_bits))
+        sent = members.agg(F.sum(blocks.blocks_of(F.col("n"), limit))).head()[0] or 0
+        rows = members.join(rows, "id")
+        found = blocks.dealt(rows, sent, limit).mapInArrow(blocks.pairs_within(most, size, runs), f"x {kind}, y {kind}, distance long")
+        return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
     every = bands(words, bits, most + 1, word_bits)
-    if bits > 256:  # the signatures are joined to the pairs, not sent with every band
-        runs = df.select(F.col(key).alias("id"), F.posexplode(F.array(*every)).alias("band", "value"))
-        a, b = (runs.withColumnRenamed("id", x) for x in "ab")
-        pairs = a.join(b, ["band", "value"]).where("a < b").select("a", "b").distinct()
-        sides = [df.select(F.col(key).alias(x), F.col(words).alias(f"{x}_words")) for x in "ab"]
-        pairs = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("distance", fp.hamming(F.col("a_words"), F.col("b_words")))
-        return pairs.where(F.col("distance") <= most).select("a", "b", "distance")
     pops = fp.popcount(F.col(words))
     rows = df.select(
         F.col(key).alias("id"), F.col(words).alias("words"), pops.alias("pops"), F.array(*every).alias("all_bands"),
@@ -83,6 +111,19 @@ def similarity_join(df: DataFrame, key: str, words: str, most: int, bits: int =
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance")).where(F.col("distance") <= most)
 
 
+def band_groups(rows: DataFrame, every: Column) -> DataFrame:
+    """(id, own, n, band): the rows of each group `own` of n rows with an equal band. Of groups of the same rows only that
+    of the first band is there: rows that share many bands meet once. That they are the same is told by their number and
+    sums of two hashes of 64 bits."""
+    runs = rows.select("id", F.posexplode(every).alias("band", "value"))
+    hashes = [F.xxhash64("id", F.lit(seed)) for seed in (1, 2)]
+    sums = [F.sum(part).alias(f"s{i}") for i, part in enumerate(p for h in hashes for p in (h.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(h, 32)))]
+    groups = runs.groupBy("band", "value").agg(F.count("*").alias("n"), *sums).where("n > 1")
+    first = groups.groupBy("n", "s0", "s1", "s2", "s3").agg(F.min(F.struct("band", "value")).alias("first"))
+    kept = materialise(first.select(F.monotonically_increasing_id().alias("own"), "n", "first.band", "first.value"), "groups")
+    return materialise(runs.join(kept, ["band", "value"]).select("id", "own", "n", "band"), "members")
+
+
 def hat_search(df: DataFrame, words: str, query: Column, key: str, k: int, excite: int, inhibit: int) -> DataFrame:
     """Rows with a positive response, strongest first."""
     response = mexican_hat(fp.hamming(F.col(words), query), excite, inhibit)
