@@ -82,18 +82,24 @@ def similarity_join(df: DataFrame, key: str, words: str, most: int, bits: int =
     """All pairs (a, b, distance) with a < b and a distance of at most `most`.
 
     Of most + 1 disjoint bands at least one is equal, so the join on bands loses no pair. A pair is made in its first
-    equal band only, so no step has to remove duplicates. Ids of signatures of over 256 bits are unique."""
+    equal band only, so no step has to remove duplicates. Where so short bands leave more than a hundredth of all pairs,
+    all are compared, block by block. Ids of signatures of over 256 bits are unique."""
     if bits < 4 * (most + 1):
         raise ValueError("bands of under four bits hardly filter: use wider signatures")
-    if bits > 256:
+    weak = (most + 1) * 100 > 2 ** (bits / (most + 1))
+    if weak or bits > 256:
         size = bits // word_bits
         limit = blocks.block_rows(size)
         rows = df.select(F.col(key).alias("id"), F.col(words).alias("words")).where(F.col("id").isNotNull() & blocks.usable(F.col("words"), size))
         kind = rows.schema["id"].dataType.simpleString()
-        runs = band_bits(bits, most + 1, word_bits)
-        members = band_groups(rows, band_array("words", bits, most + 1, word_bits))
-        sent = members.agg(F.sum(blocks.blocks_of(F.col("n"), limit))).head()[0] or 0
-        rows = members.join(rows, "id")
+        if weak:
+            runs, total = None, rows.count()
+            rows, sent = rows.withColumn("own", F.lit(0).cast("long")).withColumn("n", F.lit(total)), total * -(-total // limit)
+        else:
+            runs = band_bits(bits, most + 1, word_bits)
+            members = band_groups(rows, band_array("words", bits, most + 1, word_bits))
+            sent = members.agg(F.sum(blocks.blocks_of(F.col("n"), limit))).head()[0] or 0
+            rows = members.join(rows, "id")
         found = blocks.dealt(rows, sent, limit).mapInArrow(blocks.pairs_within(most, size, runs), f"x {kind}, y {kind}, distance long")
         return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
     every = bands(words, bits, most + 1, word_bits)

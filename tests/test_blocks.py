@@ -35,6 +35,18 @@ def within(rows, most):
     return sorted((i, j, d) for k, (i, a) in enumerate(rows) for j, b in rows[k + 1 :] if (d := apart(a, b)) <= most)
 
 
+@pytest.mark.parametrize("limit", [1 << 14, 60])
+def test_weak_bands(spark, monkeypatch, limit):
+    """All pairs are compared, and none of them is a row of a join."""
+    monkeypatch.setattr(blocks, "block_rows", lambda size: limit)
+    rows = signatures(400, 2, 32, 6, 5, 1)
+    odd = spark.createDataFrame([(None, [1, 2]), (9001, None), (9002, [1, None]), (9003, [1])], "id long, w array<long>")
+    found = search.similarity_join(table_of(spark, rows).union(odd), "id", "w", 13)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = within(rows, 13)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 5000
+
+
 @pytest.mark.parametrize("limit", [1 << 14, 25])
 @pytest.mark.parametrize(("words", "word_bits", "most"), [(40, 64, 39), (16, 32, 15), (10, 32, 12)])
 def test_wide_signatures(spark, monkeypatch, limit, words, word_bits, most):
