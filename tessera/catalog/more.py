@@ -12,6 +12,7 @@ from tessera.catalog.signatures import NEAR, SIGS, H, against, signed
 from tessera.catalog.timelines import HISTORY, history
 from tessera.functions import fp, truth
 from tessera.operators import evidence, graph, search, triples, versions
+from tessera.session import materialise
 from tessera.sources.star import edges, table
 
 
@@ -87,9 +88,8 @@ def amplification_paths(spark, sf_dir):
 def reciprocal_topk(spark, sf_dir):
     """Pairs that are among each other's three nearest."""
     rows = signed(spark, sf_dir)
-    a, b = rows.select(F.col("vec_id").alias("a"), F.col("words").alias("wa")), rows.select(F.col("vec_id").alias("b"), F.col("words").alias("wb"))
-    top = search.top_k_batch(b, a, fp.hamming(F.col("wa"), F.col("wb")) + F.when(F.col("a") == F.col("b"), 1000).otherwise(0), "b", "a", 3)
-    top = top.select("a", "b", F.col("rank").cast("long").alias("rank"))
+    top = search.nearest(rows, "vec_id", "words", 3)
+    top = materialise(top.select("a", "b", F.col("rank").cast("long").alias("rank")), "nearest")
     back = top.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("rank").alias("backward"))
     return top.withColumnRenamed("rank", "forward").join(back, ["a", "b"]).where("a < b").select("a", "b", "forward", "backward")
 

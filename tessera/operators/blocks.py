@@ -193,3 +193,36 @@ def pairs_within(most: int, size: int, runs: list | None) -> Callable:
                 yield from batches_of(pa.concat_arrays(group["id"].chunks), found(group, at_x, at_y))
 
     return rows
+
+
+def nearest_of(k: int, size: int) -> Callable:
+    """Batches (x, y, distance): of each row of block p the k nearest rows of another id of block q; ties to the smaller id."""
+
+    def found(group, ids, at_x, at_y):
+        (every,) = halved(matrix(group, size))
+        at_y = at_y[np.argsort(ids[at_y], kind="stable")]
+        columns = np.ascontiguousarray(every[at_y].T)
+        step = max(1, PAIRS // len(at_y))
+        for a in range(0, len(at_x), step):
+            own = at_x[a : a + step]
+            apart = distances(every[own], columns)
+            far = np.iinfo(apart.dtype).max
+            low, high = (np.searchsorted(ids[at_y], ids[own], side) for side in ("left", "right"))
+            for r in np.flatnonzero(high > low):
+                apart[r, low[r] : high[r]] = far
+            line = np.arange(len(own))
+            for _ in range(min(k, len(at_y))):
+                best = apart.argmin(axis=1)
+                d = apart[line, best]
+                there = d < far
+                yield own[there], at_y[best[there]], d[there]
+                apart[line, best] = far
+
+    def rows(batches):
+        for group in groups(batches):
+            at_x, at_y = sides(group)
+            if len(at_x) and len(at_y):
+                ids = pa.concat_arrays(group["id"].chunks)
+                yield from batches_of(ids, found(group, ids.to_numpy(zero_copy_only=False), at_x, at_y))
+
+    return rows

@@ -130,6 +130,18 @@ def band_groups(rows: DataFrame, every: Column) -> DataFrame:
     return materialise(runs.join(kept, ["band", "value"]).select("id", "own", "n", "band"), "members")
 
 
+def nearest(df: DataFrame, key: str, words: str, k: int, bits: int = fp.WIDTH, word_bits: int = fp.WORD_BITS) -> DataFrame:
+    """(a, b, distance, rank): each row's k nearest of other ids, all compared block by block; ties to the smaller id."""
+    size = bits // word_bits
+    rows = df.select(F.col(key).alias("id"), F.col(words).alias("words")).where(F.col("id").isNotNull() & blocks.usable(F.col("words"), size))
+    kind = rows.schema["id"].dataType.simpleString()
+    limit, total = blocks.block_rows(size), rows.count()
+    rows = rows.withColumn("own", F.lit(0).cast("long")).withColumn("n", F.lit(total))
+    found = blocks.dealt(rows, total * -(-total // limit), limit, both=True).mapInArrow(blocks.nearest_of(k, size), f"x {kind}, y {kind}, distance long")
+    rank = F.row_number().over(Window.partitionBy("x").orderBy("distance", "y"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("x").alias("a"), F.col("y").alias("b"), "distance", "rank")
+
+
 def hat_search(df: DataFrame, words: str, query: Column, key: str, k: int, excite: int, inhibit: int) -> DataFrame:
     """Rows with a positive response, strongest first."""
     response = mexican_hat(fp.hamming(F.col(words), query), excite, inhibit)

@@ -63,3 +63,33 @@ def test_rows_that_share_many_bands_meet_once(spark):
     rows = [(i, [7] * 60 + [i * 4 + k for k in range(4)]) for i in range(50)]
     groups = search.band_groups(table_of(spark, rows).withColumnRenamed("w", "words"), search.band_array("words", 64 * 64, 64, 64))
     assert groups.count() == 50 and groups.agg(F.max("band")).head()[0] == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 14, 60])
+def test_nearest(spark, monkeypatch, limit):
+    """The nearest with their ties, and no row of a pair that is not among them."""
+    monkeypatch.setattr(blocks, "block_rows", lambda size: limit)
+    rows = signatures(300, 2, 32, 3, 4, 3)
+    found = search.nearest(table_of(spark, rows), "id", "w", 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for i, a in rows:
+        for rank, (d, j) in enumerate(sorted((apart(a, b), j) for j, b in rows if j != i)[:3], 1):
+            want.append((i, j, d, rank))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_nearest_of_few(spark):
+    rows = table_of(spark, [(1, [1, 2]), (5, [1, 3])])
+    assert sorted(map(tuple, search.nearest(rows, "id", "w", 3).collect())) == [(1, 5, 1, 1), (5, 1, 1, 1)]
+    assert search.nearest(rows.where("id > 9"), "id", "w", 3).count() == search.similarity_join(rows.where("id > 9"), "id", "w", 13).count() == 0
+
+
+def test_mutual_nearest_have_no_cross_join(spark):
+    """The query itself compares by blocks."""
+    from tessera import catalog
+
+    catalog.load()
+    made = catalog.QUERIES["reciprocal_topk"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "words" not in plan and "embedding" not in plan
